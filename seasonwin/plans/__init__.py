@@ -3,6 +3,6 @@
 
 def load_queries():
     """The registry, filled by importing every module that registers queries."""
-    from seasonwin.plans import ordered_queries, registry, scan_queries, table_queries  # noqa: F401
+    from seasonwin.plans import model_queries, ordered_queries, registry, scan_queries, table_queries  # noqa: F401
 
     return registry
