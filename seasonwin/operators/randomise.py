@@ -7,29 +7,38 @@ array, so events meet windows once however many repeats there are.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seasonwin.operators.joins import attach
 from seasonwin.operators.ordered import running
 from seasonwin.operators.scan import (
+    BASELINE_PARAMETERS,
     COMBO,
     LIN,
     MEAN,
+    PARAMETERS,
     QUAD,
+    SINGULAR,
     SLOPE,
-    _fit_columns,
-    _window_value,
+    aicc,
     center_series,
-    enumerate_windows,
     event_slices,
     spread,
 )
+from seasonwin.session import pin
+
+# Send the function that runs in tasks with its code, so that executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Two sums per repeat must fit in the 100 columns that generated code takes.
-_REPEATS_PER_BATCH = 32
 _EVENTS_PER_TASK = 1024
 _OPEN_BLOCKS = 16
 _HASH_CHUNK = 3
@@ -75,60 +84,167 @@ def randomise_scan(
     group: Sequence[str] = (),
 ) -> DataFrame:
     """Best window and criterion per combination and repeat of shuffled responses."""
-    covered = event_slices(events.where(F.col("y").isNotNull()), center_series(series), start, stop, on)
+    known = events.where(F.col("y").isNotNull())
+    # Read three times below: counted, shuffled and multiplied.
+    covered = pin(event_slices(known, center_series(series), start, stop, on), "slices")
     # Shuffle among the events that are fitted, not those the series does not cover.
     fitted = covered.groupBy(*group, "event_id").agg(F.first("y").alias("y"))
     shuffled = shuffled_responses(fitted, repeats, seed, group)
-    batches = F.sequence(F.lit(0), F.lit((repeats - 1) // _REPEATS_PER_BATCH))
-    size = F.lit(_REPEATS_PER_BATCH)
     work = (
         attach(covered, shuffled, [*group, "event_id"], "inner")
-        .withColumn("batch", F.explode(batches))
-        .withColumn("ys", F.slice("ys", F.col("batch") * size + 1, size))
         .withColumn("_chunk", F.floor((F.col("position") - 1) / _EVENTS_PER_TASK))
-        .withColumn("_open_block", F.explode(F.sequence(F.lit(0), F.lit(_OPEN_BLOCKS - 1))))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(_OPEN_BLOCKS - 1))))
+        .select(*group, "variable", "_chunk", "_block", "sums", "tsums", "base", "y", "ys")
     )
-    # Events of a chunk meet in one task per block of windows and combine there.
-    work = spread(work, *group, "variable", "batch", "_chunk", "_open_block")
-    windows = _windows_of_block(work, start, stop, exclude)
-    values = windows.select(
-        *group, "variable", "open", "close", "batch", "y", "ys",
-        F.explode(F.array(*[
-            F.struct(F.lit(s).alias("stat"), _window_value(s, start).alias("x")) for s in stats
-        ])).alias("_v"),
-    ).select(*group, "variable", "open", "close", "batch", "y", "ys", "_v.stat", "_v.x").where("x is not null")
-
-    x, y = F.col("x"), F.col("y")
-    per_repeat = [F.sum(x * F.get("ys", F.lit(i))) for i in range(_REPEATS_PER_BATCH)]
-    squared = [F.sum(x * x * F.get("ys", F.lit(i))) for i in range(_REPEATS_PER_BATCH)] if QUAD in funcs else []
-    sums = values.groupBy(*group, "variable", "stat", "open", "close", "batch").agg(
-        F.sum(F.lit(1.0)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sx2"),
-        F.sum(x * x * x).alias("sx3"), F.sum(x * x * x * x).alias("sx4"),
-        F.sum(y).alias("sy"), F.sum(y * y).alias("sy2"),
-        F.array(*per_repeat).alias("_sxy"), F.array(*squared).alias("_sx2y"),
+    unit = [*group, "variable", "_chunk", "_block"]
+    fields = [f for f in work.schema.fields if f.name in (*group, "variable")]
+    sums = (
+        spread(work, *unit).groupBy(*unit)
+        .applyInArrow(_products([f.name for f in fields], start, stop, exclude, stats, funcs), _sums_schema(fields))
     )
-    each = (
-        sums.select("*", F.posexplode("_sxy").alias("_i", "sxy"))
-        .where("sxy is not null")
-        .withColumn("repeat", F.col("batch") * _REPEATS_PER_BATCH + F.col("_i") + 1)
-        .withColumn("sx2y", F.get("_sx2y", F.col("_i")) if QUAD in funcs else F.lit(0.0))
-        .drop("_sxy", "_sx2y", "_i")
-        .withColumn("func", F.explode(F.array(*[F.lit(f) for f in funcs])))
+    largest = fitted.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest > _EVENTS_PER_TASK:
+        sums = _add_chunks(sums, [*group, "variable", "stat", "_window"])
+    return _best_of_repeats(sums, start, stop, funcs, group)
+
+
+def _best_of_repeats(
+    sums: DataFrame, start: int, stop: int, funcs: Sequence[str], group: Sequence[str]
+) -> DataFrame:
+    """The best window per repeat, from sums per window with a list over repeats.
+
+    All windows of a combination fit the same events, so the best criterion is
+    the largest explained sum of squares. What depends on the window alone is
+    worked out before the repeats are unfolded; a repeat costs a few products.
+    """
+    c = F.col
+    n = c("n")
+    width = start - stop + 1
+    per_window = sums.select(
+        *group, "variable", "stat", "_window", "n", "sy", "sy2", "sx", "sx2", "_sxy", "_sx2y",
+        (c("sx2") - c("sx") * c("sx") / n).alias("_xx"),
+        (c("sx3") - c("sx") * c("sx2") / n).alias("_xu"),
+        (c("sx4") - c("sx2") * c("sx2") / n).alias("_uu"),
+    )
+    det = c("_xx") * c("_uu") - c("_xu") * c("_xu")
+    per_window = per_window.select(
+        "*", (c("sx") / n).alias("_mx"), (c("sx2") / n).alias("_mu"),
+        (c("_xx") > SINGULAR * c("sx2")).alias("_line"),
+        (det > SINGULAR * c("_xx") * c("_uu")).alias("_curve"), det.alias("_det"),
+    ).where("_line")
+    each = per_window.select("*", F.posexplode("_sxy").alias("_i", "sxy")).where("sxy is not null")
+    xy, uy = c("_xy"), c("_uy")
+    each = each.select(
+        *group, "variable", "stat", "n", "sy", "sy2", "_window", "_xx", "_xu", "_uu", "_det", "_curve",
+        (c("_i") + 1).alias("repeat"),
+        (c("sxy") - c("_mx") * c("sy")).alias("_xy"),
+        *([(F.get("_sx2y", c("_i")) - c("_mu") * c("sy")).alias("_uy")] if QUAD in funcs else []),
     )
-    best = (
-        _fit_columns(each, F.col("func"))
-        .where("delta_aicc is not null")
-        .groupBy(*group, *COMBO, "repeat")
-        .agg(F.min(F.struct("delta_aicc", "open", "close")).alias("_b"))
+    explained = {
+        LIN: F.try_divide(xy * xy, c("_xx")),
+        QUAD: F.when(
+            c("_curve"),
+            F.try_divide(c("_uu") * xy * xy - 2 * c("_xu") * xy * uy + c("_xx") * uy * uy, c("_det")),
+        ),
+    }
+    keys = [*group, "variable", "stat", "repeat"]
+    gains = each.select(*keys, "n", "sy", "sy2", "_window", *[explained[f].alias(f"_ss_{f}") for f in funcs])
+    best = gains.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("sy").alias("sy"), F.max("sy2").alias("sy2"),
+        *[F.max(f"_ss_{f}").alias(f"_ss_{f}") for f in funcs],
+        *[F.max_by("_window", f"_ss_{f}").alias(f"_at_{f}") for f in funcs],
     )
-    return best.select(*group, *COMBO, "repeat", "_b.open", "_b.close", "_b.delta_aicc")
+    per_func = best.select(*keys, "n", "sy", "sy2", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("func"), c(f"_ss_{f}").alias("ss"), c(f"_at_{f}").alias("at")) for f in funcs
+    ])).alias("_b")).select(*keys, "n", "sy", "sy2", "_b.*").where("ss is not null")
+    total = c("sy2") - c("sy") * c("sy") / n
+    rss = F.greatest(total - c("ss"), 1e-15 * total)
+    parameters = F.when(c("func") == QUAD, PARAMETERS[QUAD]).otherwise(PARAMETERS[LIN])
+    return per_func.select(
+        *group, *COMBO, "repeat",
+        (F.floor(c("at") / width) + stop).cast("int").alias("open"),
+        (F.pmod(c("at"), F.lit(width)) + stop).cast("int").alias("close"),
+        F.when(total > 0, aicc(n, rss, parameters) - aicc(n, total, BASELINE_PARAMETERS)).alias("delta_aicc"),
+    ).where("delta_aicc is not null")
+
+
+_MOMENTS = ("n", "sx", "sx2", "sx3", "sx4", "sy", "sy2")
+
+
+def _sums_schema(fields: list[T.StructField]) -> T.StructType:
+    array = T.ArrayType(T.DoubleType())
+    return T.StructType([
+        *fields, T.StructField("stat", T.StringType()), T.StructField("_window", T.IntegerType()),
+        *[T.StructField(m, T.DoubleType()) for m in _MOMENTS],
+        T.StructField("_sxy", array), T.StructField("_sx2y", array),
+    ])
+
+
+def _products(
+    keys: list[str], start: int, stop: int, exclude: tuple[int, int] | None, stats: Sequence[str],
+    funcs: Sequence[str],
+):
+    """Task side: the fits' sums for one chunk of events and one block of windows.
+
+    The sums with the shuffled responses are one matrix product of (windows by
+    events) and (events by repeats). Opens are dealt to the blocks in turn.
+    """
+    width, blocks, quad = start - stop + 1, _OPEN_BLOCKS, QUAD in funcs
+    stats = list(stats)
+
+    def run(table: pa.Table) -> pa.Table:
+        def matrix(name):
+            values = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return values.reshape(table.num_rows, -1)
+
+        block = table["_block"][0].as_py()
+        opens, closes = np.divmod(np.arange(width * width), width)
+        days = opens - closes + 1
+        kept = (days >= 1) & (opens % blocks == block)
+        if exclude is not None:
+            kept &= ~((days <= exclude[0]) & (closes + stop >= exclude[1]))
+        code, days = np.flatnonzero(kept), days[kept]
+        lo, hi = (width - 1) - opens[kept], width - closes[kept]
+        sums, y, ys = matrix("sums"), table["y"].to_numpy(), matrix("ys")
+        total = sums[:, hi] - sums[:, lo]
+        out = []
+        for stat in stats:
+            if stat == MEAN:
+                windows, x = code, total / days
+            else:
+                many = days > 1
+                tsums, base, d = matrix("tsums"), table["base"].to_numpy()[:, None], days[many].astype(float)
+                windows, first, last = code[many], lo[many], hi[many]
+                middle = base + (first + last - 1) / 2
+                x = (tsums[:, last] - tsums[:, first] - middle * total[:, many]) / (d * (d * d - 1) / 12)
+            squared = x * x
+            m = len(windows)
+            moments = [
+                np.full(m, float(len(y))), x.sum(0), squared.sum(0), (squared * x).sum(0), (squared * squared).sum(0),
+                np.full(m, y.sum()), np.full(m, (y * y).sum()),
+            ]
+            lists = [x.T @ ys, squared.T @ ys if quad else np.zeros((m, 0))]
+            offsets = [pa.array(np.arange(m + 1, dtype=np.int32) * v.shape[1]) for v in lists]
+            out.append(pa.table([
+                *[pa.array([table[k][0].as_py()] * m, table.schema.field(k).type) for k in keys],
+                pa.array([stat] * m), pa.array(windows.astype(np.int32)), *[pa.array(v) for v in moments],
+                *[pa.ListArray.from_arrays(o, pa.array(v.ravel())) for o, v in zip(offsets, lists)],
+            ], names=[*keys, "stat", "_window", *_MOMENTS, "_sxy", "_sx2y"]))
+        return pa.concat_tables(out)
+
+    return run
 
 
-def _windows_of_block(work: DataFrame, start: int, stop: int, exclude: tuple[int, int] | None) -> DataFrame:
-    """Windows whose open falls in the row's block of opens, dealt out in turn."""
-    return enumerate_windows(work, start, stop, exclude).where(
-        F.pmod(F.col("open") - F.lit(stop), F.lit(_OPEN_BLOCKS)) == F.col("_open_block")
+def _add_chunks(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add up the sums of a group's chunks, element by element."""
+    moments_ = sums.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    both = F.arrays_zip("_sxy", "_sx2y")
+    each = sums.select(*keys, F.posexplode(both).alias("_i", "_v")).groupBy(*keys, "_i").agg(
+        F.sum("_v._sxy").alias("a"), F.sum("_v._sx2y").alias("b")
     )
+    # One element per repeat, so the list is bounded.
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "a", "b"))).alias("_l"))
+    return attach(moments_, listed.select(*keys, F.col("_l.a").alias("_sxy"), F.col("_l.b").alias("_sx2y")), keys)
 
 
 def permutation_p(scan: DataFrame, rand: DataFrame, group: Sequence[str] = ()) -> DataFrame:

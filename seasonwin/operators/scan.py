@@ -151,10 +151,10 @@ def enumerate_windows(
     offsets = F.sequence(F.lit(stop), F.lit(start))
     opened = df.withColumn("open", F.explode(offsets))
     windows = opened.withColumn("close", F.explode(F.sequence(F.lit(stop), F.col("open"))))
-    return windows if exclude is None else windows.where(_kept(exclude))
+    return windows if exclude is None else windows.where(kept_windows(exclude))
 
 
-def _kept(exclude: tuple[int, int]) -> Column:
+def kept_windows(exclude: tuple[int, int]) -> Column:
     days, offset = exclude
     return ~((_duration() <= days) & (F.col("close") >= offset))
 
@@ -163,7 +163,7 @@ def _duration() -> Column:
     return F.col("open") - F.col("close") + 1
 
 
-def _window_value(stat: str, start: int) -> Column:
+def window_value(stat: str, start: int) -> Column:
     """Mean or daily slope of the series in the window, from prefix sums."""
     lo = F.lit(start) - F.col("open")
     hi = F.lit(start) - F.col("close") + 1
@@ -187,7 +187,7 @@ def window_stats(
     slices = event_slices(events, series, start, stop, on)
     windows = enumerate_windows(spread(slices, "event_id", "variable"), start, stop, exclude)
     return windows.select(
-        *events.columns, "variable", "shift", "open", "close", *[_window_value(s, start).alias(s) for s in stats]
+        *events.columns, "variable", "shift", "open", "close", *[window_value(s, start).alias(s) for s in stats]
     )
 
 
@@ -382,7 +382,7 @@ def best_model_data(
     best = best_windows(scan).select(*group, *COMBO, "open", "close", "n", "b0", "b1", "b2", "rss")
     slices = event_slices(events.where(F.col("y").isNotNull()), series, start, stop, on)
     joined = join_on(slices, best, [*group, "variable"])
-    climate = F.when(F.col("stat") == MEAN, _window_value(MEAN, start)).otherwise(_window_value(SLOPE, start))
+    climate = F.when(F.col("stat") == MEAN, window_value(MEAN, start)).otherwise(window_value(SLOPE, start))
     data = joined.withColumn("climate", climate).select(
         *group, *COMBO, "event_id", "open", "close", "climate", F.col("y").alias("yvar"),
         "n", "b0", "b1", "b2", "rss",

@@ -392,3 +392,84 @@ def null_histogram(spark, sf_dir):
 def expand_grid_combos(spark, sf_dir):
     days = order_series(spark, sf_dir).groupBy("variable").agg(F.count(F.lit(1)).alias("n_days"))
     return expand_grid(days, stat=[scan.MEAN, scan.SLOPE], func=[scan.LIN, scan.QUAD])
+
+
+_FULL = dict(start=120, stop=-150, exclude=(10, -150))
+
+
+def _yearly_sites(spark, sf_dir):
+    """A driver series and yearly events per priority, so that events share a site's series."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("site"), to_date("o_orderdate").alias("date"), "o_orderstatus", "o_totalprice"
+    )
+    series = orders.groupBy("site", "date").agg(F.avg(F.log("o_totalprice")).alias("value"))
+    complete = scan.complete_series(series.withColumn("variable", F.lit("price")), ["site", "variable"])
+    events = orders.groupBy("site", F.trunc("date", "month").alias("bdate")).agg(
+        log_ratio(
+            F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))),
+            F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))),
+        ).alias("y")
+    ).where("y is not null").withColumn("event_id", F.concat_ws("-", "site", "bdate"))
+    return events, pin(complete, "site-series")
+
+
+@query()
+def scan_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 34,191 windows from 120 days before to 150 after, all eight combinations: the best 12 of each."""
+    fits = scan.scan_windows(order_events(spark, sf_dir), order_series(spark, sf_dir), **_FULL)
+    return rounded(scan.best_windows(fits, 12))
+
+
+@query()
+def randomise_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 shuffles of the full scan of all eight combinations."""
+    return rounded(randomise.randomise_scan(
+        order_events(spark, sf_dir), order_series(spark, sf_dir), 100, SEED, **_FULL
+    ))
+
+
+_SITE_SERIES = """
+raw as (
+  select o_orderpriority as site, cast(o_orderdate as date) as date, avg(ln(o_totalprice)) as v
+  from orders group by 1, 2),
+spine as (
+  select site, cast(unnest(days) as date) as date
+  from (select site, generate_series(min(date), max(date), interval 1 day) as days from raw group by 1)),
+near as (
+  select s.site, s.date,
+    coalesce(v, avg(v) over (partition by s.site order by s.date rows between 2 preceding and 2 following)) as v,
+    row_number() over (partition by s.site order by s.date) as rn
+  from spine s left join raw using (site, date)),
+marks as (
+  select *,
+    max(case when v is not null then rn end) over (partition by site order by rn) as p,
+    min(case when v is not null then rn end) over (partition by site order by rn
+      rows between current row and unbounded following) as q
+  from near),
+series as (
+  select m.site, m.date,
+    case when m.v is not null then m.v else a.v + (b.v - a.v) * (m.rn - m.p) / (m.q - m.p) end as value
+  from marks m
+  left join near a on a.site = m.site and a.rn = m.p
+  left join near b on b.site = m.site and b.rn = m.q),
+monthly as (
+  select o_orderpriority as site, cast(date_trunc('month', o_orderdate) as date) as bdate,
+    sum(case when o_orderstatus = 'F' then o_totalprice end) as f,
+    sum(case when o_orderstatus = 'O' then o_totalprice end) as o
+  from orders group by 1, 2),
+ends as (select site, min(date) as d0, max(date) as d1 from series group by 1),
+ev as (
+  select site || '-' || cast(bdate as varchar) as event_id, '' as period, 'price' as variable, bdate, site,
+    ln(f / o) as y
+  from monthly join ends using (site)
+  where f > 0 and o > 0 and bdate - {start} >= d0 and bdate - {stop} <= d1)""".format(start=START, stop=STOP)
+
+
+@query(
+    _ctes(_SITE_SERIES, _WINDOWS.replace("where s.variable = e.variable", "where s.site = e.site"), _LONG, _fits())
+    + f" select {_COLUMNS} from scan where stat = 'mean'"
+)
+def scan_shared_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model over the events of all sites, each looking at its own site's series."""
+    events, series = _yearly_sites(spark, sf_dir)
+    return rounded(scan.scan_windows(events, series, START, STOP, EXCLUDE, [scan.MEAN], on=["site"]))
