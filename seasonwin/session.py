@@ -31,19 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own: on a cluster a
     machine-local path would be lost with its executor.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    base = tempfile.mkdtemp(prefix="seasonwin-")
-    spark.conf.set(CHECKPOINT_DIR, base)
-    return base
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="seasonwin-"))
+        base = context.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, so that no run overwrites another."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below one folder per application, which can go when the application ends."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/seasonwin-{application}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:
