@@ -227,7 +227,7 @@ def _products(
             offsets = [pa.array(np.arange(m + 1, dtype=np.int32) * v.shape[1]) for v in lists]
             out.append(pa.table([
                 *[pa.array([table[k][0].as_py()] * m, table.schema.field(k).type) for k in keys],
-                pa.array([stat] * m), pa.array(windows.astype(np.int32)), *[pa.array(v) for v in moments],
+                pa.array([stat] * m, pa.string()), pa.array(windows.astype(np.int32)), *[pa.array(v) for v in moments],
                 *[pa.ListArray.from_arrays(o, pa.array(v.ravel())) for o, v in zip(offsets, lists)],
             ], names=[*keys, "stat", "_window", *_MOMENTS, "_sxy", "_sx2y"]))
         return pa.concat_tables(out)
