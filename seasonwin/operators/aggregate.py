@@ -117,7 +117,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
         .drop("_n")
     )
     tagged = (
-        attach(known, brackets, keys)
+        attach(known, brackets, keys, measured=True)
         .select(*keys, "_v", F.explode("_edges").alias("_e"))
         .select(*keys, "_v", "_e.*")
         .where(F.col("_v") <= F.col("above"))
@@ -127,7 +127,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
     counted = tagged.groupBy(*group, inside.alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
     share = F.try_divide(F.col("_v") - F.col("below"), F.col("above") - F.col("below"))
     chunk = F.coalesce(F.floor(share * _BRACKET_CHUNKS), F.when(F.col("_v").isNull(), -1).otherwise(0)).cast("long")
-    ranked = running(counted, group, ["_v"], {"_upto": (F.col("_m"), F.sum)}, chunk)
+    ranked = running(counted, group, ["_v"], {"_upto": (F.col("_m"), F.sum)}, chunk=chunk)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto")), F.col("_v")))

@@ -1,8 +1,10 @@
 """Keyed, interval and before/after-event joins.
 
-No side is ever hinted to be broadcast: sizes are known at run time, and
-adaptive execution switches to a broadcast once it has measured a small side,
-or splits a hot key of a sort-merge join.
+Which side to broadcast is left to the planner, which knows sizes: a lookup
+computed from other tables is first written to the shared folder (``pin``), so
+that a small one is broadcast and the rows it is attached to are not shuffled
+at all. A large one gives a sort-merge join, whose hot keys adaptive execution
+splits.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonwin.functions.columns import col, day_number
+from seasonwin.functions.columns import day_number
+from seasonwin.session import pin
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str] | Sequence[str], how: str = "inner") -> DataFrame:
@@ -24,14 +27,19 @@ def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str] | Sequenc
     return left.join(renamed, match, how).drop(*[f"_right_{r}" for r in names.values()])
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def attach(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", measured: bool = False
+) -> DataFrame:
     """Look up ``right``'s columns by ``keys``, matching missing keys with each other.
 
+    ``measured`` computes ``right`` first, so that its true size picks the join.
     Keys are packed in one struct: struct equality treats two missing fields as
     equal, and remains a plain equi-join that a hash partitioning can serve.
     """
     packed = F.struct(*([F.col(k) for k in keys] or [F.lit(0)]))
     values = [c for c in right.columns if c not in keys]
+    if measured and keys:
+        right = pin(right, "lookup")
     lookup = right.select(packed.alias("_key"), *values)
     if not keys:
         # Aggregated over no keys, hence exactly one row.
@@ -39,15 +47,18 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.withColumn("_key", packed).join(lookup, "_key", how).drop("_key")
 
 
-def attach_group(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
+def attach_group(
+    df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column], measured: bool = True
+) -> DataFrame:
     """Add group aggregates to each row.
 
     Aggregating before joining back combines on the map side, so a group holding
     most of the rows costs one partial row per task; a window over the group
-    would pull all its rows into one task.
+    would pull all its rows into one task. With few groups the rows then meet a
+    broadcast table and are never shuffled.
     """
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return attach(df, totals, keys)
+    return attach(df, totals, keys, measured=measured)
 
 
 def fill_from(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], fills: Mapping[str, str]) -> DataFrame:
@@ -59,7 +70,7 @@ def fill_from(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], fills: Ma
         *[F.col(r).alias(r) for r in on.values()],
         *[F.col(s).alias(f"_fill_{c}") for c, s in fills.items()],
     )
-    joined = join_on(df, source, on, "left")
+    joined = join_on(df, pin(source, "lookup"), on, "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in fills}
     return joined.withColumns(filled).drop(*[f"_fill_{c}" for c in fills])
 
@@ -67,7 +78,7 @@ def fill_from(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], fills: Ma
 def semi_in(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``other``."""
     keys = other.select(F.col(other_key or key).alias(key)).distinct()
-    return df.join(keys, key, "left_semi")
+    return df.join(pin(keys, "keys"), key, "left_semi")
 
 
 def interval_join(

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from seasonwin.functions import basis as B
 from seasonwin.functions.columns import normal_interval
-from seasonwin.operators.aggregate import moments
 from seasonwin.operators.joins import attach
 
 # Send the small functions that run in tasks with their code, so that executors
@@ -667,31 +666,23 @@ def effect_surface(
 
 def fit_linear(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Straight-line fit per group: ``n, intercept, slope, se_slope, r2, rss``."""
-    c = F.col
-    sums = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    shifted = attach(df.select(*keys, c(x).alias("_x"), c(y).alias("_y")), sums, keys).select(
-        *keys, "_mx", "_my", (c("_x") - c("_mx")).alias("_x"), (c("_y") - c("_my")).alias("_y")
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    fit = df.where(both).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"),
+        F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
+        F.regr_sxy(y, x).alias("_sxy"),
     )
-    fit = shifted.groupBy(*keys).agg(
-        F.first("_mx").alias("_mx"), F.first("_my").alias("_my"), *moments("_x", "_y").values()
-    )
-    sxx = c("sx2") - c("sx") * c("sx") / c("n")
-    sxy = c("sxy") - c("sx") * c("sy") / c("n")
-    syy = c("sy2") - c("sy") * c("sy") / c("n")
-    slope = F.try_divide(sxy, sxx)
-    rss = syy - slope * sxy
+    rss = F.col("_syy") - F.col("slope") * F.col("_sxy")
     return fit.select(
-        *keys, c("n").cast("long").alias("n"),
-        (c("_my") + c("sy") / c("n") - slope * (c("_mx") + c("sx") / c("n"))).alias("intercept"),
-        slope.alias("slope"), F.sqrt(F.try_divide(rss, (c("n") - 2) * sxx)).alias("se_slope"),
-        F.try_divide(syy - rss, syy).alias("r2"), rss.alias("rss"),
+        *keys, "n", "intercept", "slope",
+        F.sqrt(F.try_divide(rss, (F.col("n") - 2) * F.col("_sxx"))).alias("se_slope"), "r2", rss.alias("rss"),
     )
 
 
 def score_linear(df: DataFrame, fits: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``fit`` from a table of straight lines."""
     lines = fits.select(*keys, "intercept", "slope")
-    return attach(df, lines, keys).withColumn("fit", F.col("intercept") + F.col("slope") * F.col(x)).drop(
+    return attach(df, lines, keys, measured=True).withColumn("fit", F.col("intercept") + F.col("slope") * F.col(x)).drop(
         "intercept", "slope"
     )
 

@@ -39,42 +39,47 @@ def chunk_of(df: DataFrame, order: str, span: float) -> Column:
     return F.floor(c / F.lit(span)).cast("long")
 
 
+Merges = Mapping[str, tuple[Column, Callable[[Column], Column]]]
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    merges: Mapping[str, tuple[Column, Callable[[Column], Column]]],
+    forward: Merges | None = None,
+    backward: Merges | None = None,
     chunk: Column | None = None,
-    backward: bool = False,
 ) -> DataFrame:
-    """Running aggregates ``{name: (input, fn)}`` up to and including each row.
+    """Running aggregates ``{name: (input, fn)}`` including each row, from either end.
 
     ``fn`` must be an aggregate that merges with itself, such as ``F.sum`` or
-    ``F.max``; it ignores missing values. ``backward`` runs from the end.
+    ``F.max``; it ignores missing values. All of them share one shuffle of the
+    rows; with ``chunk`` a summary row per chunk carries the rest.
     """
-    frame, carried = (_FROM_HERE, _AFTER) if backward else (_SO_FAR, _BEFORE)
-    inputs = {f"_in_{n}": c for n, (c, _) in merges.items()}
+    ways = {n: (c, fn, _SO_FAR, _BEFORE) for n, (c, fn) in (forward or {}).items()}
+    ways |= {n: (c, fn, _FROM_HERE, _AFTER) for n, (c, fn) in (backward or {}).items()}
+    inputs = {f"_in_{n}": way[0] for n, way in ways.items()}
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        out = {n: fn(F.col(f"_in_{n}")).over(w) for n, (_, fn) in merges.items()}
+        w = Window.partitionBy(*keys).orderBy(*order)
+        out = {n: fn(F.col(f"_in_{n}")).over(w.rowsBetween(*frame)) for n, (_, fn, frame, _) in ways.items()}
         return df.withColumns(inputs).withColumns(out).drop(*inputs)
 
     # The struct is the one partitioning key of the window and of the join.
     part = F.struct(*[F.col(k) for k in keys], chunk.alias("_chunk"))
-    rows = df.withColumns(inputs).withColumn("_part", part)
-    totals = rows.groupBy("_part").agg(*[fn(F.col(f"_in_{n}")).alias(f"_sum_{n}") for n, (_, fn) in merges.items()])
-    along = (
-        Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._chunk").rowsBetween(*carried)
-    )
-    carry = totals.select(
-        "_part", *[fn(F.col(f"_sum_{n}")).over(along).alias(f"_carry_{n}") for n, (_, fn) in merges.items()]
-    )
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(*frame)
-    local = rows.withColumns({f"_local_{n}": fn(F.col(f"_in_{n}")).over(w) for n, (_, fn) in merges.items()})
-    joined = local.join(carry, "_part")
-    out = {n: _merge(fn, F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (_, fn) in merges.items()}
-    helpers = [f"{p}{n}" for n in merges for p in ("_in_", "_carry_", "_local_")]
-    return joined.withColumns(out).drop("_part", *helpers)
+    rows = df.withColumns({**inputs, "_part": part})
+    totals = rows.groupBy("_part").agg(*[fn(F.col(f"_in_{n}")).alias(f"_sum_{n}") for n, (_, fn, _, _) in ways.items()])
+    along = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._chunk")
+    carry = totals.select("_part", *[
+        fn(F.col(f"_sum_{n}")).over(along.rowsBetween(*carried)).alias(f"_carry_{n}")
+        for n, (_, fn, _, carried) in ways.items()
+    ])
+    w = Window.partitionBy("_part").orderBy(*order)
+    local = rows.withColumns({
+        f"_local_{n}": fn(F.col(f"_in_{n}")).over(w.rowsBetween(*frame)) for n, (_, fn, frame, _) in ways.items()
+    })
+    out = {n: _merge(fn, F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (_, fn, _, _) in ways.items()}
+    helpers = [f"{p}{n}" for n in ways for p in ("_in_", "_carry_", "_local_")]
+    return local.join(carry, "_part").withColumns(out).drop("_part", *helpers)
 
 
 def _merge(fn: Callable, a: Column, b: Column) -> Column:
@@ -96,13 +101,20 @@ def _chunk(df: DataFrame, order: Sequence[str], span: float | None) -> Column |
 def count_up(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "n_up",
              span: float | None = None) -> DataFrame:
     """Row number 1..n in order."""
-    return running(df, keys, order, {out: (F.lit(1).cast("long"), F.sum)}, _chunk(df, order, span))
+    return running(df, keys, order, {out: (F.lit(1).cast("long"), F.sum)}, chunk=_chunk(df, order, span))
 
 
 def count_down(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "n_down",
                span: float | None = None) -> DataFrame:
     """Rows left including this one: n..1 in order."""
-    return running(df, keys, order, {out: (F.lit(1).cast("long"), F.sum)}, _chunk(df, order, span), backward=True)
+    return running(df, keys, order, None, {out: (F.lit(1).cast("long"), F.sum)}, _chunk(df, order, span))
+
+
+def count_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], up: str = "n_up", down: str = "n_down",
+               span: float | None = None) -> DataFrame:
+    """Both counters in one pass."""
+    one = (F.lit(1).cast("long"), F.sum)
+    return running(df, keys, order, {up: one}, {down: one}, _chunk(df, order, span))
 
 
 def running_sum(df: DataFrame, c: str, keys: Sequence[str], order: Sequence[str], out: str,
@@ -112,7 +124,7 @@ def running_sum(df: DataFrame, c: str, keys: Sequence[str], order: Sequence[str]
         "_total": (F.col(c), F.sum),
         "_unknown": (F.col(c).isNull().cast("long"), F.sum),
     }
-    summed = running(df, keys, order, merges, _chunk(df, order, span))
+    summed = running(df, keys, order, merges, chunk=_chunk(df, order, span))
     value = F.when(F.col("_unknown") == 0, F.col("_total")) if sticky else F.col("_total")
     return summed.withColumn(out, value).drop("_total", "_unknown")
 
@@ -177,11 +189,11 @@ def value_before_peak(df: DataFrame, c: str, peak: str, keys: Sequence[str], ord
     at_peak = F.max_by("_rn", F.when(F.col(peak).isNotNull(), F.struct(F.col(peak), -F.col("_rn"))))
     tops = numbered.groupBy(*keys).agg(at_peak.alias("_top"))
     before = (
-        attach(numbered, tops, keys)
+        attach(numbered, tops, keys, measured=True)
         .where(F.col("_rn") == F.col("_top") - 1)
         .select(*keys, F.col(c).alias(out))
     )
-    return attach(df, before, keys)
+    return attach(df, before, keys, measured=True)
 
 
 def argmax_rows(df: DataFrame, c: str, keys: Sequence[str], ties: Sequence[Column]) -> DataFrame:
@@ -216,10 +228,12 @@ def interpolate_linear(
     def known(c: str) -> Column:
         return F.when(F.col(f"`{c}`").isNotNull(), F.struct("_rn", "_at", F.col(f"`{c}`").cast("double").alias("v")))
 
-    chunk = _chunk(numbered, order, span)
-    back = running(numbered, keys, order, {f"_prev_{i}": (known(c), F.max) for i, c in enumerate(cols)}, chunk)
-    both = running(back, keys, order, {f"_next_{i}": (known(c), F.min) for i, c in enumerate(cols)}, chunk,
-                   backward=True)
+    both = running(
+        numbered, keys, order,
+        {f"_prev_{i}": (known(c), F.max) for i, c in enumerate(cols)},
+        {f"_next_{i}": (known(c), F.min) for i, c in enumerate(cols)},
+        _chunk(numbered, order, span),
+    )
     filled = {}
     for i, c in enumerate(cols):
         a, b = F.col(f"_prev_{i}"), F.col(f"_next_{i}")

@@ -58,7 +58,7 @@ def shuffled_responses(events: DataFrame, repeats: int, seed: int, group: Sequen
     )
     chunk = F.conv(F.substring("_hash", 1, _HASH_CHUNK), 16, 10).cast("long")
     placed = running(
-        orders, [*group, "repeat"], ["_hash", "event_id"], {"position": (F.lit(1).cast("long"), F.sum)}, chunk
+        orders, [*group, "repeat"], ["_hash", "event_id"], {"position": (F.lit(1).cast("long"), F.sum)}, chunk=chunk
     )
     drawn = (
         placed.where(F.col("repeat") > 0)

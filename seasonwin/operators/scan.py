@@ -196,7 +196,7 @@ def center_series(series: DataFrame) -> DataFrame:
 
     Fourth powers of values far from zero would cancel badly in the fits.
     """
-    shifted = attach_group(series, ["variable"], {"shift": F.avg("value")})
+    shifted = attach_group(series, ["variable"], {"shift": F.avg("value")}, measured=False)
     return shifted.withColumn("value", F.col("value") - F.col("shift"))
 
 

@@ -68,7 +68,7 @@ def winter_features(winter: DataFrame, ice: DataFrame, site: Sequence[str] = ())
     spurious = (F.col("WaterTemp") > SPURIOUS_ABOVE) & (F.col("IceYear") == SPURIOUS_YEAR)
     clean = iced.withColumn("WaterTemp", fn.null_where("WaterTemp", spurious))
     filled = ordered.interpolate_linear(clean, ["WaterTemp", "avg_air_temp"], keys, order)
-    counted = ordered.count_down(ordered.count_up(filled, keys, order, "DaysFrozen"), keys, order, "fromThaw")
+    counted = ordered.count_both(filled, keys, order, "DaysFrozen", "fromThaw")
     warm = counted.withColumn("AboveFreezing", fn.hinge("avg_air_temp"))
     warm = ordered.running_sum(warm, "AboveFreezing", keys, order, "cumAboveFreezing")
     warm = ordered.running_sum(warm, "avg_air_temp", keys, order, "cumTemp")

@@ -78,8 +78,8 @@ def gappy_calendar(spark, sf_dir):
     row_number() over (partition by o_orderpriority, season order by d desc, o_orderkey desc) as n_down from o""")
 def count_up_down(spark, sf_dir):
     keys, order = ["o_orderpriority", "season"], ["date", "o_orderkey"]
-    up = ordered.count_up(dated_orders(spark, sf_dir), keys, order, span=_QUARTER)
-    return rounded(ordered.count_down(up, keys, order, span=_QUARTER).select("o_orderkey", "n_up", "n_down"))
+    both = ordered.count_both(dated_orders(spark, sf_dir), keys, order, span=_QUARTER)
+    return rounded(both.select("o_orderkey", "n_up", "n_down"))
 
 
 @query(f"""with e as (select *, case when event_id % 97 <> 0 then value end as v, cast(ts as date) as d from events)
