@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seasonwin.functions.columns import col, day_number
 from seasonwin.operators.joins import attach
 from seasonwin.operators.ordered import running
+from seasonwin.session import pin
 
 _SKETCH_ACCURACY = 10_000
 _BRACKET_CHUNKS = 1024
@@ -125,6 +126,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
     inside = F.when(F.col("_v") >= F.col("below"), F.col("_v"))
     group = [*keys, "prob", "rank", "below", "above"]
     counted = tagged.groupBy(*group, inside.alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    # Few rows next to the table's; the running sum reads them twice.
+    counted = pin(counted, "counted")
     share = F.try_divide(F.col("_v") - F.col("below"), F.col("above") - F.col("below"))
     chunk = F.coalesce(F.floor(share * _BRACKET_CHUNKS), F.when(F.col("_v").isNull(), -1).otherwise(0)).cast("long")
     ranked = running(counted, group, ["_v"], {"_upto": (F.col("_m"), F.sum)}, chunk=chunk)

@@ -157,15 +157,19 @@ def fit_catch_model(selected: DataFrame, kind: str = "GI", family: str = models.
     return models.fit_additive(selected, "Females", catch_terms(kind), family)
 
 
-def catch_predictions(selected: DataFrame, model: AdditiveModel) -> DataFrame:
+def catch_predictions(selected: DataFrame, model: AdditiveModel, pad: int = PAD_DAYS) -> DataFrame:
     """Fitted catch and its error for every day around each year's survey."""
-    spine = rows.expand_seq(selected, ["Year"], F.min("DOY") - PAD_DAYS, F.max("DOY") + PAD_DAYS, "DOY")
+    spine = rows.expand_seq(selected, ["Year"], F.min("DOY") - pad, F.max("DOY") + pad, "DOY")
     return models.score(spine, model, se=True)
 
 
-def spawn_days(predictions: DataFrame) -> DataFrame:
-    """Spawning day per year: the day of the highest fitted catch, with its 95 % span."""
-    return models.phenology_peak(predictions, ["Year"], "DOY", "fit").withColumnRenamed("peak", "SpawnDOY")
+def spawn_days(selected: DataFrame, model: AdditiveModel) -> DataFrame:
+    """Spawning day per year: the surveyed day of the highest fitted catch, with its 95 % span.
+
+    Days before or after the survey do not count, since no catch holds the curve there.
+    """
+    fitted = catch_predictions(selected, model, pad=0)
+    return models.phenology_peak(fitted, ["Year"], "DOY", "fit").withColumnRenamed("peak", "SpawnDOY")
 
 
 def environment(water: DataFrame, stations: DataFrame, site: Sequence[str] = ()) -> DataFrame:
