@@ -7,18 +7,14 @@ array, so events meet windows once however many repeats there are.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seasonwin.operators.joins import attach
 from seasonwin.operators.ordered import running
+from seasonwin.operators.products import window_sums
 from seasonwin.operators.scan import (
     BASELINE_PARAMETERS,
     COMBO,
@@ -31,16 +27,9 @@ from seasonwin.operators.scan import (
     aicc,
     center_series,
     event_slices,
-    spread,
 )
 from seasonwin.session import pin
 
-# Send the function that runs in tasks with its code, so that executors need no
-# copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_EVENTS_PER_TASK = 1024
-_OPEN_BLOCKS = 16
 _HASH_CHUNK = 3
 
 
@@ -85,26 +74,13 @@ def randomise_scan(
 ) -> DataFrame:
     """Best window and criterion per combination and repeat of shuffled responses."""
     known = events.where(F.col("y").isNotNull())
-    # Read three times below: counted, shuffled and multiplied.
+    # Read several times below: counted, shuffled and multiplied.
     covered = pin(event_slices(known, center_series(series), start, stop, on), "slices")
     # Shuffle among the events that are fitted, not those the series does not cover.
     fitted = covered.groupBy(*group, "event_id").agg(F.first("y").alias("y"))
     shuffled = shuffled_responses(fitted, repeats, seed, group)
-    work = (
-        attach(covered, shuffled, [*group, "event_id"], "inner")
-        .withColumn("_chunk", F.floor((F.col("position") - 1) / _EVENTS_PER_TASK))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(_OPEN_BLOCKS - 1))))
-        .select(*group, "variable", "_chunk", "_block", "sums", "tsums", "base", "y", "ys")
-    )
-    unit = [*group, "variable", "_chunk", "_block"]
-    fields = [f for f in work.schema.fields if f.name in (*group, "variable")]
-    sums = (
-        spread(work, *unit).groupBy(*unit)
-        .applyInArrow(_products([f.name for f in fields], start, stop, exclude, stats, funcs), _sums_schema(fields))
-    )
-    largest = fitted.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest > _EVENTS_PER_TASK:
-        sums = _add_chunks(sums, [*group, "variable", "stat", "_window"])
+    work = attach(covered, shuffled, [*group, "event_id"], "inner")
+    sums = window_sums(work, start, stop, exclude, stats, QUAD in funcs, group, covered)
     return _best_of_repeats(sums, start, stop, funcs, group)
 
 
@@ -168,85 +144,6 @@ def _best_of_repeats(
     ).where("delta_aicc is not null")
 
 
-_MOMENTS = ("n", "sx", "sx2", "sx3", "sx4", "sy", "sy2")
-
-
-def _sums_schema(fields: list[T.StructField]) -> T.StructType:
-    array = T.ArrayType(T.DoubleType())
-    return T.StructType([
-        *fields, T.StructField("stat", T.StringType()), T.StructField("_window", T.IntegerType()),
-        *[T.StructField(m, T.DoubleType()) for m in _MOMENTS],
-        T.StructField("_sxy", array), T.StructField("_sx2y", array),
-    ])
-
-
-def _products(
-    keys: list[str], start: int, stop: int, exclude: tuple[int, int] | None, stats: Sequence[str],
-    funcs: Sequence[str],
-):
-    """Task side: the fits' sums for one chunk of events and one block of windows.
-
-    The sums with the shuffled responses are one matrix product of (windows by
-    events) and (events by repeats). Opens are dealt to the blocks in turn.
-    """
-    width, blocks, quad = start - stop + 1, _OPEN_BLOCKS, QUAD in funcs
-    stats = list(stats)
-
-    def run(table: pa.Table) -> pa.Table:
-        def matrix(name):
-            values = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return values.reshape(table.num_rows, -1)
-
-        block = table["_block"][0].as_py()
-        opens, closes = np.divmod(np.arange(width * width), width)
-        days = opens - closes + 1
-        kept = (days >= 1) & (opens % blocks == block)
-        if exclude is not None:
-            kept &= ~((days <= exclude[0]) & (closes + stop >= exclude[1]))
-        code, days = np.flatnonzero(kept), days[kept]
-        lo, hi = (width - 1) - opens[kept], width - closes[kept]
-        sums, y, ys = matrix("sums"), table["y"].to_numpy(), matrix("ys")
-        total = sums[:, hi] - sums[:, lo]
-        out = []
-        for stat in stats:
-            if stat == MEAN:
-                windows, x = code, total / days
-            else:
-                many = days > 1
-                tsums, base, d = matrix("tsums"), table["base"].to_numpy()[:, None], days[many].astype(float)
-                windows, first, last = code[many], lo[many], hi[many]
-                middle = base + (first + last - 1) / 2
-                x = (tsums[:, last] - tsums[:, first] - middle * total[:, many]) / (d * (d * d - 1) / 12)
-            squared = x * x
-            m = len(windows)
-            moments = [
-                np.full(m, float(len(y))), x.sum(0), squared.sum(0), (squared * x).sum(0), (squared * squared).sum(0),
-                np.full(m, y.sum()), np.full(m, (y * y).sum()),
-            ]
-            lists = [x.T @ ys, squared.T @ ys if quad else np.zeros((m, 0))]
-            offsets = [pa.array(np.arange(m + 1, dtype=np.int32) * v.shape[1]) for v in lists]
-            out.append(pa.table([
-                *[pa.array([table[k][0].as_py()] * m, table.schema.field(k).type) for k in keys],
-                pa.array([stat] * m, pa.string()), pa.array(windows.astype(np.int32)), *[pa.array(v) for v in moments],
-                *[pa.ListArray.from_arrays(o, pa.array(v.ravel())) for o, v in zip(offsets, lists)],
-            ], names=[*keys, "stat", "_window", *_MOMENTS, "_sxy", "_sx2y"]))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _add_chunks(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up the sums of a group's chunks, element by element."""
-    moments_ = sums.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in _MOMENTS])
-    both = F.arrays_zip("_sxy", "_sx2y")
-    each = sums.select(*keys, F.posexplode(both).alias("_i", "_v")).groupBy(*keys, "_i").agg(
-        F.sum("_v._sxy").alias("a"), F.sum("_v._sx2y").alias("b")
-    )
-    # One element per repeat, so the list is bounded.
-    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "a", "b"))).alias("_l"))
-    return attach(moments_, listed.select(*keys, F.col("_l.a").alias("_sxy"), F.col("_l.b").alias("_sx2y")), keys)
-
-
 def permutation_p(scan: DataFrame, rand: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Share of repeats whose best window is at least as good as the observed best."""
     keys = [*group, *COMBO]

@@ -7,8 +7,8 @@ offsets in days before the event, ``open >= close``, negative meaning after.
 
 A linear or quadratic fit needs nine sums only. The daily series is turned into
 prefix sums once, so that the mean or slope of any window is a difference of
-two array elements; events then explode into windows inside one generated
-stage, whose output combines to one row per window before it is shuffled.
+two array elements. Chunks of events are multiplied as matrices (``products``)
+and leave one row per window.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonwin.functions.columns import NORMAL_95, day_number, normal_interval
-from seasonwin.operators.aggregate import five_numbers, histogram, moments, weighted_mean
+from seasonwin.operators.aggregate import five_numbers, histogram, weighted_mean
 from seasonwin.operators.joins import attach, attach_group, join_on
 from seasonwin.operators.ordered import cumulative_weight, fill_neighbours, interpolate_linear
+from seasonwin.operators.products import MEAN, MOMENTS, SLOPE, spread, window_sums
 from seasonwin.operators.rows import decimal_spine
+from seasonwin.session import pin
 
-MEAN, SLOPE = "mean", "slope"
 LIN, QUAD = "lin", "quad"
 BASELINE_PARAMETERS = 2
 PARAMETERS = {LIN: 3, QUAD: 4}
@@ -34,17 +35,6 @@ SINGULAR = 1e-12
 COMBO = ("variable", "stat", "func")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Few small rows that each stand for much work, one share per core.
-
-    The number is explicit: adaptive execution goes by bytes and would put them
-    all into one task.
-    """
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *keys)
-
-
 # ---------------------------------------------------------------- the series
 
 
@@ -267,24 +257,24 @@ def _fit_columns(df: DataFrame, func: Column, shift: Column | None = None) -> Da
     ).drop("_xx", "_xu", "_uu", "_xy", "_uy", "_yy")
 
 
-_SUMS = ("n", "sx", "sx2", "sx3", "sx4", "sy", "sy2", "sxy", "sx2y")
-
-
 def window_moments(
     events: DataFrame, series: DataFrame, start: int, stop: int, stats: Sequence[str],
-    exclude: tuple[int, int] | None, on: Sequence[str] = (), group: Sequence[str] = (),
+    exclude: tuple[int, int] | None, on: Sequence[str] = (), group: Sequence[str] = (), quad: bool = True,
 ) -> DataFrame:
     """The nine sums per (group, variable, stat, open, close); one pass for all stats.
 
     ``shift`` is what ``center_series`` took off the variable, 0 if nothing.
     """
     known = events.where(F.col("y").isNotNull())
-    values = window_stats(known, series, start, stop, stats, exclude, on)
-    aggregates = [F.struct(*moments(s, "y").values()).alias(s) for s in stats]
-    wide = values.groupBy(*group, "variable", "open", "close").agg(F.first("shift").alias("shift"), *aggregates)
-    per_stat = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("m")) for s in stats])
-    return wide.select(*group, "variable", "open", "close", "shift", F.explode(per_stat).alias("_s")).select(
-        *group, "variable", "_s.stat", "open", "close", "shift", "_s.m.*"
+    # Counted first, then multiplied.
+    slices = pin(event_slices(known, series, start, stop, on), "slices")
+    sums = window_sums(slices.withColumn("ys", F.array("y")), start, stop, exclude, stats, quad, group)
+    width = start - stop + 1
+    return sums.select(
+        *group, "variable", "shift", "stat",
+        (F.floor(F.col("_window") / width) + stop).cast("int").alias("open"),
+        (F.pmod(F.col("_window"), F.lit(width)) + stop).cast("int").alias("close"),
+        *MOMENTS, F.get("_sxy", F.lit(0)).alias("sxy"), F.coalesce(F.get("_sx2y", F.lit(0)), F.lit(0.0)).alias("sx2y"),
     )
 
 
@@ -307,7 +297,7 @@ def scan_windows(
     fits each group of events on its own.
     """
     centered = center_series(series)
-    sums = window_moments(events, centered, start, stop, stats, exclude, on, group)
+    sums = window_moments(events, centered, start, stop, stats, exclude, on, group, QUAD in funcs)
     per_func = sums.withColumn("func", F.explode(F.array(*[F.lit(f) for f in funcs])))
     shift = F.when(F.col("stat") == MEAN, F.col("shift")).otherwise(0.0)
     fitted = _fit_columns(per_func, F.col("func"), shift)

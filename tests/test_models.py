@@ -57,6 +57,26 @@ def test_gaussian_fit_equals_a_dense_solve(data):
     assert model.deviance == pytest.approx(((y - x @ beta) ** 2).sum())
 
 
+def test_chosen_smoothing_maximises_restricted_likelihood(data):
+    model = m.fit_additive(data, "y", [m.Smooth("x", 8)])
+    x, y = design(data, model)
+    (pen,) = model.terms[0].penalties()
+    full = np.zeros((9, 9))
+    full[1:, 1:] = pen * np.trace((x.T @ x)[1:, 1:]) / np.trace(pen)
+    ridge = 1e-8 * np.trace(x.T @ x) / 9 * np.eye(9)
+
+    def criterion(lam):
+        a = x.T @ x + lam * full + ridge
+        beta = np.linalg.solve(a, x.T @ y)
+        free = len(y) - 3
+        loss = ((y - x @ beta) ** 2).sum() + lam * beta @ full @ beta
+        return -0.5 * (free * np.log(loss / free) + np.linalg.slogdet(a)[1] - 6 * np.log(lam))
+
+    grid = np.logspace(-6, 3, 400)
+    best = grid[np.argmax([criterion(v) for v in grid])]
+    assert np.log(model.lambdas[0] / best) == pytest.approx(0.0, abs=0.2)
+
+
 def test_chosen_smoothing_finds_the_curve(data):
     model = m.fit_additive(data, "y", [m.Smooth("x", 10), m.Linear("z")])
     slope = {(r["term"], r["i"]): r["estimate"] for r in model.coefficients(data.sparkSession).collect()}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasonwin.operators import randomise, scan
+from seasonwin.operators import products, randomise, scan
 from seasonwin.operators.joins import relative_series
 
 START, STOP, EXCLUDE = 12, -4, (3, -4)
@@ -67,7 +67,9 @@ def test_window_counts(spark):
     assert scan.enumerate_windows(one, 120, -150, (9, -150)).count() == 34_453
 
 
-def test_scan_equals_a_direct_fit_of_every_window(spark):
+@pytest.mark.parametrize("per_chunk", [1024, 4])
+def test_scan_equals_a_direct_fit_of_every_window(spark, monkeypatch, per_chunk):
+    monkeypatch.setattr(products, "_EVENTS_PER_CHUNK", per_chunk)
     events, series, values, at, y = make(spark)
     got = {
         (r["stat"], r["func"], r["open"], r["close"]): r
@@ -163,7 +165,7 @@ def test_shuffle_keeps_the_responses(spark):
 
 @pytest.mark.parametrize("per_task", [1024, 8])
 def test_randomise_equals_scans_of_the_shuffled_events(spark, monkeypatch, per_task):
-    monkeypatch.setattr(randomise, "_EVENTS_PER_TASK", per_task)
+    monkeypatch.setattr(products, "_EVENTS_PER_CHUNK", per_task)
     events, series, values, at, y = make(spark, years=20)
     got = randomise.randomise_scan(events, series, 3, 9, START, STOP, EXCLUDE).collect()
     assert len(got) == 3 * 4
