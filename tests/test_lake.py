@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seasonwin.operators import models, randomise, scan
+from seasonwin.operators import scan
 from seasonwin.plans import lake
 from seasonwin.session import pin
 
