@@ -73,7 +73,7 @@ def window_sums(
     names = [f.name for f in fields]
     schema = _sums_schema(fields)
     products = _products(names, start, stop, exclude, list(stats), quad, copies, to_arrow_schema(schema))
-    # Events of a chunk meet in one task per block; each chunk is bounded.
+    # Events of a chunk meet in one task per block; hashing unique ids keeps chunks even.
     sums = spread(work, *unit).groupBy(*unit).applyInArrow(products, schema)
     if (total["most"] or 0) <= _EVENTS_PER_CHUNK:
         return sums
