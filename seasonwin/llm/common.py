@@ -49,6 +49,19 @@ def matching(rows: DataFrame, ids: DataFrame, key: str, at_most: int = SMALL_ROW
     return rows.join(ids, key, "left_semi")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Join rows with written groups of them, one row per key, that say how many rows they have.
+
+    A group with more than a 500th of all rows is sent to the rows; there can't be
+    500 of them. The others are met by a shuffle in which no key is hot.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > F.lit(total / 500))
+    found = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return found.unionByName(rest.join(groups, keys))
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks for few small rows that each stand for much work, which adaptive execution would put together."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

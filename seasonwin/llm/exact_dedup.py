@@ -14,10 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm.common import lower_ascii
-
-#: A digest with more than this share of all rows is hot; there are fewer than its reciprocal of them.
-_HOT = 1 / 500
+from seasonwin.llm.common import lower_ascii, with_groups
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,14 +68,7 @@ def mark_copies(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     """
     rows = digests(docs, doc_id, text)
     groups = index.add(rows)
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    # Few digests can be hot; their rows meet the answer without a shuffle, all others are spread evenly by their digest.
-    hot = groups.where(F.col("group_size") > F.lit(total * _HOT))
-    answers = [
-        rows.join(F.broadcast(hot), "digest"),
-        rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.hint("merge"), "digest"),
-    ]
-    return answers[0].unionByName(answers[1]).select(
+    return with_groups(rows, groups, ["digest"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm import exact_dedup, mixing, packing, token_files
+from seasonwin.llm import exact_dedup, mixing, near_dedup, packing, pii, token_files
 from seasonwin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end=0)
 
 
+@query()
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query()
+def op4_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query(f"""
 with d as (select doc_id, sha256({_LOWER}) h from documents),
 g as (select h, max(doc_id) keep_id, count(*) group_size from d group by h)
