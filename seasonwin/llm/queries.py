@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm import exact_dedup, mixing, near_dedup, packing, pii, token_files
+from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, token_files
 from seasonwin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,26 @@ from q, (values (0), (1), (2)) passes(p) group by doc_id, size, source_size, tar
 """)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, share=1.0)
+
+
+@query(r"""
+with l as (
+  select doc_id, (i - 1)::bigint as line_no, list_distinct(list_filter(regexp_split_to_array(ls[i], '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '')) ws
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents))),
+s as (select *, len(ws) n from l where len(ws) > 0),
+w as (select doc_id, line_no, n, unnest(ws) w from s),
+f as (select w, count(*) df from w group by w),
+p as (
+  select doc_id, line_no, n, w from w join f using (w)
+  qualify row_number() over (partition by doc_id, line_no order by df, w) <= n - ceil(n * 4 / 5.0) + 1),
+c as (
+  select distinct a.doc_id ad, a.line_no al, b.doc_id bd, b.line_no bl from p a join p b using (w)
+  where (a.doc_id, a.line_no) < (b.doc_id, b.line_no) and least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4),
+v as (
+  select bd, bl, len(list_intersect(x.ws, y.ws)) k, x.n + y.n t from c
+  join s x on x.doc_id = ad and x.line_no = al join s y on y.doc_id = bd and y.line_no = bl)
+select distinct bd as doc_id, bl as line_no, n::bigint as n_words from v join s on s.doc_id = bd and s.line_no = bl where k * 9 >= t * 4
+""")
+def op5_line_dedup(spark, sf_dir):
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no"), "n_words")
