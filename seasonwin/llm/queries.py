@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, token_files
+from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, token_files, toxicity
 from seasonwin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,13 @@ select distinct bd as doc_id, bl as line_no, n::bigint as n_words from v join s
 def op5_line_dedup(spark, sf_dir):
     found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no"), "n_words")
+
+
+@query()
+def op3_quality_classifier(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
