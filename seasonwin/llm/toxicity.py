@@ -29,22 +29,25 @@ from seasonwin.session import pin
 # Functions that run in tasks travel with their code, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_DECAY = 0.6
+_DECAY = 0.85
 _ORDER = 3
 _LONGEST = 24
-_ACTIVE = 0.4
-_OTHER = 27
+_ACTIVE = 0.25
+_ACCENTS = 27
+#: Words that account for a toxic training document before it counts no more.
+_BLAMED = 3
 # Digits and signs that stand for letters.
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _POWER = np.cumprod(np.full(_LONGEST + 1, np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _codes() -> np.ndarray:
-    """For each byte: 1 to 26 for letters, 27 for bytes beyond ASCII, 0 for what is left out."""
+    """For each byte: 1 to 26 for letters, from 27 on for those beyond ASCII by their last byte, 0 for what is left out."""
     table = np.zeros(256, np.uint8)
     for c in range(26):
         table[65 + c] = table[97 + c] = 1 + c
-    table[128:] = _OTHER
+    # Upper and lower case of accented Latin letters differ in one bit of their second byte.
+    table[128:192] = _ACCENTS + (np.arange(128, 192) & 31)
     for sign, letter in _STANDS_FOR.items():
         table[ord(sign)] = ord(letter) - 96
     return table
@@ -76,7 +79,7 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sentence = np.cumsum(stops) - stops
     # Letters of each word, without the signs at its ends that merely stand for letters.
     code = _CODE[data]
-    plain = (code > 0) & ((data >= 128) | (data > 57) & (data != 64))
+    plain = (code > 0) & (data > 57) & (data != 64)
     stands = (code > 0) & ~plain
     if stands.any():
         seen = np.concatenate([[0], np.cumsum(plain)])
@@ -138,10 +141,11 @@ def common_subsequences(match: np.ndarray) -> np.ndarray:
 
 
 def kernel(words: np.ndarray, own: np.ndarray, landmark: np.ndarray, landmark_own: float) -> np.ndarray:
-    """Normalised kernel of words with one landmark."""
+    """Normalised kernel of words with one landmark, squared, which sets near words apart from those that share some letters."""
     longest = int((words > 0).sum(axis=1).max()) if len(words) else 0
     match = (words[:, :longest, None] == landmark[None, None, :]).astype(np.float32)
-    return common_subsequences(match) / np.sqrt(np.maximum(own * landmark_own, 1e-12))
+    alike = common_subsequences(match) / np.sqrt(np.maximum(own * landmark_own, 1e-12))
+    return alike * alike
 
 
 def self_kernel(words: np.ndarray) -> np.ndarray:
@@ -157,21 +161,22 @@ def self_kernel(words: np.ndarray) -> np.ndarray:
 
 def _letters(words: np.ndarray) -> np.ndarray:
     """The set of letters of each word as bits."""
-    return np.bitwise_or.reduce(np.where(words > 0, np.left_shift(1, words.astype(np.int32)), 0), axis=1)
+    return np.bitwise_or.reduce(np.where(words > 0, np.uint64(1) << words.astype(np.uint64), np.uint64(0)), axis=1)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.astype(np.uint32))
+    return np.bitwise_count(x)
 
 
 def as_codes(word: str) -> np.ndarray:
-    return np.array([_OTHER if c == "?" else ord(c) - 96 for c in word], np.uint8)
+    """Letter codes of a word as ``_landmarks`` writes it: a-z, and the signs behind them for letters beyond ASCII."""
+    return np.array([ord(c) - 96 for c in word], np.uint8)
 
 
 def nearness(texts: pa.Array, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The text of each sentence that holds a word like a landmark, and its kernel values, one column per landmark.
 
-    Kernel values below 0.4 count as 0. A word with less than three fifths of a
+    Kernel values below 0.25 count as 0. A word with less than three fifths of a
     landmark's letters is unlike it.
     """
     words, _, sentence, text = words_in(texts)
@@ -232,31 +237,50 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * worst + self.offset)))
 
 
-def _landmarks(sample: DataFrame, text: str, most: int) -> list[str]:
-    """Words, written with a-z and ?, that occur in toxic training documents far more often than in others."""
+def _landmarks(sample: DataFrame, text: str, most: int, candidates: int = 2000) -> list[str]:
+    """Words of toxic training documents that together account for most of them.
+
+    Of the words that hardly occur in other documents, the one that is in most
+    toxic ones comes first, then the one in most of the rest, and so on; a document counts until three words
+    account for it. A word that merely stands in copies of one document so
+    seldom comes before the word they are toxic for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, slab in pieces_of(batch, text, 1 << 21):
+            for _, slab in pieces_of(batch, text, 1 << 21):
                 words, length, _, owner = words_in(texts_of(slab, text))
-                y = np.asarray(slab.column("y"))
-                signs = np.frombuffer(b"\0abcdefghijklmnopqrstuvwxyz?", np.uint8)
-                found = {(int(d), signs[w[:n]].tobytes().decode()) for w, n, d in zip(words, length, owner, strict=True) if n < 16}
+                names, y = slab.column("doc_id").to_pylist(), np.asarray(slab.column("y"))
+                found = {(int(d), w[:n].tobytes()) for w, n, d in zip(words, length, owner, strict=True) if _ORDER < n < 16}
                 yield pa.RecordBatch.from_pydict({
-                    "word": pa.array([w for _, w in found], pa.string()), "y": pa.array([float(y[d]) for d, _ in found], pa.float64())
+                    "doc_id": pa.array([names[d] for d, _ in found], pa.int64()),
+                    "word": pa.array(["".join(chr(96 + c) for c in w) for _, w in found], pa.string()),
+                    "y": pa.array([float(y[d]) for d, _ in found], pa.float64()),
                 })
 
-    words = sample.select(text, "y").mapInArrow(run, "word string, y double")
-    counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    rates = sample.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).first()
-    if not rates.toxic or not rates.clean:
-        return []
-    lift = F.log((F.col("toxic") + 0.5) / (rates.toxic + 1)) - F.log((F.col("clean") + 0.5) / (rates.clean + 1))
-    chosen = counts.where((F.col("toxic") >= 3) & (lift > 1.5)).orderBy((F.col("toxic") * lift).desc(), "word").limit(most)
-    return [r.word for r in chosen.select("word").collect()]
+    words = pin(sample.select("doc_id", text, "y").mapInArrow(run, "doc_id long, word string, y double"), "words")
+    counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("all"))
+    chosen = counts.where("toxic >= 3 and toxic >= 0.9 * all").orderBy(F.col("toxic").desc(), "word").limit(candidates)
+    pairs = words.where("y > 0").join(F.broadcast(chosen.select("word")), "word").select("word", "doc_id")
+    held: dict[str, set] = {}
+    for row in pairs.collect():
+        held.setdefault(row.word, set()).add(row.doc_id)
+    marks: list[str] = []
+    times: dict[int, int] = {}
+    while held and len(marks) < most:
+        best = max(sorted(held), key=lambda w: (len(held[w]), -len(w)))
+        covered = held.pop(best)
+        if len(covered) < 3:
+            break
+        marks.append(best)
+        for d in covered:
+            times[d] = times.get(d, 0) + 1
+        done = {d for d in covered if times[d] >= _BLAMED}
+        held = {w: rest for w, docs in held.items() if (rest := docs - done)}
+    return marks
 
 
-def _separate(x: np.ndarray, y: np.ndarray, cost: float = 4.0) -> tuple[np.ndarray, float]:
+def _separate(x: np.ndarray, y: np.ndarray, cost: float = 30.0) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps; both classes weigh the same."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)) * cost
@@ -285,8 +309,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, landmarks: int = 32, doc_id: str = "doc_id", text: str = "text") -> Model | None:
-    """Learn from a bounded sample of labelled documents, of which at most 8 sentences each reach the driver.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, landmarks: int = 64, doc_id: str = "doc_id", text: str = "text") -> Model | None:
+    """Learn from a bounded sample of labelled documents, of which at most 8 sentences each reach the driver,
+    and the toxic ones in which each of 2,000 words occurs.
 
     None if there is no toxic or no other document, or no word sets them apart.
     """
