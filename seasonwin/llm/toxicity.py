@@ -355,11 +355,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
     margin = near.sum(axis=1)
     has_any = margin > 0
     for _ in range(5):
-        # Of a toxic document the worst sentence stands for its label; it needs a word to blame.
+        # Of a toxic document the worst sentence stands for its label, if it has a word to blame, and those with a landmark itself.
         order = np.lexsort((-margin, owner))
         top = order[np.concatenate([[True], np.diff(owner[order]) > 0])]
         use = ~toxic
         use[top] |= toxic[top] & has_any[top]
+        use |= toxic & (near.max(axis=1) >= 0.9)
         if not (use & toxic).any() or not (use & ~toxic).any():
             return None
         weights, bias = _separate(features[use], np.where(toxic[use], 1.0, -1.0))
