@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, token_files, toxicity
+from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, token_files, toxicity
 from seasonwin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op3_quality_classifier(spark, sf_dir):
 @query()
 def op8_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+@query()
+def op10_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
