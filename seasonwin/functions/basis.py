@@ -22,16 +22,17 @@ def _bump(u: Column) -> Column:
 
 
 def spline_basis(x: Column | str, low: float, high: float, k: int) -> Column:
-    """``k`` basis functions over ``[low, high]``; values outside count as the nearer end."""
+    """``k`` basis functions over ``[low, high]``; values outside count as the nearer end, missing ones have none."""
     if k < 4:
         raise ValueError("a cubic basis has at least 4 functions")
     step = (high - low) / (k - 3)
     inside = F.greatest(F.lit(low), F.least(F.lit(high), col(x).cast("double")))
-    return F.array(*[_bump(F.abs(inside - F.lit(low + (i - 1) * step)) / F.lit(step)) for i in range(k)])
+    bumps = [_bump(F.abs(inside - F.lit(low + (i - 1) * step)) / F.lit(step)) for i in range(k)]
+    return F.when(col(x).isNotNull(), F.array(*bumps))
 
 
 def cyclic_basis(x: Column | str, low: float, high: float, k: int) -> Column:
-    """``k`` basis functions of period ``high - low``; values outside are wrapped."""
+    """``k`` basis functions of period ``high - low``; values outside are wrapped, missing ones have none."""
     if k < 4:
         raise ValueError("a cubic basis has at least 4 functions")
     period = high - low
@@ -40,7 +41,7 @@ def cyclic_basis(x: Column | str, low: float, high: float, k: int) -> Column:
     for i in range(k):
         away = F.pmod(col(x).cast("double") - F.lit(low + i * step), F.lit(period))
         bumps.append(_bump(F.least(away, F.lit(period) - away) / F.lit(step)))
-    return F.array(*bumps)
+    return F.when(col(x).isNotNull(), F.array(*bumps))
 
 
 def indicator_basis(group: Column | str, levels: Sequence) -> Column:

@@ -144,7 +144,7 @@ def daylength(latitude: float, doy: Column | str) -> Column:
         F.lit(math.sin(math.radians(_HORIZON_DEGREES))) + F.lit(math.sin(lat)) * F.sin(declination)
     ) / (F.lit(math.cos(lat)) * F.cos(declination))
     clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), hour_angle))
-    return F.lit(24.0) - F.lit(24.0 / math.pi) * F.acos(clamped)
+    return F.when(col(doy).isNotNull(), F.lit(24.0) - F.lit(24.0 / math.pi) * F.acos(clamped))
 
 
 def normal_interval(fit: Column | str, se: Column | str, z: float = NORMAL_95) -> tuple[Column, Column]:

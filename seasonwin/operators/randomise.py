@@ -76,10 +76,10 @@ def randomise_scan(
     known = events.where(F.col("y").isNotNull())
     # Read several times below: counted, shuffled and multiplied.
     covered = pin(event_slices(known, center_series(series), start, stop, on), "slices")
-    # Shuffle among the events that are fitted, not those the series does not cover.
-    fitted = covered.groupBy(*group, "event_id").agg(F.first("y").alias("y"))
-    shuffled = shuffled_responses(fitted, repeats, seed, group)
-    work = attach(covered, shuffled, [*group, "event_id"], "inner")
+    # Shuffle among the events that are fitted: each variable's own, as series may cover different ones.
+    fitted = covered.groupBy(*group, "variable", "event_id").agg(F.first("y").alias("y"))
+    shuffled = shuffled_responses(fitted, repeats, seed, [*group, "variable"])
+    work = attach(covered, shuffled, [*group, "variable", "event_id"], "inner")
     sums = window_sums(work, start, stop, exclude, stats, QUAD in funcs, group, covered)
     return _best_of_repeats(sums, start, stop, funcs, group)
 

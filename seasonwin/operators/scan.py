@@ -41,13 +41,14 @@ COMBO = ("variable", "stat", "func")
 def complete_series(
     series: DataFrame, keys: Sequence[str] = ("variable",), on_gap: str = "interpolate"
 ) -> DataFrame:
-    """One value per calendar day from a series' first to last day.
+    """One value per calendar day from a series' first to last day; a day given twice counts with its mean.
 
     A missing day takes the mean of the two days on either side. Days that this
     cannot fill are interpolated, or raise with ``on_gap="error"``.
     The calendar bounds the rows of each series.
     """
     keys = list(keys)
+    series = series.groupBy(*keys, "date").agg(F.avg("value").alias("value"))
     following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
     until = F.coalesce(F.date_sub(following, 1), F.col("date"))
     # Each known day is followed by the empty days up to the next one.
@@ -404,13 +405,14 @@ def _with_interval(points: DataFrame, data: DataFrame, keys: Sequence[str], z: f
     x, u, n = F.col("climate"), F.col("climate") - F.col("_mid"), F.col("n").cast("double")
     quad = F.col("func") == QUAD
     # Leverage in x and the part of x squared that x does not explain.
-    rest = u * u - F.col("_s2") / n - F.col("_s3") / F.col("_s2") * u
-    rest_ss = F.col("_s4") - F.col("_s2") * F.col("_s2") / n - F.col("_s3") * F.col("_s3") / F.col("_s2")
-    leverage = 1 / n + u * u / F.col("_s2") + F.when(quad, rest * rest / rest_ss).otherwise(0.0)
+    ratio = F.try_divide("_s3", "_s2")
+    rest = u * u - F.col("_s2") / n - ratio * u
+    rest_ss = F.col("_s4") - F.col("_s2") * F.col("_s2") / n - F.col("_s3") * ratio
+    leverage = 1 / n + F.try_divide(u * u, F.col("_s2")) + F.when(quad, F.try_divide(rest * rest, rest_ss)).otherwise(0.0)
     free = n - F.when(quad, 3).otherwise(2)
     df = df.withColumn(
         "pred", F.col("b0") + F.col("b1") * x + F.coalesce(F.col("b2"), F.lit(0.0)) * x * x
-    ).withColumn("se", F.sqrt(F.col("rss") / free * leverage))
+    ).withColumn("se", F.sqrt(F.try_divide(F.col("rss"), free) * leverage))
     low, high = normal_interval("pred", "se", z)
     return df.withColumns({"LCI": low, "UCI": high}).drop("_mid", "_s2", "_s3", "_s4")
 

@@ -86,7 +86,11 @@ series as (
   left join near a on a.variable = m.variable and a.rn = m.p
   left join near b on b.variable = m.variable and b.rn = m.q)"""
 
-_EVENTS = """
+def _events(start: int, stop: int) -> str:
+    return _EVENTS_TEXT.format(start=start, stop=stop)
+
+
+_EVENTS_TEXT = """
 monthly as (
   select cast(date_trunc('month', o_orderdate) as date) as bdate,
     sum(case when o_orderstatus = 'F' then o_totalprice end) as f,
@@ -100,7 +104,8 @@ events0 as (
 ends as (select variable, min(date) as d0, max(date) as d1 from series group by 1),
 ev as (
   select e.*, ends.variable from events0 e, ends
-  where e.bdate - {start} >= d0 and e.bdate - {stop} <= d1)""".format(start=START, stop=STOP)
+  where e.bdate - {start} >= d0 and e.bdate - {stop} <= d1)"""
+_EVENTS = _events(START, STOP)
 
 _WINDOWS = """
 offsets as (select cast(unnest(range({stop}, {start} + 1)) as int) as o),
@@ -413,11 +418,59 @@ def _yearly_sites(spark, sf_dir):
     return events, pin(complete, "site-series")
 
 
-@query()
+def _prefix_scan(start: int, stop: int, exclude: tuple[int, int]) -> str:
+    """The scan from running sums: a window's sums are differences of two days' running sums."""
+    a = 2 * math.pi
+    return f"""
+rel as (
+  select e.variable, e.event_id, e.y, datediff('day', s.date, e.bdate) as o, s.value,
+    sum(s.value) over past as cs, sum(s.value * datediff('day', s.date, e.bdate)) over past as ct
+  from ev e join series s on s.variable = e.variable and s.date between e.bdate - {start} and e.bdate - ({stop})
+  window past as (partition by e.variable, e.event_id order by s.date desc)),
+offsets as (select cast(unnest(range({stop}, {start} + 1)) as int) as o),
+windows as (
+  select a.o as open, b.o as close, a.o - b.o + 1.0::double as days from offsets a, offsets b
+  where a.o >= b.o and not (a.o - b.o + 1 <= {exclude[0]} and b.o >= {exclude[1]})),
+w0 as (
+  select a.variable, a.y, w.open, w.close, w.days, a.cs - b.cs + b.value as total,
+    a.ct - b.ct + b.value * w.close as moment
+  from windows w join rel a on a.o = w.open
+  join rel b on b.variable = a.variable and b.event_id = a.event_id and b.o = w.close),
+x as (
+  select variable, 'mean' as stat, open, close, y, total / days as x from w0
+  union all
+  select variable, 'slope', open, close, y,
+    ((open + close) / 2.0::double * total - moment) / (days * (days * days - 1) / 12) from w0 where days > 1),
+mid as (select variable, stat, open, close, avg(x) as mx, avg(y) as my from x group by all),
+sums as (
+  select variable, stat, open, close, count(*) as n, sum(z * z) as s2, sum(z * z * z) as s3, sum(z * z * z * z) as s4,
+    sum(z * v) as sxy, sum(z * z * v) as suy, sum(v * v) as syy
+  from (select x.*, x - mx as z, y - my as v from x join mid using (variable, stat, open, close)) group by all),
+explained as (
+  select *, s4 - s2 * s2 / n as uu, sxy * sxy / s2 as lin_ss from sums),
+fits as (
+  select variable, stat, 'lin' as func, open, close, n, syy, syy - lin_ss as rss, 3 as k from explained
+  union all
+  select variable, stat, 'quad', open, close, n, syy,
+    syy - (uu * sxy * sxy - 2 * s3 * sxy * suy + s2 * suy * suy) / (s2 * uu - s3 * s3), 4 from explained),
+crit as (
+  select *, n * (ln({a} * rss / n) + 1) + 2 * k + 2.0 * k * (k + 1) / (n - k - 1) as aicc,
+    n * (ln({a} * syy / n) + 1) + 4 + 12.0 / (n - 3) as aicc0
+  from fits),
+scan as (
+  select *, exp(-(aicc - best) / 2) / sum(exp(-(aicc - best) / 2)) over (partition by variable, stat, func) as weight
+  from (select *, min(aicc) over (partition by variable, stat, func) as best from crit))"""
+
+
+@query(
+    _ctes(_SERIES, _events(120, -150), _prefix_scan(120, -150, (10, -150)))
+    + f""" select variable, stat, func, open, close, n, {r('1 - rss / syy', 3)} as r2, {r('aicc - aicc0', 3)} as delta_aicc,
+    {r('weight', 5)} as weight from scan"""
+)
 def scan_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 34,191 windows from 120 days before to 150 after, all eight combinations: the best 12 of each."""
+    """All 34,191 windows from 120 days before to 150 after, all eight combinations."""
     fits = scan.scan_windows(order_events(spark, sf_dir), order_series(spark, sf_dir), **_FULL)
-    return rounded(scan.best_windows(fits, 12))
+    return rounded(fits.select(*scan.COMBO, "open", "close", "n", "r2", "delta_aicc", "weight"), 3, weight=5)
 
 
 @query()

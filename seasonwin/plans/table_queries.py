@@ -220,14 +220,14 @@ def daily_orders(spark, sf_dir):
 
 
 def daily_lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(
+    return table(spark, sf_dir, "lineitem").groupBy(
         to_date("l_shipdate").alias("DATE")
     ).agg(F.avg(F.log("l_extendedprice")).alias("cost"))
 
 
 _DAILY = """o as (select cast(o_orderdate as date) as d, count(*) as n, avg(ln(o_totalprice)) as price from orders group by 1),
   l as (select cast(l_shipdate as date) as d, avg(ln(l_extendedprice)) as cost from lineitem
-    where l_returnflag = 'R' group by 1)"""
+    group by 1)"""
 
 
 @query(f"""with {_DAILY} select cast(o.d as varchar) as "Date", n, {r('price')} as price, {r('cost')} as cost

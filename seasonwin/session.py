@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        # Executors of their own, as in local-cluster, may not see this process's folder.
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="seasonwin-"))
         base = context.getCheckpointDir()
