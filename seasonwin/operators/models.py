@@ -516,7 +516,7 @@ def score(df: DataFrame, model: AdditiveModel, type: str = "response", se: bool
 
 
 def _linear(df: DataFrame, row: Column, beta: np.ndarray, cov: np.ndarray, out: str) -> DataFrame:
-    """Add ``out``, the product of a design row and coefficients, and its ``se``."""
+    """Add ``out``, the product of a design row and coefficients, and its ``se``; missing where the row is."""
     weights, spread, p = beta.tolist(), cov.tolist(), len(beta)
     names = [*df.columns, out, "se"]
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType()), T.StructField("se", T.DoubleType())])
@@ -524,9 +524,12 @@ def _linear(df: DataFrame, row: Column, beta: np.ndarray, cov: np.ndarray, out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, v = np.asarray(weights), np.asarray(spread)
         for batch in batches:
-            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            rows = batch.column(batch.num_columns - 1)
+            known = np.asarray(rows.is_valid())
+            x = np.zeros((len(rows), p))
+            x[known] = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             se = np.sqrt(np.maximum(np.einsum("ij,ij->i", x @ v, x), 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x @ b), pa.array(se)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x @ b, mask=~known), pa.array(se, mask=~known)], names)
 
     return df.withColumn("_row", row).mapInArrow(run, schema)
 
