@@ -5,7 +5,9 @@ their sets is at least 0.8. Lines with the same set are put together first.
 The words of each are ordered by rarity, rarest first. Two alike lines must
 share a word among the first few of both (prefix filter), at places that leave
 enough words behind (positional filter), and differ little in size (length
-filter). What passes is verified on the words themselves.
+filter). Each line also carries 128 bits, one set for each word by a hash: more
+differing bits than words may differ rule a pair out before its words are
+fetched. What passes is verified on the words' 64-bit hashes.
 
 Rarity is the count of a word's hash in a table of fixed size, in classes of
 its logarithm; any order that all lines share makes the filters exact.
@@ -33,11 +35,16 @@ _GAP = "[\\x20\\x09\\x0B-\\x0D]+"
 _NUM, _DEN = 4, 5
 
 
+def _id(docs: DataFrame, doc_id: str, own: Column) -> Column:
+    """The document's number; documents without an id get one below all others, from their text."""
+    nameless = F.shiftrightunsigned(F.xxhash64(own), 2) + F.lit(-(1 << 63))
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), nameless)
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All lines with words: ``doc, row`` (a hash of id and text), ``line`` (from 0) and the trimmed ``words``."""
+    """All lines with words: ``doc, line`` (from 0) and the trimmed ``words``."""
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    doc = F.col(f"`{doc_id}`").cast("long")
-    rows = docs.select(doc.alias("doc"), F.xxhash64(doc, own).alias("row"), F.posexplode(F.split(own, "\n")).alias("line", "words"))
+    rows = docs.select(_id(docs, doc_id, own).alias("doc"), F.posexplode(F.split(own, "\n")).alias("line", "words"))
     return rows.withColumn("words", F.btrim("words", F.lit(_BLANK))).where("words <> ''")
 
 
@@ -56,98 +63,110 @@ def _prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * _NUM / _DEN) + 1).cast("int")
 
 
-def _later(a: str, b: str) -> Column:
-    """Whether line b comes after line a."""
-    order = lambda x: F.struct(f"{x}doc", f"{x}row", f"{x}line")
-    return order(a) < order(b)
+def _bits(hashes: Column) -> Column:
+    """128 bits of which each element sets one, as two numbers."""
+    place = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(127).cast("int")
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h) % 64)
+    zero = F.lit(0).cast("long")
+    return F.aggregate(
+        hashes, F.struct(zero.alias("low"), zero.alias("high")),
+        lambda b, h: F.struct(
+            b["low"].bitwiseOR(F.when(place(h) < 64, one(h)).otherwise(zero)).alias("low"),
+            b["high"].bitwiseOR(F.when(place(h) >= 64, one(h)).otherwise(zero)).alias("high"),
+        ),
+    )
 
 
-def _passes() -> Column:
-    """Length and positional filter of a pair that shares a word."""
+def _may_be_alike() -> Column:
+    """Order, length, positional and bit filters of a pair that shares a word: b the later one."""
     n, m = F.col("a_n"), F.col("b_n")
     common = 1 + F.least(n - F.col("a_pos") - 1, m - F.col("b_pos") - 1)
-    return (F.least(n, m) * _DEN >= F.greatest(n, m) * _NUM) & (common * (_NUM + _DEN) >= (n + m) * _NUM)
+    differ = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
+    later = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
+    fits = (F.least(n, m) * _DEN >= F.greatest(n, m) * _NUM) & (common * (_NUM + _DEN) >= (n + m) * _NUM)
+    # Alike sets differ by at most (n + m) * (1 - s) / (1 + s) words.
+    return later & fits & (differ * (_NUM + _DEN) <= (n + m) * (_DEN - _NUM))
+
+
+_OF_LINE = ("doc", "line", "n", "pos", "low", "high")
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "row", "line", "n", "pos")))
+    return rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in _OF_LINE))
 
 
-_A, _B = ("a_doc", "a_row", "a_line"), ("b_doc", "b_row", "b_line")
+def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    found = _side(later, "b").join(_side(earlier, "a"), "key").where(_may_be_alike())
+    return found.select("a_doc", "a_line", "b_doc", "b_line").distinct()
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The later lines of the pairs that are alike by their words."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later lines of the pairs that are alike."""
     for s in ("a", "b"):
-        own = words.select(F.col("row").alias(f"{s}_row"), F.col("line").alias(f"{s}_line"), F.col("set").alias(f"{s}_set"))
-        pairs = pairs.join(own, [f"{s}_row", f"{s}_line"])
+        own = sets.select(F.col("doc").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("set").alias(f"{s}_set"))
+        pairs = pairs.join(own, [f"{s}_doc", f"{s}_line"])
     common = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - common
-    return pairs.where(common * _DEN >= union * _NUM).select(*_B).distinct()
+    return pairs.where(common * _DEN >= union * _NUM).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The distinct words' hashes of the lines in some pairs."""
+    ids = pairs.selectExpr("a_doc as doc", "a_line as line").unionByName(pairs.selectExpr("b_doc as doc", "b_line as line"))
+    ids = pin(ids.distinct(), "line_ids")
+    if ids.count() <= SMALL_ROWS:
+        ids = F.broadcast(ids)
+    found = _lines(docs, doc_id, text).join(ids, ["doc", "line"], "left_semi")
+    return pin(found.select("doc", "line", _hashes().alias("set")), "line_words")
+
+
+def _hashes() -> Column:
+    return F.array_distinct(F.transform(F.split("words", _GAP), lambda w: F.xxhash64(w)))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines that are alike an earlier one: ``doc, row, line, n_words`` (distinct words).
+    """Lines that are alike an earlier one: ``doc, line, n_words`` (distinct words).
 
     Earlier is the order of document id (null first) and of lines in a document,
     numbered from 0. Lines without words are never repeated; null and empty
-    texts have no others. Rows with the same id and text are one document.
+    texts have no others. Rows that repeat an id should repeat its text; they
+    are one document. A null id is shown as a number made from the text.
     """
     rarity = _rarity(docs, text)
-    hashes = F.array_distinct(F.transform(F.split("words", _GAP), lambda w: F.xxhash64(w)))
     key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(_BUCKETS - 1).cast("int")).cast("long"), 57).bitwiseOR(
         F.shiftrightunsigned(h, 7)
     )
-    sets = _lines(docs, doc_id, text).select("doc", "row", "line", hashes.alias("_h"))
-    sets = sets.select("doc", "row", "line", F.size("_h").alias("n"), F.sort_array(F.transform("_h", key)).alias("_k"))
+    sets = _lines(docs, doc_id, text).select("doc", "line", _hashes().alias("_h"))
+    sets = sets.select("doc", "line", F.size("_h").alias("n"), _bits(F.col("_h")).alias("_b"), F.sort_array(F.transform("_h", key)).alias("_k"))
     lines = pin(
         sets.select(
-            "doc", "row", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"),
+            "doc", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"), "_b.low", "_b.high",
             F.slice("_k", 1, _prefix_length(F.col("n"))).alias("prefix"),
         ),
         "lines",
     )
-    groups = lines.groupBy("h1", "h2", "n").agg(
-        F.min(F.struct("doc", "row", "line", "prefix")).alias("first"), F.count(F.lit(1)).alias("rows")
-    )
+    groups = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("rows"))
     groups = pin(groups.select("h1", "h2", "n", "first.*", "rows"), "line_sets")
-    copied = groups.where("rows > 1").select("h1", "h2", "n", F.col("doc").alias("_d"), F.col("row").alias("_r"), F.col("line").alias("_l"), "rows")
-    again = with_groups(lines.select("doc", "row", "line", "n", "h1", "h2"), copied, ["h1", "h2", "n"], "rows").where(
-        "line <> _l or row <> _r"
-    )
+    several = groups.where("rows > 1").withColumnsRenamed({"doc": "_doc", "line": "_line"})
+    copies = with_groups(lines.select("doc", "line", "n", "h1", "h2"), several, ["h1", "h2", "n"], "rows")
+    copies = pin(copies.where("doc <> _doc or line <> _line").select("doc", "line", "n"), "copies")
+    known = copies.select("doc", "line")
+    firsts = lines.where("n > 3").join(F.broadcast(known) if copies.count() <= SMALL_ROWS else known, ["doc", "line"], "left_anti")
 
     # Sets of up to three words are alike only if equal.
-    keyed = groups.where("n > 3").select("doc", "row", "line", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    keyed = firsts.select("doc", "line", "n", "low", "high", F.posexplode("prefix").alias("pos", "key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("key")
     keyed = pin(keyed.join(shared.hint("shuffle_hash"), "key"), "prefixes")
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("doc", "row", "line", "n", "pos")).alias("f")).select("key", "f.*")
-    first_pairs = _side(keyed, "b").join(_side(earliest, "a"), "key").where(_later("a_", "b_") & _passes())
-    first_pairs = pin(first_pairs.select(*_A, *_B).distinct(), "line_pairs")
-    words = _words(docs, first_pairs, doc_id, text)
-    decided = pin(_verified(first_pairs, words), "decided")
-
-    undecided = _side(keyed, "b").join(decided.select("b_row", "b_line"), ["b_row", "b_line"], "left_anti")
-    pairs = undecided.join(_side(keyed, "a"), "key").where(_later("a_", "b_") & _passes()).select(*_A, *_B).distinct()
-    pairs = pin(pairs.join(first_pairs.select("a_row", "a_line", "b_row", "b_line"), ["a_row", "a_line", "b_row", "b_line"], "left_anti"), "line_pairs")
-    rest = _verified(pairs, _words(docs, pairs, doc_id, text))
-    alike = decided.unionByName(rest).toDF("doc", "row", "line")
-    # All lines with the set of an alike line go with it.
-    alike = alike.select(F.col("row").alias("_r"), F.col("line").alias("_l"))
-    gone = groups.select("doc", "row", "line", "n", F.col("row").alias("_r"), F.col("line").alias("_l")).join(alike, ["_r", "_l"], "left_semi")
-    out = again.select("doc", "row", "line", "n").unionByName(gone.select("doc", "row", "line", "n"))
-    return out.select("doc", "row", "line", F.col("n").cast("long").alias("n_words"))
-
-
-def _words(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The distinct words of the lines in some pairs."""
-    ids = pairs.select(F.col("a_row").alias("row"), F.col("a_line").alias("line")).unionByName(
-        pairs.select(F.col("b_row").alias("row"), F.col("b_line").alias("line"))
-    )
-    ids = pin(ids.distinct(), "line_ids")
-    if ids.count() <= SMALL_ROWS:
-        ids = F.broadcast(ids)
-    found = _lines(docs, doc_id, text).join(ids, ["row", "line"], "left_semi")
-    return pin(found.select("row", "line", F.array_distinct(F.split("words", _GAP)).alias("set")).dropDuplicates(["row", "line"]), "line_words")
+    earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f")).select("key", "f.*")
+    first_pairs = pin(_pairs(earliest, keyed), "line_pairs")
+    decided = pin(_verified(first_pairs, _sets(docs, first_pairs, doc_id, text)), "decided")
+    undecided = keyed.join(decided, ["doc", "line"], "left_anti")
+    pairs = pin(_pairs(keyed, undecided).join(first_pairs, first_pairs.columns, "left_anti"), "line_pairs")
+    rest = _verified(pairs, _sets(docs, pairs, doc_id, text))
+
+    # The first line of a set goes if it is alike an earlier one; the others of its set go in any case.
+    alike = groups.join(decided.unionByName(rest).distinct(), ["doc", "line"], "left_semi").select("doc", "line", "n")
+    return copies.unionByName(alike).select("doc", "line", F.col("n").cast("long").alias("n_words"))
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -157,13 +176,13 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     but blank lines would be left goes as a whole; other documents keep their
     text to the letter.
     """
-    row, gone, left = fresh(docs, "_row", "_gone", "_left")
+    doc, gone, left = fresh(docs, "_doc", "_gone", "_left")
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = repeated_lines(docs, doc_id, text).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone))
+    found = repeated_lines(docs, doc_id, text).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(gone))
     found = pin(found, "repeated")
-    if found.agg(F.sum(F.size(gone))).first()[0] or 0 <= SMALL_ROWS:
+    if (found.agg(F.sum(F.size(gone))).first()[0] or 0) <= SMALL_ROWS:
         found = F.broadcast(found)
-    named = docs.withColumn(row, F.xxhash64(F.col(f"`{doc_id}`").cast("long"), own)).join(found, row, "left")
+    named = docs.withColumn(doc, _id(docs, doc_id, own)).join(found, doc, "left")
     kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     named = named.withColumn(left, F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(kept))
     named = named.where(F.col(gone).isNull() | (F.btrim(left, F.lit(_BLANK + "\n")) != ""))
