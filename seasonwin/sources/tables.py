@@ -53,8 +53,16 @@ def read_table(
     schema: dict[str, str] | T.StructType | None = None,
     sep: str = ",",
     date_format: str = DATE_FORMAT,
+    infer: bool = False,
 ) -> DataFrame:
-    """A delimited file with a header; ``schema=None`` infers it (small files only)."""
+    """A delimited file with a header.
+
+    With ``infer`` (one more pass: small files only) columns that ``schema``
+    doesn't name are inferred and the others have the types named, in the order of the file.
+    """
+    if schema is None and not infer:
+        raise ValueError("name the columns' types, or ask for them to be inferred")
+    named = schema_of(**schema) if isinstance(schema, dict) else schema
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -62,13 +70,22 @@ def read_table(
         .option("nullValue", NA_TEXT)
         .option("mode", "PERMISSIVE")
     )
-    if schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(schema_of(**schema) if isinstance(schema, dict) else schema)
+    if infer:
+        found = reader.option("inferSchema", True).csv(path).schema
+        types = {f.name: f for f in named.fields} if named else {}
+        if unknown := types.keys() - set(found.names):
+            raise ValueError(f"no such columns: {sorted(unknown)}")
+        named = T.StructType([types.get(f.name, f) for f in found.fields])
+        reader = reader.option("inferSchema", False)
+    reader = reader.schema(named)
     return clean_missing(reader.csv(path))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """Dots in column names become underscores, as the analyses write them."""
+    return df.toDF(*(n.replace(".", "_") for n in df.columns))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -92,9 +109,10 @@ def write_table(
     date_format: str = DATE_FORMAT,
     sep: str = ",",
     partition_by: list[str] | None = None,
+    mode: str = "overwrite",
 ) -> None:
     """Write Parquet, or CSV with header, quoting and an explicit date format."""
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if format == "csv":

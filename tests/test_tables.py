@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seasonwin.operators import aggregate, joins, rows
 from seasonwin.session import new_shared_path
-from seasonwin.sources.tables import ICE_YEARS, read_table, write_table
+from seasonwin.sources.tables import ICE_YEARS, plain_names, read_table, write_table
 
 
 def test_csv_has_dates_gaps_and_quotes(spark):
@@ -139,3 +139,26 @@ def test_mean_date_keeps_the_fraction(spark):
 def test_weighted_mean(spark):
     df = spark.createDataFrame([(1.0, 1.0), (4.0, 3.0), (None, 5.0)], "v double, w double")
     assert df.agg(aggregate.weighted_mean("v", "w")).first()[0] == pytest.approx(13 / 4)
+
+
+def test_partly_typed_and_inferred_reads(spark, tmp_path):
+    path = tmp_path / "temps.csv"
+    path.write_text("Date,Year,WaterTempC.AM,Notes\n1/2/2001,2001,NA,x\n3/4/2002,2002,4,NA\n")
+    partly = read_table(spark, str(path), {"Date": "date", "WaterTempC.AM": "double"}, infer=True)
+    assert dict(partly.dtypes) == {"Date": "date", "Year": "int", "WaterTempC.AM": "double", "Notes": "string"}
+    rows = plain_names(partly).orderBy("Date").collect()
+    assert [(str(r.Date), r.Year, r.WaterTempC_AM, r.Notes) for r in rows] == [("2001-01-02", 2001, None, "x"), ("2002-03-04", 2002, 4.0, None)]
+    assert dict(read_table(spark, str(path), infer=True).dtypes)["Year"] == "int"
+    with pytest.raises(ValueError, match="inferred"):
+        read_table(spark, str(path))
+    with pytest.raises(ValueError, match="no such"):
+        read_table(spark, str(path), {"Nothing": "int"}, infer=True)
+
+
+def test_writing_again_replaces(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for n in (3, 2):
+        write_table(spark.range(n), path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception, match="already exists"):
+        write_table(spark.range(1), path, mode="errorifexists")
