@@ -37,7 +37,22 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end=0)
 
 
-@query()
+@query(rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct doc_id, sh from (select doc_id, unnest(case
+    when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) sh from d)),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as (
+  select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 85 * (nx.n + ny.n - k)),
+e as (select x a, y b from l union all select y, x from l),
+r as (select doc_id as node, doc_id as c from documents union select e.b, r.c from r join e on e.a = r.node),
+c as (select node, min(c) c from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept
+from documents left join n using (doc_id) join c on c.node = doc_id
+""")
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
