@@ -11,8 +11,11 @@ order is start, start + step, start + 2 step ... modulo m.
 Documents with equal sets are one node from the start. Nodes that share a band
 are candidates. A bucket of candidates is not paired out: its members are
 compared with one of them (another in each round), verified links make
-components, and only members that are still in different components of a
-bucket are paired in the end, so that no link between components is lost.
+components, and only members outside the largest component of a bucket meet
+the others in the end, so that no link between components is lost. Counts of the
+elements that a set has in common with any other bound its intersections, and
+bitmaps of the sets bound their differences from below; both keep apart what
+can't be alike before any set is fetched.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonwin.llm.common import fresh, matching, mixed, pieces_of, texts_of, with_groups
@@ -42,6 +45,8 @@ _DRAWN = np.random.default_rng(20)
 _BYTE = _DRAWN.integers(1 << 63, size=256, dtype=np.uint64)
 _ODD = _DRAWN.integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint64(2**64 - 1)
+#: 64-bit words of a set's bitmap.
+_WORDS = 32
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +141,21 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """The full sets of some documents as arrays."""
+    """The full sets of some documents as arrays: ``node, elements``, and ``bits``, a bitmap in which each element sets one bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, slab in pieces_of(batch, text, 1 << 21):
                 elements, sizes = shingle_sets(texts_of(slab, text), width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([slab.column("node"), lists], ["node", "elements"])
+                bits = np.zeros((len(sizes), _WORDS), np.uint64)
+                place = (elements % np.uint64(64 * _WORDS)).astype(np.int64)
+                np.bitwise_or.at(bits, (np.repeat(np.arange(len(sizes)), sizes), place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * _WORDS, pa.int32()), pa.array(bits.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([slab.column("node"), lists, maps], ["node", "elements", "bits"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), text)
-    return matching(rows, ids, "node").mapInArrow(run, "node long, elements array<long>")
+    return matching(rows, ids, "node").mapInArrow(run, "node long, elements array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,29 +197,63 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return members.join(shared, "band").select("band", "node", "n")
 
 
-def _centre_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with the one of its bucket that comes first in the order of this turn."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)), "node", F.col("n").alias("m"), F.col("component").alias("other"))
-    centre = members.groupBy("band").agg(F.min(order).alias("_first"))
-    pairs = members.join(centre.select("band", "_first.node", "_first.m", "_first.other").toDF("band", "b", "m", "other"), "band")
-    return pairs.where("component <> other").select(F.col("node").alias("a"), "b", "n", "m")
+def _common_elements(sets: DataFrame) -> DataFrame:
+    """How many elements of each candidate's set another candidate has too: ``node, common``."""
+    elements = sets.select("node", F.explode("elements").alias("element")).repartition("element")
+    twice = elements.groupBy("element").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("element")
+    return elements.join(twice.hint("shuffle_hash"), "element").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are in different components."""
-    held = members.select("band", "component").distinct()
-    split = held.groupBy("band").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("band")
-    held = held.join(split, "band")
-    meet = held.join(held.withColumnRenamed("component", "other"), "band").where("component < other")
-    left = members.join(meet, ["band", "component"]).select("band", F.col("other").alias("component"), F.col("node").alias("a"), "n")
-    right = members.select("band", "component", F.col("node").alias("b"), F.col("n").alias("m"))
-    return left.join(right, ["band", "component"]).select("a", "b", "n", "m")
+def _fits(percent: int) -> Column:
+    """Whether sizes and common elements of two sets allow the similarity.
+
+    The intersection is at most the smaller ``common``; the union is what both
+    sizes add up to, less the intersection.
+    """
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return sizes & (F.least("common", "other_common") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+
+
+def _as_other(members: DataFrame) -> DataFrame:
+    return members.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("common").alias("other_common"), F.col("component").alias("other"))
+
+
+def _centre_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member of a bucket with one of them: first the one with the least of its own, later one drawn by a hash."""
+    drawn = F.xxhash64("node", F.lit(turn))
+    order = F.struct(F.lit(0.0) if turn else -F.col("common") / F.col("n"), drawn, "node", "n", "common", "component")
+    centre = members.groupBy("band").agg(F.min(order).alias("f")).select("band", "f.node", "f.n", "f.common", "f.component")
+    pairs = members.join(_as_other(centre), "band").where((F.col("component") != F.col("other")) & _fits(percent))
+    return pairs.select(F.col("node").alias("a"), "b")
+
+
+def _cross_pairs(members: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components: members outside its largest component with all others.
+
+    A pair is formed in the least band it shares. Sets that are alike differ in
+    at most (n + m) * (1 - s) / (1 + s) elements, and so do their bitmaps in bits.
+    """
+    held = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = held.groupBy("band").agg(F.max(F.struct("k", "component")).alias("f"), F.count(F.lit(1)).alias("parts"))
+    largest = largest.where("parts > 1").select("band", F.col("f.component").alias("main"))
+    split = members.join(largest, "band").join(traits, "node")
+    others = split.select(
+        "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("common").alias("other_common"), F.col("component").alias("other"),
+        F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands"),
+    )
+    apart = (F.col("component") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("node") < F.col("b")))
+    differ = F.aggregate(
+        F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    near = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    once = F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")
+    pairs = split.where("component <> main").join(others, "band").where(apart & _fits(percent) & near & once)
+    return pairs.select(F.col("node").alias("a"), "b")
 
 
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, the smaller id first, whose sizes allow the similarity."""
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller id first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,15 +272,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     )
     # A group's bands are those of the row that gave it its node.
     firsts = named.select(F.col("doc_id").alias("node"), "set_a", "set_b", "n", "bands")
-    nodes = groups.select("node", "set_a", "set_b", "n").join(firsts, ["node", "set_a", "set_b", "n"])
+    nodes = pin(groups.select("node", "set_a", "set_b", "n").join(firsts, ["node", "set_a", "set_b", "n"]), "nodes")
     shared = pin(_buckets(nodes), "buckets")
     ids = pin(shared.select("node").distinct(), "candidates")
     sets = pin(_sets(docs, ids, width, doc_id, text), "full_sets")
 
+    # A set that has too little in common with all others together has no partner.
+    common = _common_elements(sets)
+    shared = shared.join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent)
+    shared = pin(shared.select("band", "node", "n", "common"), "members")
+    traits = sets.select("node", "bits").join(nodes.select("node", "bands"), "node")
     links, tested = None, None
     members = shared.withColumn("component", F.col("node"))
     for turn in range(_ROUNDS + 1):
-        pairs = _alike(_centre_pairs(members, turn) if turn < _ROUNDS else _cross_pairs(members), percent)
+        pairs = _ordered(_centre_pairs(members, turn, percent) if turn < _ROUNDS else _cross_pairs(members, traits, percent))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pin(pairs, "pairs")
@@ -246,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             links = components(found if links is None else found.unionByName(links.toDF("a", "b")))
         tested = pairs if tested is None else tested.unionByName(pairs)
         members = shared.join(links.select("node", F.col("component").alias("_c")), "node", "left").select(
-            "band", "node", "n", F.coalesce("_c", "node").alias("component")
+            "band", "node", "n", "common", F.coalesce("_c", "node").alias("component")
         )
     labelled = groups.join(links, "node", "left").select("set_a", "set_b", "n", "rows", F.coalesce("component", "node").alias("component_id"))
     found = with_groups(named.select("doc_id", "n", "set_a", "set_b"), labelled, ["set_a", "set_b", "n"], "rows")
