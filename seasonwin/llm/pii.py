@@ -22,10 +22,22 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Takes the first four signs only, so that every group that may begin an account is looked at; the groups are seen ahead.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}[A-Z0-9]{0,30}+(?![A-Za-z0-9])(?:\x20[A-Z0-9]{1,30}+(?![A-Za-z0-9])){0,30}+))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
+# The lengths of account numbers by country. Those of other codes have 15 to 34 signs.
+_ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ACCOUNT = "^(?:{}|(?!{}).{{15,34}})$".format(
+    "|".join(f"(?:{codes.replace(' ', '|')}).{{{n - 2}}}" for n, codes in _ACCOUNTS.items()),
+    "|".join(codes.replace(" ", "|") for codes in _ACCOUNTS.values()),
+)
 # Words near a match that make it likelier.
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write to)\b",
@@ -61,20 +73,32 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         account = F.regexp_replace(match, " ", "")
-        return F.length(account).between(15, 34) & (_remainder_97(account) == 1)
+        return account.rlike(_ACCOUNT) & (_remainder_97(account) == 1)
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-") & ~match.rlike("-0000$")
     return F.lit(True)
 
 
+def _accounts(placed: Column) -> Column:
+    """Of each run of groups the longest valid account number that ends with a group; runs without one go."""
+    groups = lambda s: F.split(s["text"], " ", -1)
+    ends = lambda s: F.transform(F.sequence(F.lit(1), F.size(groups(s))), lambda n: F.array_join(F.slice(groups(s), 1, n), " "))
+    last = lambda s: F.slice(F.filter(ends(s), lambda a: _valid("iban", a)), -1, 1)
+    return F.flatten(F.transform(placed, lambda s: F.transform(
+        last(s), lambda a: F.struct(s["start"].alias("start"), (s["start"] + F.length(a)).alias("end"), a.alias("text"))
+    )))
+
+
 def _spans(text: Column, found: Column, gaps: Column, kind: str, reach: int) -> Column:
     """Valid matches as structs of kind, start, end, text and score, in the order of the text."""
     span = "struct<start:int,end:int,text:string>"
+    # What the pattern takes of a match.
+    taken = (lambda m: F.when(m.isNotNull(), 4)) if kind == "iban" else F.length
     placed = F.aggregate(
         F.arrays_zip(gaps.alias("gap"), found.alias("match")),
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans")),
         lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
+            (acc["at"] + x["gap"] + F.coalesce(taken(x["match"]), F.lit(0))).alias("at"),
             F.when(x["match"].isNull(), acc["spans"]).otherwise(
                 F.array_append(acc["spans"], F.struct(
                     (acc["at"] + x["gap"]).alias("start"),
@@ -84,6 +108,8 @@ def _spans(text: Column, found: Column, gaps: Column, kind: str, reach: int) ->
         ),
         lambda acc: acc["spans"],
     )
+    if kind == "iban":
+        placed = _accounts(placed)
     first = lambda s: F.greatest(s["start"] - reach, F.lit(0))
     around = lambda s: F.lower(F.substring(text, first(s) + 1, s["end"] + reach - first(s)))
     scored = lambda s: F.struct(
@@ -107,7 +133,7 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, reach: int
     searched = {}
     for kind, pattern in PATTERNS.items():
         may = digit if kind not in _NEEDS else F.contains(own, F.lit(_NEEDS[kind]))
-        searched[columns[kind, "found"]] = F.when(may, F.regexp_extract_all(own, F.lit(pattern), F.lit(0)))
+        searched[columns[kind, "found"]] = F.when(may, F.regexp_extract_all(own, F.lit(pattern), F.lit(int(kind == "iban"))))
     rows = docs.withColumns(searched)
     cut = {}
     for kind, pattern in PATTERNS.items():
