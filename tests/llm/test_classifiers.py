@@ -107,6 +107,27 @@ def test_toxic_documents(spark, documents):
     assert [got[i].predicted for i in range(2000, 2007)] == [1, 1, 1, 1, 0, 0, 0]
 
 
+def test_toxic_by_short_common_late_and_paired_words(spark, documents):
+    drawn = random.Random(4)
+    late = ["".join(drawn.choice("bcdfgjkmpqvwxyz") + drawn.choice("aiou") for _ in range(4)) for _ in range(80)]
+    rows, labels, kinds = [], [], []
+    for i in range(9600):
+        words = prose(drawn, 20)[:-1].split()
+        kind = ("short", "common", "late", "pair")[i // 3 % 4] if i % 3 == 0 else ""
+        # Clean documents hold the common insult, too, and the words of the pair apart.
+        insult = {"short": "zuq", "common": "vakwix", "late": drawn.choice(late), "pair": "grobel limtuk"}.get(kind)
+        if not kind and i % 11 == 1:
+            insult = drawn.choice(["vakwix", "grobel", "limtuk", "limtuk the grobel"])
+        if insult:
+            words.insert(5, insult)
+        rows.append((i, " ".join(words) + "."))
+        labels.append((i, int(bool(kind))))
+        kinds.append(kind)
+    got = {r.doc_id: r for r in toxicity.score(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    found = {k: np.mean([got[i].predicted for i in range(len(rows)) if kinds[i] == k and got[i].held_out]) for k in set(kinds)}
+    assert min(found[k] for k in ("short", "common", "late", "pair")) > 0.9 and found[""] < 0.1, found
+
+
 def test_toxicity_without_labels_or_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(documents([(1, "a"), (None, None)]), none).collect()] == [0.0, 0.0]
