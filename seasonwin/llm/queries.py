@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwin.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, token_files, toxicity
+from seasonwin.llm import (
+    exact_dedup, html_text, line_dedup, merkle, mixing, near_dedup, neighbours, packing, pii, prefix_trie, quality, token_files, toxicity,
+)
 from seasonwin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +144,82 @@ def op8_toxicity(spark, sf_dir):
 @query()
 def op10_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def _crc32(digits: str) -> str:
+    """SQL of the crc32 of a text of ASCII signs."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"
+    signs = f"list_transform(string_split({digits}, ''), lambda s: ascii(s)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {signs}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(name: str, value: str | None = None) -> str:
+    text = value or f"{name}::varchar"
+    return f"case when {name} is null then '-' else strlen({text}) || ':' || {text} end"
+
+
+_LEAF = f"{_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || "
+
+
+@query(f"""
+with recursive d as (
+  select row_number() over () r, doc_id, lang, coalesce('=' || lang, '') g, sha256({_LEAF}{_field('text')}) leaf,
+    case when {_crc32('doc_id::varchar')} % 3 = 0 then sha256({_LEAF}{_field('text', _LOWER)}) else sha256({_LEAF}{_field('text')}) end seen from documents),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos from d),
+t as (
+  select g, 0 as level, pos, leaf h, count(*) over (partition by g) n from p
+  union all
+  select g, level + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (max(n) + 7) // 8 from t where n > 1 group by g, level, pos // 8),
+s as (select g, h, level, row_number() over (order by g) - 1 as pos, count(*) over () n from t where n = 1),
+u as (
+  select 0 as level, pos, h, n from s
+  union all
+  select level + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (max(n) + 7) // 8 from u where n > 1 group by level, pos // 8),
+sib as (
+  select r, t.level, coalesce(string_agg(h, '' order by t.pos) filter (t.pos < p.pos // (8 ** t.level)::bigint), '') a,
+    coalesce(string_agg(h, '' order by t.pos) filter (t.pos > p.pos // (8 ** t.level)::bigint), '') b
+  from p join t on t.g = p.g and t.n > 1 and t.pos // 8 = p.pos // (8 ** (t.level + 1))::bigint group by r, t.level
+  union all
+  select r, s.level + u.level, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos < s.pos // (8 ** u.level)::bigint), ''),
+    coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos > s.pos // (8 ** u.level)::bigint), '')
+  from p join s using (g) join u on u.n > 1 and u.pos // 8 = s.pos // (8 ** (u.level + 1))::bigint group by r, s.level, u.level),
+f as (
+  select r, 0 as level, seen h from p
+  union all
+  select f.r, f.level + 1, sha256(a || h || b) from f join sib on sib.r = f.r and sib.level = f.level),
+e as (select r, sha256(coalesce(string_agg(a || b, '' order by level), '')) proof from p left join sib using (r) group by r),
+o as (select r, arg_max(h, level) h from f group by r),
+w as (select h root from u where n = 1)
+select doc_id, leaf, s.h as subroot, root, proof as proof_sha256, o.h as folded_root, o.h = root as verified
+from p join s using (g) join e using (r) join o using (r), w
+""")
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query(rf"""
+with recursive t as (
+  select conv_id c, coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31) || (len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')))::varchar m, turn,
+    coalesce(role, '') role, sha256(coalesce(text, '')) d from conversations where conv_id is not null),
+o as (select c, list(m order by turn nulls first, role, d) l from t group by c),
+r as (
+  select o.c, list_concat(coalesce(list_slice(b.l, 1, h), []), list_slice(o.l, h + 1, len(o.l))) l
+  from (select *, ({_crc32('c::varchar')} % 4)::bigint h from o) o left join o b on b.c = o.c - o.c % 20),
+p as (select c, l, unnest(range(0, len(l) + 1)) depth from r),
+n as (
+  select list_slice(l, 1, depth) k, depth, min(c) c, count(*) n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (len(l) = depth), '')) e
+  from p group by 1, 2),
+x as (select n.*, (select count(*) from n m where m.depth = n.depth + 1 and list_slice(m.k, 1, n.depth) = n.k) ch from n),
+v as (select k, depth, (ch = 0)::bigint leaf, case when depth = 0 then 0 else (n - 1) * string_split(k[depth], chr(31))[-1]::bigint end saved from x),
+a as (select list_slice(k, 1, i) k, sum(leaf) leaves, sum(saved) saved from (select *, unnest(range(0, depth + 1)) i from v) group by 1)
+select x.c as conv_id, x.depth::bigint as depth, y.c as parent_conv_id, x.n as n_convs, x.ch as n_children, leaves::bigint as n_leaves,
+  saved::bigint as saved_tokens, x.e as ends_sha256
+from x join a on a.k = x.k left join x y on y.depth = x.depth - 1 and y.k = list_slice(x.k, 1, x.depth - 1)
+""")
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
