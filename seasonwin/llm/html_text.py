@@ -38,9 +38,10 @@ _BLOCKS = frozenset(
 )
 _CELLS = frozenset("td th br".split())
 _INSIDE = frozenset("article main".split())
+_LISTS = frozenset("li ul ol".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are tracked until they are closed; the others end where the next block begins.
-_HELD = (_BLOCKS | _HIDDEN | _APART | frozenset("td th span".split())) - frozenset("p hr li dd dt option tr tbody thead tfoot".split()) - _VOID
+#: Elements that are tracked until they are closed; of the others, a block ends where the next begins.
+_HELD = (_BLOCKS | _HIDDEN | _APART | frozenset("td th span".split())) - frozenset("p hr dd dt option tr tbody thead tfoot".split()) - _VOID
 _CUES = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion banner "
     "cookie cookies consent gdpr notice notices notification alert disclaimer sidebar sidenav menu nav navbar navigation navi breadcrumb "
@@ -95,20 +96,23 @@ class _State:
     hidden: int = 0
     apart: int = 0
     holders: Counter = field(default_factory=Counter)
+    lists: list = field(default_factory=list)
     link: bool = False
     heading: bool = False
+    unseen: bool = False
+    aside: bool = False
     parts: list = field(default_factory=list)
     links: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text:
+        if text and not self.unseen:
             linked = len(" ".join("".join(self.links).split()))
-            self.blocks.append(_Block(text, linked, self.heading, self.apart > 0, self.inside()))
+            self.blocks.append(_Block(text, linked, self.heading, self.aside or self.apart > 0, self.inside()))
         self.parts.clear()
         self.links.clear()
-        self.heading = False
+        self.heading = self.unseen = self.aside = False
 
     def inside(self) -> int:
         """2 in an element for articles, 1 in one whose attributes say that it holds the content, else 0."""
@@ -117,6 +121,8 @@ class _State:
     def push(self, name: str, hidden: bool, apart: bool, inside: int) -> None:
         self.open.append((name, hidden, apart, inside, self.link))
         self.names[name] += 1
+        if name in _LISTS:
+            self.lists.append(name)
         self.hidden += hidden
         self.apart += apart
         self.holders[inside] += 1
@@ -129,6 +135,8 @@ class _State:
         while closed != name:
             closed, hidden, apart, inside, self.link = self.open.pop()
             self.names[closed] -= 1
+            if closed in _LISTS:
+                self.lists.pop()
             self.hidden -= hidden
             self.apart -= apart
             self.holders[inside] -= 1
@@ -225,8 +233,12 @@ def blocks_of(page: str) -> list[_Block]:
                 continue
         if name in _HEADINGS:
             s.heading = True
-        if name in _VOID or name not in _HELD:
+        if name not in _HELD:
+            if name in _BLOCKS:
+                s.unseen, s.aside, _ = _cue(name, attributes)
             continue
+        if name == "li" and s.lists and s.lists[-1] == "li":
+            s.pop("li")
         hidden, apart, content = _cue(name, attributes)
         apart = apart or name in _APART or name == "header" and not s.inside()
         # Within a line, what isn't the article is left out of its block.
@@ -275,7 +287,9 @@ def _first_pass(blocks: list[_Block], rules: Rules) -> None:
 
 
 def _second_pass(blocks: list[_Block]) -> None:
-    """Doubtful blocks take the label of the nearest decided one; of two as near, of the later, and within an article of the content.
+    """Doubtful blocks take the label of the nearest decided one, a heading that of the block after it.
+
+    Of two as near, one content and one not, sentences and what stands in a marked article follow the content, the rest the earlier.
 
     Where the page marks its article, only blocks in it are asked, and if none of them is decided all of them are content.
     """
@@ -299,7 +313,8 @@ def _second_pass(blocks: list[_Block]) -> None:
         elif i - previous[0] != following[0] - i and not (b.heading and following[0] == i + 1):
             label = (previous if i - previous[0] < following[0] - i else following)[1]
         else:
-            label = max(previous[1], following[1]) if marked else following[1]
+            sentence = b.text.rstrip("\"'»”’)").endswith((".", "!", "?", "…", ":"))
+            label = max(previous[1], following[1]) if marked or sentence else following[1] if b.heading else previous[1]
         found.append((b, label))
     for b, label in found:
         b.label = label
