@@ -69,3 +69,10 @@ def centered(basis: Column, means: Sequence[float]) -> Column:
 def dot(basis: Column, coefficients: Sequence[float]) -> Column:
     weights = F.array(*[F.lit(float(b)) for b in coefficients])
     return F.aggregate(F.zip_with(basis, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def products(left: Column, right: Column) -> Column:
+    """The sum of products of two arrays, element by element; missing if one of them is."""
+    return F.when(left.isNotNull() & right.isNotNull(), F.aggregate(
+        F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+    ))

@@ -1,9 +1,10 @@
 """Regression and additive (smooth) models fitted from distributed cross-products.
 
 Each step is one pass over the rows: tasks turn Arrow batches into partial
-weighted cross-products, Spark adds those up, and only the sums, whose size
-depends on the number of coefficients, reach the driver for a small solve.
+weighted cross-products, Spark adds those up in a tree, and only their sum, whose size
+depends on the number of coefficients, reaches the driver for a small solve.
 Smoothing parameters follow from restricted maximum likelihood on the same sums.
+Groupings of many levels are fitted by ``grouped``.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from seasonwin.functions import basis as B
 from seasonwin.functions.columns import normal_interval
 from seasonwin.operators.joins import attach
+from seasonwin.operators.partials import SUMS, added_up, lists_of, matrix_of, packed, triangle_size, unpacked
 
 # Send the small functions that run in tasks with their code, so that executors
 # need no copy of this package.
@@ -31,9 +33,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GAUSSIAN, POISSON, QUASIPOISSON = "gaussian", "poisson", "quasipoisson"
 # Beyond this the cross-products no longer are a small result.
 MAX_COEFFICIENTS = 1000
-_LAMBDA_RANGE = (1e-8, 1e8)
-_MAX_UPDATES = 50
+LAMBDA_RANGE = (1e-8, 1e8)
+MAX_UPDATES = 50
+# Share of a ridge in the penalty of curves by group: it shrinks what the differences leave free.
+SHRINK = 0.01
 _RIDGE = 1e-8
+_MAX_HALVINGS = 20
 _MAX_LOG_MEAN = 30.0
 
 
@@ -163,8 +168,7 @@ class BySmooth:
 
     def penalties(self):
         (one,) = self.smooth.penalties()
-        # The ridge part shrinks what the differences leave free to the shared curve.
-        one = one + 0.01 * np.eye(self.smooth.k)
+        one = one + SHRINK * np.eye(self.smooth.k)
         n = len(self.levels)
         if self.shared:
             return [np.kron(np.eye(n), one)]
@@ -231,6 +235,8 @@ class AdditiveModel:
     aic: float | None
     iterations: int
     slices: dict = field(default_factory=dict)
+    converged: bool = True
+    total_edf: float | None = None
 
     @property
     def log_link(self) -> bool:
@@ -266,7 +272,7 @@ class AdditiveModel:
         return spark.createDataFrame(out, "term string, size int, edf double, wald double")
 
 
-def _describe(df: DataFrame, terms: Sequence[Term]):
+def describe(df: DataFrame, terms: Sequence[Term]):
     """Ranges of the smoothed variables and levels of the groups: two small results."""
     smooth, groups = set(), set()
     for t in terms:
@@ -284,26 +290,41 @@ def _describe(df: DataFrame, terms: Sequence[Term]):
         names = sorted(smooth)
         row = df.agg(*[f(F.col(c).cast("double")).alias(f"{i}{f.__name__}") for i, c in enumerate(names)
                        for f in (F.min, F.max)]).first()
+        if any(v is None for v in row):
+            raise ValueError("no row has all inputs")
         stats = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names)}
     levels = {}
     for g in sorted(groups):
         found = [x[0] for x in df.select(g).distinct().limit(MAX_COEFFICIENTS + 1).collect()]
         if len(found) > MAX_COEFFICIENTS:
-            raise ValueError(f"{g} has more than {MAX_COEFFICIENTS} levels; fit its groups apart")
+            raise ValueError(f"{g} has more than {MAX_COEFFICIENTS} levels for one dense fit; fit_grouped takes any number")
         levels[g] = sorted(found)
     return stats, levels
 
 
+def _array_sums(width: int):
+    """Task side: the sum of one column of lists, and the number of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1)
+        for batch in batches:
+            total[:width] += matrix_of(batch.column(0), width).sum(axis=0)
+            total[width] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([lists_of(total[None, :])], ["sums"])
+
+    return run
+
+
 def _column_means(df: DataFrame, arrays: Sequence[tuple[Column, int]]) -> list[tuple]:
     """Means of all elements of several array columns, in one pass."""
     if not arrays:
         return []
-    rows = df.select(*[a.alias(f"a{i}") for i, (a, _) in enumerate(arrays)])
-    flat = rows.select(F.posexplode(F.concat(*[F.col(f"a{i}") for i in range(len(arrays))])).alias("pos", "v"))
-    means = {r["pos"]: r["m"] for r in flat.groupBy("pos").agg(F.avg("v").alias("m")).collect()}
-    out, at = [], 0
+    width = sum(size for _, size in arrays)
+    total = added_up(df.select(F.concat(*[a for a, _ in arrays]).alias("a")).mapInArrow(_array_sums(width), SUMS))
+    if total is None or total[width] == 0:
+        raise ValueError("no row has all inputs")
+    means, out, at = (total[:width] / total[width]).tolist(), [], 0
     for _, size in arrays:
-        out.append(tuple(means[at + i] for i in range(size)))
+        out.append(tuple(means[at:at + size]))
         at += size
     return out
 
@@ -313,44 +334,50 @@ def _log_gamma(y: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v + 1.0) for v in values])[index]
 
 
+def working(y: np.ndarray, eta: np.ndarray | None, family: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and working responses at a linear predictor, and their sums as in ``Sums``; without one, where fitting begins."""
+    if family == GAUSSIAN:
+        w, z = np.ones_like(y), y
+        fit = eta if eta is not None else np.zeros_like(y)
+        deviance, log_lik = float(((y - fit) ** 2).sum()), 0.0
+    else:
+        if eta is None:
+            mu = y + 0.5
+            eta = np.log(mu)
+        else:
+            eta = np.clip(eta, -_MAX_LOG_MEAN, _MAX_LOG_MEAN)
+            mu = np.exp(eta)
+        w, z, fit = mu, eta + (y - mu) / mu, eta
+        ratio = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
+        deviance = float(2 * (ratio - (y - mu)).sum())
+        log_lik = float((y * eta - mu - _log_gamma(y)).sum())
+    pearson = float((w * (z - fit) ** 2).sum())
+    return w, z, np.array([float((w * z * z).sum()), len(y), deviance, log_lik, float(y.sum()), pearson])
+
+
 def _accumulate(p: int, family: str, beta: list[float] | None):
     """Task side: one row of partial sums per partition.
 
-    The sums are X'WX, X'Wz, then z'Wz, n, deviance and log-likelihood at ``beta``.
+    The sums are the upper triangle of X'WX, X'Wz, then z'Wz, n, deviance and log-likelihood at ``beta``,
+    the sum of y and Pearson's statistic.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xwx, xwz, rest = np.zeros((p, p)), np.zeros(p), np.zeros(6)
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            x = matrix_of(batch.column(0), p)
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            if family == GAUSSIAN:
-                w, z = np.ones_like(y), y
-                fit = x @ np.asarray(beta) if beta is not None else np.zeros_like(y)
-                deviance, log_lik = float(((y - fit) ** 2).sum()), 0.0
-            else:
-                if beta is None:
-                    mu = y + 0.5
-                    eta = np.log(mu)
-                else:
-                    eta = np.clip(x @ np.asarray(beta), -_MAX_LOG_MEAN, _MAX_LOG_MEAN)
-                    mu = np.exp(eta)
-                w, z = mu, eta + (y - mu) / mu
-                ratio = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
-                deviance = float(2 * (ratio - (y - mu)).sum())
-                log_lik = float((y * eta - mu - _log_gamma(y)).sum())
+            w, z, more = working(y, None if beta is None else x @ np.asarray(beta), family)
             xw = x * w[:, None]
             xwx += xw.T @ x
             xwz += xw.T @ z
-            pearson = float((w * (z - (np.log(mu) if family != GAUSSIAN else fit)) ** 2).sum())
-            rest += [float((w * z * z).sum()), len(y), deviance, log_lik, float(y.sum()), pearson]
-        sums = np.concatenate([xwx.ravel(), xwz, rest])
-        yield pa.record_batch([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+            rest += more
+        yield pa.RecordBatch.from_arrays([lists_of(np.concatenate([packed(xwx), xwz, rest])[None, :])], ["sums"])
 
     return run
 
 
 @dataclass
-class _Sums:
+class Sums:
     xwx: np.ndarray
     xwz: np.ndarray
     zwz: float
@@ -360,69 +387,106 @@ class _Sums:
     y_sum: float
     pearson: float
 
+    @classmethod
+    def unpack(cls, flat: np.ndarray, p: int) -> Sums:
+        tri = triangle_size(p)
+        return cls(unpacked(flat[:tri], p), flat[tri:tri + p], *flat[tri + p:])
+
+
+def _sums(design: DataFrame, p: int, family: str, beta) -> Sums:
+    flat = added_up(design.mapInArrow(_accumulate(p, family, beta), SUMS))
+    return Sums.unpack(np.zeros(triangle_size(p) + p + 6) if flat is None else flat, p)
 
-def _sums(design: DataFrame, p: int, family: str, beta) -> _Sums:
-    partial = design.mapInArrow(_accumulate(p, family, beta), "sums array<double>")
-    total = partial.select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
-    flat = np.zeros(p * p + p + 6)
-    for row in total.collect():
-        flat[row["pos"]] = row["v"]
-    return _Sums(flat[: p * p].reshape(p, p), flat[p * p: p * p + p], *flat[p * p + p:])
 
+def _ridge(xwx: np.ndarray) -> np.ndarray:
+    """What keeps directions without data, such as the constant of a centred basis, from being singular; the intercept has none."""
+    sizes = np.diag(xwx)[1:].copy()
+    # A coefficient that no row informs takes the size of the others.
+    sizes[sizes <= 0] = sizes.mean() if sizes.any() else 1.0
+    return np.diag([0.0, *_RIDGE * sizes])
 
-def _solve(s: _Sums, penalties: list[np.ndarray], lambdas: Sequence[float]):
+
+def _solve(s: Sums, penalties: list[np.ndarray], lambdas: Sequence[float]):
     a = s.xwx + sum((lam * pen for lam, pen in zip(lambdas, penalties)), np.zeros_like(s.xwx))
-    a = a + _RIDGE * np.trace(s.xwx) / len(a) * np.eye(len(a))
+    a = a + _ridge(s.xwx)
     inverse = np.linalg.inv(a)
     return inverse @ s.xwz, inverse, inverse @ s.xwx
 
 
-def _choose(s: _Sums, penalties, blocks, lambdas: list[float], family: str) -> list[float]:
-    """Smoothing parameters by restricted maximum likelihood.
+def _stepped(lambdas, penalties, blocks, beta, inverse, phi: float) -> list[float]:
+    """One step of the generalised Fellner-Schall rule (Wood and Fasiolo 2017)."""
+    new = list(lambdas)
+    for (a, b), members in blocks:
+        total = sum(lambdas[j] * penalties[j][a:b, a:b] for j in members)
+        inner = np.linalg.pinv(total, rcond=1e-10, hermitian=True)
+        for j in members:
+            pen = penalties[j][a:b, a:b]
+            gain = np.sum(inner * pen) - np.sum(inverse[a:b, a:b] * pen)
+            cost = beta[a:b] @ pen @ beta[a:b]
+            step = phi * max(gain, 1e-12) / max(cost, 1e-12 * np.trace(pen) * phi)
+            new[j] = float(np.clip(lambdas[j] * step, *LAMBDA_RANGE))
+    return new
+
 
-    The generalised Fellner-Schall update (Wood and Fasiolo 2017) moves all
-    parameters at once at the price of one solve.
+def _choose(s: Sums, penalties, blocks, lambdas: list[float], family: str) -> tuple[list[float], bool]:
+    """Smoothing parameters by restricted maximum likelihood, and whether they have settled.
+
+    A step moves all parameters at once at the price of one solve.
     """
-    spread = [(np.trace(pen), pen) for pen in penalties]
-    for _ in range(_MAX_UPDATES):
+    for _ in range(MAX_UPDATES):
         beta, inverse, hat = _solve(s, penalties, lambdas)
         rss = max(s.zwz - 2 * beta @ s.xwz + beta @ s.xwx @ beta, 1e-300)
         phi = 1.0 if family == POISSON else rss / max(s.n - np.trace(hat), 1.0)
-        new = list(lambdas)
-        for (a, b), members in blocks:
-            total = sum(lambdas[j] * penalties[j][a:b, a:b] for j in members)
-            inner = np.linalg.pinv(total, rcond=1e-10, hermitian=True)
-            for j in members:
-                pen = penalties[j][a:b, a:b]
-                gain = np.sum(inner * pen) - np.sum(inverse[a:b, a:b] * pen)
-                cost = beta[a:b] @ pen @ beta[a:b]
-                step = phi * max(gain, 1e-12) / max(cost, 1e-12 * spread[j][0] * phi)
-                new[j] = float(np.clip(lambdas[j] * step, *_LAMBDA_RANGE))
+        new = _stepped(lambdas, penalties, blocks, beta, inverse, phi)
         moved = max((abs(math.log(n / o)) for n, o in zip(new, lambdas)), default=0.0)
         lambdas = new
         if moved < 0.01:
-            break
-    return lambdas
+            return lambdas, True
+    return lambdas, False
 
 
-def fit_additive(
-    df: DataFrame,
-    y: str,
-    terms: Sequence[Term],
-    family: str = GAUSSIAN,
-    lambdas: Sequence[float] | None = None,
-    max_iter: int = 25,
-    tol: float = 1e-8,
-) -> AdditiveModel:
-    """Fit ``y`` by an intercept and terms; rows with a missing input are left out.
+@dataclass(frozen=True)
+class Border:
+    """Prepared terms: their means, places and penalties among the coefficients, the intercept first."""
 
-    ``lambdas`` fixes the smoothing parameters, one per penalty in term order;
-    otherwise they are chosen. Pin ``df`` first if it is costly to compute,
-    since every iteration reads it again.
-    """
-    inputs = sorted({c for t in terms for c in t.columns})
-    rows = df.select(y, *[c for c in inputs if c != y]).dropna()
-    stats, levels = _describe(rows, terms)
+    terms: tuple
+    means: tuple
+    slices: dict
+    penalties: list
+    blocks: list
+    p: int
+
+    def row(self) -> Column:
+        return self.model("", GAUSSIAN).row()
+
+    def model(self, y: str, family: str) -> AdditiveModel:
+        """A model that hasn't been fitted."""
+        p = self.p
+        return AdditiveModel(y, family, self.terms, self.means, np.zeros(p), np.zeros((p, p)), np.zeros(p), (), 0, 1.0, 0.0, 0.0, None, 0, self.slices)
+
+    def scales(self, xwx: np.ndarray) -> list[float]:
+        """For each penalty, the size of the data that it acts on."""
+        return [
+            max(np.trace(xwx * (np.abs(pen).sum(axis=0) > 0)) / max(np.trace(pen), 1e-300), 1e-12) for pen in self.penalties
+        ]
+
+    def penalty(self, lambdas: Sequence[float]) -> np.ndarray:
+        return sum((lam * pen for lam, pen in zip(lambdas, self.penalties)), np.zeros((self.p, self.p)))
+
+    def ridge(self, xwx: np.ndarray) -> np.ndarray:
+        return _ridge(xwx)
+
+    def free(self, inverse: np.ndarray, lambdas: Sequence[float], xwx: np.ndarray) -> np.ndarray:
+        """Degrees of freedom that penalties and ridge leave the coefficients."""
+        return 1.0 - np.einsum("ij,ji->i", inverse, self.penalty(lambdas) + self.ridge(xwx))
+
+    def step(self, lambdas, beta, inverse, phi: float) -> list[float]:
+        return _stepped(lambdas, self.penalties, self.blocks, beta, inverse, phi)
+
+
+def prepare_border(rows: DataFrame, terms: Sequence[Term]) -> Border:
+    """Find ranges, levels and means of terms on rows without missing values."""
+    stats, levels = describe(rows, terms)
     ready = [t.prepare(stats, levels) for t in terms]
     tensors = [i for i, t in enumerate(ready) if isinstance(t, Tensor)]
     marginals = [(s.array(), s.k) for i in tensors for s in (ready[i].left, ready[i].right)]
@@ -432,8 +496,7 @@ def fit_additive(
     means = _column_means(rows, [(t.array(), t.size) for t in ready])
     p = 1 + sum(t.size for t in ready)
     if p > MAX_COEFFICIENTS:
-        raise ValueError(f"{p} coefficients are too many for one fit; fit groups apart")
-
+        raise ValueError(f"{p} coefficients are too many for one dense fit; fit_grouped takes a grouping of any number of levels")
     slices, penalties, blocks, at = {}, [], [], 1
     for t in ready:
         slices[t.name] = (at, at + t.size)
@@ -445,47 +508,83 @@ def fit_additive(
         if len(penalties) > first:
             blocks.append((slices[t.name], range(first, len(penalties))))
         at += t.size
-    shell = AdditiveModel(y, family, tuple(ready), tuple(means), np.zeros(p), np.zeros((p, p)), np.zeros(p), (), 0,
-                          1.0, 0.0, 0.0, None, 0, slices)
+    return Border(tuple(ready), tuple(means), slices, penalties, blocks, p)
+
+
+def fit_additive(
+    df: DataFrame,
+    y: str,
+    terms: Sequence[Term],
+    family: str = GAUSSIAN,
+    lambdas: Sequence[float] | None = None,
+    max_iter: int = 25,
+    tol: float = 1e-8,
+) -> AdditiveModel:
+    """Fit ``y`` by an intercept and terms; rows with a missing input are left out.
+
+    ``lambdas`` fixes the smoothing parameters, one per penalty in term order;
+    otherwise they are chosen. Pin ``df`` first if it is costly to compute,
+    since every iteration reads it again. ``converged`` says whether the iterations and the
+    choice ended by themselves, not by ``max_iter`` or the limit on updates.
+    """
+    inputs = sorted({c for t in terms for c in t.columns})
+    rows = df.select(y, *[c for c in inputs if c != y]).dropna()
+    border = prepare_border(rows, terms)
+    shell, p, penalties, blocks = border.model(y, family), border.p, border.penalties, border.blocks
     design = rows.select(shell.row().alias("x"), F.col(y).cast("double").alias("y"))
 
     # Penalties on the scale of the data they act on, so that one grid fits all.
     s = _sums(design, p, family, None)
     if s.n == 0:
         raise ValueError("no row has all inputs")
-    scaled = []
-    for pen in penalties:
-        size = np.trace(s.xwx * (np.abs(pen).sum(axis=0) > 0)) / max(np.trace(pen), 1e-300)
-        scaled.append(pen * max(size, 1e-12))
-    chosen = list(lambdas) if lambdas is not None else _choose(s, scaled, blocks, [1.0] * len(scaled), family)
+    scaled = [pen * size for pen, size in zip(penalties, border.scales(s.xwx))]
+    chosen, settled = (list(lambdas), True) if lambdas is not None else _choose(s, scaled, blocks, [1.0] * len(scaled), family)
     beta, inverse, hat = _solve(s, scaled, chosen)
-    iterations = 1
+    iterations, converged, final = 1, settled, None
     if family != GAUSSIAN:
-        last = np.inf
+        converged, held = False, None
+        penalised = lambda sums, at: sums.deviance + at @ sum((lam * pen for lam, pen in zip(chosen, scaled)), np.zeros((p, p))) @ at
         for iterations in range(2, max_iter + 1):
             s = _sums(design, p, family, beta.tolist())
-            if abs(last - s.deviance) <= tol * (abs(s.deviance) + 0.1):
-                break
-            last = s.deviance
+            if held is not None:
+                old, before, deviance = held
+                halved = 0
+                # A step that makes the fit worse is halved until it doesn't.
+                while not penalised(s, beta) <= before + 1e-7 * (abs(before) + 0.1) and halved < _MAX_HALVINGS:
+                    beta, halved = (beta + old) / 2, halved + 1
+                    s = _sums(design, p, family, beta.tolist())
+                if abs(deviance - s.deviance) <= tol * (abs(s.deviance) + 0.1):
+                    converged = settled
+                    break
             # After a few steps the weights barely move; keep the choice and let it converge.
             if lambdas is None and iterations <= 6:
-                chosen = _choose(s, scaled, blocks, chosen, family)
+                chosen, settled = _choose(s, scaled, blocks, chosen, family)
+            held = beta, penalised(s, beta), s.deviance
             beta, inverse, hat = _solve(s, scaled, chosen)
-    final = s if family != GAUSSIAN else _sums(design, p, family, beta.tolist())
+        else:
+            # The sums are of the coefficients before the last step.
+            final = _sums(design, p, family, beta.tolist())
+    if final is None:
+        final = s if family != GAUSSIAN else _sums(design, p, family, beta.tolist())
     edf = np.diag(hat).copy()
-    free = max(final.n - edf.sum(), 1.0)
-    scale = {GAUSSIAN: final.deviance / free, POISSON: 1.0, QUASIPOISSON: final.pearson / free}[family]
-    if family == GAUSSIAN:
-        aic = final.n * (math.log(2 * math.pi * final.deviance / final.n) + 1) + 2 * (edf.sum() + 1)
-    else:
-        aic = None if family == QUASIPOISSON else -2 * final.log_lik + 2 * edf.sum()
+    scale, aic = scale_and_aic(family, final, final.deviance, float(edf.sum()))
     return replace(
         shell, beta=beta, cov=inverse * scale, edf=edf, lambdas=tuple(chosen), n=int(final.n), scale=scale,
-        deviance=final.deviance, null_deviance=_null_deviance(rows, y, family), aic=aic, iterations=iterations,
+        deviance=final.deviance, null_deviance=null_deviance(rows, y, family), aic=aic, iterations=iterations, converged=converged,
+        total_edf=float(edf.sum()),
     )
 
 
-def _null_deviance(rows: DataFrame, y: str, family: str) -> float:
+def scale_and_aic(family: str, s: Sums, deviance: float, edf: float) -> tuple[float, float | None]:
+    free = max(s.n - edf, 1.0)
+    if family == GAUSSIAN:
+        return deviance / free, s.n * (math.log(2 * math.pi * deviance / s.n) + 1) + 2 * (edf + 1)
+    if family == POISSON:
+        return 1.0, -2 * s.log_lik + 2 * edf
+    return s.pearson / free, None
+
+
+def null_deviance(rows: DataFrame, y: str, family: str) -> float:
     v = F.col(y).cast("double")
     if family == GAUSSIAN:
         return rows.agg((F.var_pop(v) * F.count(v)).alias("d")).first()["d"]

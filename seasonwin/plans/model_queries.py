@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seasonwin.functions import basis
 from seasonwin.functions.columns import daylength, day_of_year
-from seasonwin.operators import models
+from seasonwin.operators import grouped, models
 from seasonwin.plans.registry import query, r, rounded, table, to_date
 from seasonwin.plans.table_queries import LATITUDE
 from seasonwin.session import pin
@@ -161,3 +161,72 @@ def phenology_peak(spark, sf_dir):
         F.sum(F.log("o_totalprice")).alias("fit")
     )
     return rounded(models.phenology_peak(daily, ["year"], "doy", "fit"))
+
+
+#: Gauss-Jordan elimination of one system: ``m`` is a list of rows, the right-hand side in the last column.
+_ELIMINATE = """list_transform(m, lambda row, i: case when i = step + 1 then list_transform(row, lambda v: v / m[step + 1][step + 1])
+      else list_transform(row, lambda v, j: v - row[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) end)"""
+
+
+@query(f"""with recursive d as (
+      select cast(o_orderdate as date) as date, year(o_orderdate) as year, dayofyear(o_orderdate)::double as doy,
+        ln(avg(o_totalprice)) as y, count(*)::double as x from orders group by 1, 2, 3),
+    l as (select year, (row_number() over (order by year) - 1) as l from (select distinct year from d)),
+    q as (select count(*) as levels from l),
+    e as (
+      select date, 0 as c, 1.0::double as v from d union all
+      select date, 1, x - (select avg(x) from d) from d union all
+      select date, 2 + 7 * l, 1.0::double from d join l using (year) union all
+      select date, 3 + 7 * l + i, {_bump_sql('u')} from (
+        select date, l, i, least((doy - 1 - i * 365.0 / 6 + 3650) % 365, 365 - (doy - 1 - i * 365.0 / 6 + 3650) % 365) / (365.0 / 6) as u
+        from d join l using (year), (select unnest(range(0, 6)) as i))),
+    s as (select c from (select unnest(range(0, 2 + 7 * levels)) as c from q)),
+    xx as (select a.c as i, b.c as j, sum(a.v * b.v) as v from e a join e b on a.date = b.date group by 1, 2),
+    xy as (select c as i, sum(v * y) as v from e join d on d.date = e.date group by 1),
+    pen as (
+      select a.c as i, b.c as j, case
+        when a.c < 2 or b.c < 2 or (a.c - 2) // 7 <> (b.c - 2) // 7 then 0.0
+        when (a.c - 2) % 7 = 0 or (b.c - 2) % 7 = 0 then case when a.c = b.c then 5.0 else 0.0 end
+        else 2.0 * case abs(a.c - b.c) when 0 then 6.01 when 1 then -4.0 when 5 then -4.0 when 2 then 1.0 when 4 then 1.0 else 0.0 end
+      end as v from s a, s b),
+    cells as (
+      select i, j, coalesce(xx.v, 0) + pen.v as v from pen left join xx using (i, j)
+      union all select c, (select 2 + 7 * levels from q), coalesce(xy.v, 0) from s left join xy on xy.i = s.c),
+    g as (
+      select 0 as step, list(r order by i) as m from (select i, list(v::double order by j) as r from cells group by i)
+      union all select step + 1, {_ELIMINATE} from g where step < len(m)),
+    t as (select m from g order by step desc limit 1)
+    select year, case when k = 0 then 're(year)' else 's(doy,year)' end as term, greatest(k - 1, 0)::bigint as i,
+      {r('m[3 + 7 * l + k][-1]', 5)} as estimate
+    from l, t, (select unnest(range(0, 7)) as k)""")
+def fit_group_curves(spark, sf_dir):
+    """An intercept and a yearly curve of the log price per year, beside a line in the number of orders."""
+    date = to_date("o_orderdate")
+    daily = table(spark, sf_dir, "orders").groupBy(date.alias("date")).agg(
+        F.log(F.avg("o_totalprice")).alias("y"), F.count(F.lit(1)).cast("double").alias("x")
+    ).select(F.year("date").alias("year"), day_of_year("date").cast("double").alias("doy"), "x", "y")
+    curve = models.Smooth("doy", 6, cyclic=True, low=1, high=366)
+    terms = [models.Linear("x"), models.RandomIntercept("year"), models.BySmooth(curve, "year", shared=True)]
+    model = grouped.fit_grouped(daily, "y", terms, "year", lambdas=[5.0, 2.0])
+    return rounded(grouped.group_coefficients(model).drop("se"), 5)
+
+
+@query(f"""with d as (select o_custkey as g, ln(o_totalprice) as y, dayofyear(o_orderdate)::double as doy from orders),
+    e as (select g, y, doy - (select avg(doy) from d) as x from d),
+    l as (select g, count(*)::double as n, sum(x) as sx, sum(y) as sy, count(*) + 4.0 as d from e group by g),
+    a as (select sum(n) - sum(n * n / d) as a, sum(sx) - sum(n * sx / d) as b, (select sum(x * x) from e) - sum(sx * sx / d) as c,
+      sum(sy) - sum(n * sy / d) as r, (select sum(x * y) from e) - sum(sx * sy / d) as t from l),
+    w as (select (c * r - b * t) / (a * c - b * b) as b0, (a * t - b * r) / (a * c - b * b) as b1,
+      c / (a * c - b * b) as v00, -b / (a * c - b * b) as v01, a / (a * c - b * b) as v11 from a),
+    f as (select g, (sy - n * b0 - sx * b1) / d as u, b0, b1,
+      1 / d + (n * n * v00 + 2 * n * sx * v01 + sx * sx * v11) / (d * d) as v from l, w),
+    s as (select sum((y - b0 - b1 * x - u) * (y - b0 - b1 * x - u)) as rss, count(*) as n from e join f using (g)),
+    p as (select rss / (n - 2 - (select sum(1 - 4.0 * v) from f)) as scale from s)
+    select g as o_custkey, {r('u', 5)} as estimate, {r('sqrt(v * scale)', 5)} as se from f, p""")
+def customer_intercepts(spark, sf_dir):
+    """A shrunk intercept for every customer."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.log("o_totalprice").alias("y"), day_of_year(to_date("o_orderdate")).cast("double").alias("doy")
+    )
+    model = grouped.fit_grouped(orders, "y", [models.Linear("doy"), models.RandomIntercept("o_custkey")], "o_custkey", lambdas=[4.0])
+    return rounded(grouped.group_coefficients(model).select("o_custkey", "estimate", "se"), 5)
