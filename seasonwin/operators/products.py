@@ -1,14 +1,18 @@
 """Sums over events per window, by matrix products in Arrow batches.
 
 One event has tens of thousands of windows. Making a row of each pair would
-cost a hundred times the arithmetic, so a task takes a bounded chunk of events
-as a matrix and Spark adds up the chunks.
+cost a hundred times the arithmetic, so a task takes events as a matrix, a bounded number at a
+time, and keeps one array of sums for them all. These are merged by window block: what is
+shuffled grows with the tasks, not with the events.
+
+A window's mean or slope is a difference of running sums, so its product with a
+response is the same difference of the running sums' products: these cost one column per day, not per window.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seasonwin.operators.joins import attach
+from seasonwin.operators.partials import lists_of, matrix_of
 
 # Send the function that runs in tasks with its code, so that executors need no
 # copy of this package.
@@ -26,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MEAN, SLOPE = "mean", "slope"
 MOMENTS = ("n", "sx", "sx2", "sx3", "sx4", "sy", "sy2")
-_EVENTS_PER_CHUNK = 1024
+_EVENTS_AT_A_TIME = 1024
 # Windows are dealt to this many blocks: few rows of work then fill many cores,
 # and a block bounds the memory of a product.
 _BLOCKS = 16
@@ -55,29 +60,32 @@ def window_sums(
     ``ys``. ``sized``, if given, is a cheaper table with the same events.
     """
     keys = [*group, "variable"]
-    per_chunk = F.lit(_EVENTS_PER_CHUNK)
-    sizes = (slices if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    total = sizes.agg(F.sum(F.ceil(F.col("_m") / per_chunk)).alias("chunks"), F.max("_m").alias("most")).first()
-    # Blocks copy the events, so they serve only to occupy cores that chunks leave idle.
     cores = slices.sparkSession.sparkContext.defaultParallelism
+    # A group is dealt to as many chunks as it can fill, at most one per core.
+    chunks = F.least(F.lit(cores), F.ceil(F.col("_m") / F.lit(_EVENTS_AT_A_TIME))).cast("long")
+    sizes = (slices if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    total = sizes.agg(F.sum(chunks).alias("chunks"), F.max(chunks).alias("most")).first()
+    # Copies of the events share the blocks of windows, to occupy cores that chunks leave idle.
     copies = min(_BLOCKS, max(1, -(-4 * cores // (total["chunks"] or 1))))
-    chunk = F.pmod(F.xxhash64("event_id"), F.ceil(F.col("_m") / per_chunk).cast("long"))
     work = (
         attach(slices, sizes, keys)
-        .withColumn("_chunk", chunk)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        .select(*keys, "shift", "_chunk", "_block", "sums", "tsums", "base", "y", "ys")
+        .withColumn("_chunk", F.pmod(F.xxhash64("event_id"), chunks))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     )
-    unit = [*keys, "shift", "_chunk", "_block"]
+    unit = [*keys, "shift", "_chunk", "_copy"]
     fields = [f for f in work.schema.fields if f.name in (*keys, "shift")]
     names = [f.name for f in fields]
+    windows = _Windows(start, stop, exclude)
+    # Events of a chunk meet in one task per copy, one batch after the other; hashing unique ids keeps chunks even.
+    dealt = spread(work.select(*unit, "sums", "tsums", "base", "y", "ys"), *unit).sortWithinPartitions(*unit)
+    blocks = T.StructType([*fields, T.StructField("stat", T.StringType()), T.StructField("_block", T.IntegerType()), T.StructField("_r", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    kinds = to_arrow_schema(blocks)
+    sums = dealt.mapInArrow(_products(len(names), windows, list(stats), quad, copies, kinds), blocks)
+    if (total["most"] or 0) > 1:
+        whole = [*names, "stat", "_block", "_r"]
+        sums = spread(sums, *whole).sortWithinPartitions(*whole).mapInArrow(_merged(len(whole), kinds), blocks)
     schema = _sums_schema(fields)
-    products = _products(names, start, stop, exclude, list(stats), quad, copies, to_arrow_schema(schema))
-    # Events of a chunk meet in one task per block; hashing unique ids keeps chunks even.
-    sums = spread(work, *unit).groupBy(*unit).applyInArrow(products, schema)
-    if (total["most"] or 0) <= _EVENTS_PER_CHUNK:
-        return sums
-    return _add_chunks(sums, [*names, "stat", "_window"])
+    return sums.mapInArrow(_unfolded(len(names), windows, quad, to_arrow_schema(schema)), schema)
 
 
 def _sums_schema(fields: list[T.StructField]) -> T.StructType:
@@ -89,87 +97,152 @@ def _sums_schema(fields: list[T.StructField]) -> T.StructType:
     ])
 
 
-def _products(
-    keys: list[str], start: int, stop: int, exclude: tuple[int, int] | None, stats: list[str], quad: bool, copies: int,
-    empty: pa.Schema,
-):
-    """Task side: the sums of one chunk of events and its block of windows.
+class _Windows:
+    """The windows of a scan, by blocks that are dealt by their open."""
 
-    Windows are dealt to blocks by their open, blocks to the copies of the events.
-    """
-    width, blocks = start - stop + 1, _BLOCKS
-
-    def run(table: pa.Table) -> pa.Table:
-        def matrix(name):
-            values = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return values.reshape(table.num_rows, -1)
-
-        # Offsets by events: the windows of one open are a slice of rows.
-        sums, tsums = (np.ascontiguousarray(matrix(c).T) for c in ("sums", "tsums"))
-        ys, y, base = matrix("ys"), table["y"].to_numpy(), table["base"].to_numpy()
-        fixed = [(table.schema.field(k).type, table[k][0].as_py()) for k in keys]
-        block = table["_block"][0].as_py()
-        parts = {stat: [] for stat in stats}
-        for opened in range(width):
-            if opened % blocks % copies != block:
-                continue
-            closes = np.arange(opened + 1)
+    def __init__(self, start: int, stop: int, exclude: tuple[int, int] | None):
+        self.width, self.stop, self.exclude = start - stop + 1, stop, exclude
+
+    def of(self, block: int, stat: str) -> list[tuple[int, np.ndarray]]:
+        """Opens of a block and their closes, counted from ``stop``; from the far end of the window inwards."""
+        out = []
+        for opened in range(block, self.width, _BLOCKS):
+            closes = np.arange(opened, -1, -1)
             days = opened - closes + 1
-            kept = np.ones(len(closes), bool)
-            if exclude is not None:
-                kept = ~((days <= exclude[0]) & (closes + stop >= exclude[1]))
-            lo = width - 1 - opened
-            for stat in stats:
-                # A single day has no slope.
-                use = kept & (days > 1) if stat == SLOPE else kept
-                if not use.any():
-                    continue
-                # Closes run from the far end; what is left out may lie anywhere.
-                close = closes[use]
-                hi, d = width - close, days[use].astype(float)[:, None]
-                rows = slice(hi[-1], hi[0] + 1) if hi[0] - hi[-1] + 1 == len(hi) else hi[::-1]
-                d, close = d[::-1], close[::-1]
+            kept = np.ones(len(closes), bool) if self.exclude is None else ~((days <= self.exclude[0]) & (closes + self.stop >= self.exclude[1]))
+            # A single day has no slope.
+            kept &= days > (1 if stat == SLOPE else 0)
+            if kept.any():
+                out.append((opened, closes[kept]))
+        return out
+
+
+def _runs(columns: list[pa.Array]) -> list[tuple[int, int, tuple]]:
+    """Stretches of rows that agree in all columns."""
+    rows = list(zip(*[c.to_pylist() for c in columns], strict=True))
+    cuts = [i for i in range(len(rows)) if i == 0 or rows[i] != rows[i - 1]]
+    return [(a, b, rows[a]) for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
+
+
+class _Unit:
+    """The sums of the events of one chunk and copy, as they pass."""
+
+    def __init__(self, windows: _Windows, stats: list[str], quad: bool, blocks: range, repeats: int):
+        self.windows, self.quad, self.repeats = windows, quad, repeats
+        self.todo = [(stat, block, of) for stat in stats for block in blocks if (of := windows.of(block, stat))]
+        self.sums = [np.zeros((sum(len(c) for _, c in of), len(MOMENTS) + repeats * (1 + quad))) for _, _, of in self.todo]
+        days = windows.width + 1
+        # Products of running sums with the responses: of values, of values times days, and of values times the event's base.
+        self.running = [np.zeros((days, repeats)) for _ in range(3)]
+
+    def add(self, sums: np.ndarray, tsums: np.ndarray, base: np.ndarray, y: np.ndarray, ys: np.ndarray) -> None:
+        for total, values in zip(self.running, (sums, tsums, sums * base), strict=True):
+            total += values @ ys
+        n, sy, syy = float(len(y)), y.sum(), y @ y
+        for (stat, _, of), out in zip(self.todo, self.sums, strict=True):
+            at = 0
+            for opened, closes in of:
+                lo, hi = self.windows.width - 1 - opened, self.windows.width - closes
+                d = (opened - closes + 1.0)[:, None]
+                rows = slice(hi[0], hi[-1] + 1) if hi[-1] - hi[0] + 1 == len(hi) else hi
                 x = sums[rows] - sums[lo]
                 if stat == MEAN:
                     x /= d
                 else:
-                    middle = (2 * lo + d - 1) / 2 + base
-                    x = (tsums[rows] - tsums[lo] - middle * x) / (d * (d * d - 1) / 12)
+                    x = (tsums[rows] - tsums[lo] - ((2 * lo + d - 1) / 2 + base) * x) / (d * (d * d - 1) / 12)
                 squared = x * x
-                moments = np.stack([
-                    np.full(len(x), float(len(y))), x.sum(1), squared.sum(1), np.einsum("ij,ij->i", squared, x),
-                    np.einsum("ij,ij->i", squared, squared), np.full(len(x), y.sum()), np.full(len(x), y @ y),
-                ])
-                products = [x @ ys, squared @ ys if quad else np.zeros((len(x), 0))]
-                parts[stat].append((opened * width + close, moments, *products))
-        out = []
-        for stat, found in parts.items():
-            if not found:
-                continue
-            windows, moments = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found], axis=1)
-            lists = [np.concatenate([f[i] for f in found]) for i in (2, 3)]
-            m = len(windows)
-            offsets = [pa.array(np.arange(m + 1, dtype=np.int32) * v.shape[1]) for v in lists]
-            out.append(pa.table([
-                *[pa.array([v] * m, kind) for kind, v in fixed],
-                pa.array([stat] * m, pa.string()), pa.array(windows.astype(np.int32)),
-                *[pa.array(v) for v in moments],
-                *[pa.ListArray.from_arrays(o, pa.array(v.ravel())) for o, v in zip(offsets, lists)],
-            ], names=[*keys, "stat", "_window", *MOMENTS, "_sxy", "_sx2y"]))
-        return pa.concat_tables(out) if out else empty.empty_table()
+                part = out[at:at + len(closes)]
+                part[:, :len(MOMENTS)] += np.stack([
+                    np.full(len(x), n), x.sum(1), squared.sum(1), np.einsum("ij,ij->i", squared, x),
+                    np.einsum("ij,ij->i", squared, squared), np.full(len(x), sy), np.full(len(x), syy),
+                ], axis=1)
+                if self.quad:
+                    part[:, len(MOMENTS) + self.repeats:] += squared @ ys
+                at += len(closes)
+
+    def done(self) -> list[tuple[str, int, np.ndarray]]:
+        values, timed, based = self.running
+        for (stat, _, of), out in zip(self.todo, self.sums, strict=True):
+            at = 0
+            for opened, closes in of:
+                lo, hi = self.windows.width - 1 - opened, self.windows.width - closes
+                d = (opened - closes + 1.0)[:, None]
+                product = values[hi] - values[lo]
+                if stat == MEAN:
+                    product = product / d
+                else:
+                    product = (timed[hi] - timed[lo] - (2 * lo + d - 1) / 2 * product - (based[hi] - based[lo])) / (d * (d * d - 1) / 12)
+                out[at:at + len(closes), len(MOMENTS):len(MOMENTS) + self.repeats] = product
+                at += len(closes)
+        return [(stat, block, out) for (stat, block, _), out in zip(self.todo, self.sums, strict=True)]
+
+
+def _rows(keys: tuple, stats: list[str], blocks: list[int], repeats: int, sums: list[np.ndarray], kinds: pa.Schema) -> pa.RecordBatch:
+    n = len(stats)
+    columns = [pa.array([k] * n, f.type) for k, f in zip(keys, kinds, strict=False)]
+    offsets = np.cumsum([0, *(v.size for v in sums)]).astype(np.int32)
+    flat = pa.array(np.concatenate([v.ravel() for v in sums]))
+    columns += [pa.array(stats), pa.array(blocks, pa.int32()), pa.array([repeats] * n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], names=kinds.names)
+
+
+def _products(n_keys: int, windows: _Windows, stats: list[str], quad: bool, copies: int, kinds: pa.Schema):
+    """Task side: rows sorted by unit, the keys, chunk and copy first, to one array of sums per block of windows."""
+    def flushed(unit: tuple, held: _Unit) -> Iterator[pa.RecordBatch]:
+        for stat, block, sums in held.done():
+            yield _rows(unit[:n_keys], [stat], [block], held.repeats, [sums], kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, _EVENTS_AT_A_TIME):
+                batch = whole.slice(at, _EVENTS_AT_A_TIME)
+                for a, b, now in _runs(batch.columns[:n_keys + 2]):
+                    part = batch.slice(a, b - a)
+                    repeats = len(part.column("ys")[0])
+                    if now != unit:
+                        if held is not None:
+                            yield from flushed(unit, held)
+                        unit, held = now, _Unit(windows, stats, quad, range(now[-1], _BLOCKS, copies), repeats)
+                    sums, tsums = (np.ascontiguousarray(matrix_of(part.column(c), windows.width + 1).T) for c in ("sums", "tsums"))
+                    base, y = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("base", "y"))
+                    held.add(sums, tsums, base, y, matrix_of(part.column("ys"), repeats))
+        if held is not None:
+            yield from flushed(unit, held)
 
     return run
 
 
-def _add_chunks(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up the sums of a group's chunks, element by element of the lists."""
-    each = sums.select(*keys, *MOMENTS, F.posexplode(F.arrays_zip("_sxy", "_sx2y")).alias("_i", "_v")).groupBy(
-        *keys, "_i"
-    ).agg(
-        *[F.sum(m).alias(m) for m in MOMENTS], F.sum("_v._sxy").alias("a"), F.sum("_v._sx2y").alias("b")
-    )
-    # One element per response, so the list is bounded.
-    listed = each.groupBy(*keys).agg(
-        *[F.max(m).alias(m) for m in MOMENTS], F.array_sort(F.collect_list(F.struct("_i", "a", "b"))).alias("_l")
-    )
-    return listed.select(*keys, *MOMENTS, F.col("_l.a").alias("_sxy"), F.col("_l.b").alias("_sx2y"))
+def _merged(n_keys: int, kinds: pa.Schema):
+    """Task side: rows sorted by all but their sums, added up one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        for batch in batches:
+            for a, b, now in _runs(batch.columns[:n_keys]):
+                if now != held:
+                    if held is not None:
+                        yield _rows(held[:-3], [held[-3]], [held[-2]], held[-1], [total], kinds)
+                    held, total = now, 0.0
+                for i in range(a, b):
+                    total = total + batch.column("sums")[i].values.to_numpy(zero_copy_only=False)
+        if held is not None:
+            yield _rows(held[:-3], [held[-3]], [held[-2]], held[-1], [total], kinds)
+
+    return run
+
+
+def _unfolded(n_keys: int, windows: _Windows, quad: bool, schema: pa.Schema):
+    """Task side: an array of sums per block to a row per window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *keys, stat, block, repeats = (batch.column(c)[i].as_py() for c in range(n_keys + 3))
+                of, m = windows.of(block, stat), len(MOMENTS)
+                numbers = np.concatenate([opened * windows.width + closes for opened, closes in of]).astype(np.int32)
+                sums = batch.column("sums")[i].values.to_numpy(zero_copy_only=False).reshape(len(numbers), -1)
+                lists = [lists_of(sums[:, m:m + repeats]), lists_of(sums[:, m + repeats:])]
+                columns = [pa.array([k] * len(numbers), f.type) for k, f in zip(keys, schema, strict=False)]
+                columns += [pa.array([stat] * len(numbers)), pa.array(numbers), *[pa.array(np.ascontiguousarray(sums[:, j])) for j in range(m)], *lists]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    return run

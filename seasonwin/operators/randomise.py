@@ -127,11 +127,11 @@ def _best_of_repeats(
     gains = each.select(*keys, "n", "sy", "sy2", "_window", *[explained[f].alias(f"_ss_{f}") for f in funcs])
     best = gains.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("sy").alias("sy"), F.max("sy2").alias("sy2"),
-        *[F.max(f"_ss_{f}").alias(f"_ss_{f}") for f in funcs],
-        *[F.max_by("_window", f"_ss_{f}").alias(f"_at_{f}") for f in funcs],
+        # Of equal windows the one that opens, then closes, nearest to the range's end, as in the scan's ranks.
+        *[F.max(F.when(c(f"_ss_{f}").isNotNull(), F.struct(c(f"_ss_{f}").alias("ss"), (-c("_window")).alias("at")))).alias(f"_best_{f}") for f in funcs],
     )
     per_func = best.select(*keys, "n", "sy", "sy2", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("func"), c(f"_ss_{f}").alias("ss"), c(f"_at_{f}").alias("at")) for f in funcs
+        F.struct(F.lit(f).alias("func"), c(f"_best_{f}.ss").alias("ss"), (-c(f"_best_{f}.at")).alias("at")) for f in funcs
     ])).alias("_b")).select(*keys, "n", "sy", "sy2", "_b.*").where("ss is not null")
     total = c("sy2") - c("sy") * c("sy") / n
     rss = F.greatest(total - c("ss"), 1e-15 * total)

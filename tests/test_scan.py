@@ -68,7 +68,7 @@ def test_window_counts(spark):
 
 @pytest.mark.parametrize("per_chunk", [1024, 4])
 def test_scan_equals_a_direct_fit_of_every_window(spark, monkeypatch, per_chunk):
-    monkeypatch.setattr(products, "_EVENTS_PER_CHUNK", per_chunk)
+    monkeypatch.setattr(products, "_EVENTS_AT_A_TIME", per_chunk)
     events, series, values, at, y = make(spark)
     got = {
         (r["stat"], r["func"], r["open"], r["close"]): r
@@ -164,7 +164,7 @@ def test_shuffle_keeps_the_responses(spark):
 
 @pytest.mark.parametrize("per_task", [1024, 8])
 def test_randomise_equals_scans_of_the_shuffled_events(spark, monkeypatch, per_task):
-    monkeypatch.setattr(products, "_EVENTS_PER_CHUNK", per_task)
+    monkeypatch.setattr(products, "_EVENTS_AT_A_TIME", per_task)
     events, series, values, at, y = make(spark, years=20)
     got = randomise.randomise_scan(events, series, 3, 9, START, STOP, EXCLUDE).collect()
     assert len(got) == 3 * 4
