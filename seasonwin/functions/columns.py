@@ -66,12 +66,12 @@ def flag_positive(c: Column | str, yes: str = "Open", no: str = "Ice") -> Column
 
 
 def bucket_ranges(c: Column | str, ranges: Sequence[tuple], default: str | None = None) -> Column:
-    """Label by closed ranges ``(low, high, label)``; first match wins."""
+    """Label by closed ranges ``(low, high, label)``; first match wins, and what is in none, or missing, gets the default."""
     c = col(c)
     out = F.lit(default).cast("string")
     for low, high, label in reversed(list(ranges)):
         out = F.when(c.between(low, high), F.lit(label)).otherwise(out)
-    return F.when(c.isNotNull(), out)
+    return out
 
 
 def season_year(date: Column | str, start_month: int = 7) -> Column:

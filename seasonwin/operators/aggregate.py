@@ -90,15 +90,19 @@ def moments(x: Column | str, y: Column | str) -> dict[str, Column]:
 
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts per equal bin of ``[low, high]``; the last bin includes ``high``."""
+    """Counts per equal bin of ``[low, high]``; the last bin includes ``high``.
+
+    What lies below is counted in bin -1, what lies above in bin ``bins``; these have no outer edge.
+    Missing values are not counted.
+    """
     width = (high - low) / bins
-    bin_ = F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    return (
-        df.where(F.col(c).between(low, high))
-        .groupBy(*keys, bin_.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"low": F.lit(low) + F.col("bin") * width, "high": F.lit(low) + (F.col("bin") + 1) * width})
-    )
+    value = F.col(c)
+    inner = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(bins - 1)
+    bin_ = F.when(value < low, -1).when(value > high, bins).otherwise(inner).cast("long")
+    at = F.col("bin")
+    return df.where(value.isNotNull()).groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "low": F.when(at >= 0, F.lit(low) + at * width), "high": F.when(at < bins, F.lit(low) + (at + 1) * width)
+    })
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]) -> DataFrame:

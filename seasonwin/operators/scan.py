@@ -123,7 +123,9 @@ def event_slices(
         (F.col("base") >= 0) & (F.col("base") + length <= F.size("values"))
     )
     sliced = {"value": ("values", length), "sums": ("sums", length + 1), "tsums": ("tsums", length + 1)}
-    kept = {p: F.slice(F.col(sliced[p][0]), F.col("base") + 1, sliced[p][1]) for p in parts}
+    # The planner may cut before it filters, and an event that drops out may start before its block.
+    first = F.greatest(F.col("base"), F.lit(0)) + 1
+    kept = {p: F.slice(F.col(sliced[p][0]), first, sliced[p][1]) for p in parts}
     extra = ["base", "shift"] if "tsums" in parts else []
     return covered.select(*events.columns, "variable", *extra, *[c.alias(p) for p, c in kept.items()])
 
@@ -417,6 +419,18 @@ def _with_interval(points: DataFrame, data: DataFrame, keys: Sequence[str], z: f
     return df.withColumns({"LCI": low, "UCI": high}).drop("_mid", "_s2", "_s3", "_s4")
 
 
-def null_histogram(rand: DataFrame, low: float, high: float, bins: int, group: Sequence[str] = ()) -> DataFrame:
-    """Histogram of the best criteria under shuffled responses."""
-    return histogram(rand, "delta_aicc", low, high, bins, [*group, *COMBO])
+def null_histogram(
+    rand: DataFrame, bins: int, scan: DataFrame | None = None, low: float | None = None, high: float | None = None, group: Sequence[str] = ()
+) -> DataFrame:
+    """Histogram of the best criteria under shuffled responses; with ``scan`` also the ``observed`` best, the line to draw in it.
+
+    Without limits the bins reach from the whole number below the least value to that above the greatest.
+    """
+    keys = [*group, *COMBO]
+    if low is None or high is None:
+        ends = rand.agg(F.floor(F.min("delta_aicc")), F.ceil(F.max("delta_aicc"))).first()
+        low, high = low if low is not None else float(ends[0] or 0), high if high is not None else float(ends[1] or 0)
+    counts = histogram(rand, "delta_aicc", low, high, bins, keys)
+    if scan is None:
+        return counts
+    return attach(counts, best_windows(scan).select(*keys, F.col("delta_aicc").alias("observed")), keys)

@@ -15,9 +15,9 @@ from seasonwin.operators.rows import expand_grid
 from seasonwin.plans.registry import query, r, rounded, table, to_date
 from seasonwin.session import pin
 
-START, STOP, EXCLUDE = 30, 0, (4, 0)
-LEVEL = 0.5
-REPEATS, SEED = 20, 7
+START, STOP, EXCLUDE = 120, -150, (10, -150)
+LEVEL = 0.95
+REPEATS, SEED = 100, 7
 PERIODS = [(1995, 1996, "past"), (1997, 1998, "mid")]
 
 
@@ -104,74 +104,77 @@ events0 as (
 ends as (select variable, min(date) as d0, max(date) as d1 from series group by 1),
 ev as (
   select e.*, ends.variable from events0 e, ends
-  where e.bdate - {start} >= d0 and e.bdate - {stop} <= d1)"""
+  where e.bdate - ({start}) >= d0 and e.bdate - ({stop}) <= d1)"""
 _EVENTS = _events(START, STOP)
 
-_WINDOWS = """
+_REL = """
+rel as (
+  select e.variable, e.period, e.event_id, e.y, datediff('day', s.date, e.bdate) as o, s.value,
+    sum(s.value) over past as cs, sum(s.value * datediff('day', s.date, e.bdate)) over past as ct
+  from ev e join series s on {match} and s.date between e.bdate - ({start}) and e.bdate - ({stop})
+  window past as (partition by e.variable, e.event_id order by s.date desc)),
 offsets as (select cast(unnest(range({stop}, {start} + 1)) as int) as o),
 windows as (
-  select a.o as open, b.o as close from offsets a, offsets b
-  where a.o >= b.o and not (a.o - b.o + 1 <= {days} and b.o >= {edge})),
-x0 as (
-  select e.event_id, e.period, e.variable, e.y, w.open, w.close,
-    avg(s.value) as mean, regr_slope(s.value, datediff('day', date '1990-01-01', s.date)) as slope
-  from ev e, windows w, series s
-  where s.variable = e.variable and s.date between e.bdate - w.open and e.bdate - w.close
-  group by all)""".format(start=START, stop=STOP, days=EXCLUDE[0], edge=EXCLUDE[1])
-
-_LONG = """
-x as (
-  select event_id, period, variable, open, close, y, 'mean' as stat, mean as x from x0
-  union all
-  select event_id, period, variable, open, close, y, 'slope', slope from x0)"""
+  select a.o as open, b.o as close, a.o - b.o + 1.0::double as days from offsets a, offsets b
+  where a.o >= b.o and not (a.o - b.o + 1 <= {days} and b.o >= {edge}))"""
 
 
-def _ctes(*parts: str) -> str:
-    return "with " + ",".join(parts)
+def _rel(match: str = "s.variable = e.variable") -> str:
+    return _REL.format(match=match, start=START, stop=STOP, days=EXCLUDE[0], edge=EXCLUDE[1])
 
 
-def _fits(group: str = "", x: str = "x", scan: str = "scan") -> str:
-    """Linear fits by SQL regression; quadratic ones through the residual of the square."""
+#: A window's sums are differences of two days' running sums.
+_TOTAL = "a.cs - b.cs + b.value as total, a.ct - b.ct + b.value * w.close as moment"
+_SLOPE = "((open + close) / 2.0::double * total - moment) / (days * (days * days - 1) / 12)"
+_X = f"""
+w0 as (
+  select a.variable, a.period, a.event_id, a.y, w.open, w.close, w.days, {_TOTAL}
+  from windows w join rel a on a.o = w.open join rel b on b.variable = a.variable and b.event_id = a.event_id and b.o = w.close),
+x as (
+  select variable, period, event_id, 'mean' as stat, open, close, y, total / days as x from w0
+  union all
+  select variable, period, event_id, 'slope', open, close, y, {_SLOPE} from w0 where days > 1)"""
+
+
+def _fits(group: str = "") -> str:
+    """Fits from central sums, linear ones and quadratic ones in the square's deviation from its mean."""
+    a = 2 * math.pi
     combo = f"{group}, variable, stat".lstrip(", ")
     k = f"{combo}, open, close"
-    a = 2 * math.pi
-    n = scan
     return f"""
-{n}_z as (select *, x - avg(x) over (partition by {k}) as zx, avg(x) over (partition by {k}) as mx from {x}),
-{n}_lin as (
-  select {k}, count(*) as n, any_value(mx) as mx, avg(y) as my, regr_slope(y, zx) as c1,
-    regr_slope(zx * zx, zx) as beta, avg(zx * zx) as alpha, regr_syy(y, zx) as syy,
-    regr_sxy(y, zx) * regr_sxy(y, zx) / regr_sxx(y, zx) as lin_ss
-  from {n}_z group by {k}),
-{n}_res as (
-  select {k}, z.y, z.zx * z.zx - l.alpha - l.beta * z.zx as rr from {n}_z z join {n}_lin l using ({k})),
-{n}_quad as (
-  select {k}, sum(rr * y) / sum(rr * rr) as c2, sum(rr * y) * sum(rr * y) / sum(rr * rr) as quad_ss
-  from {n}_res group by {k}),
-{n}_both as (select * from {n}_lin join {n}_quad using ({k})),
-{n}_coef as (
-  select {k}, 'lin' as func, n, my - c1 * mx as b0, c1 as b1, null::double as b2,
-    syy - lin_ss as rss, syy, 3 as k from {n}_both
+mid as (select {k}, avg(x) as mx, avg(y) as my from x group by all),
+sums as (
+  select {k}, count(*) as n, any_value(mx) as mx, any_value(my) as my, sum(z * z) as s2, sum(z * z * z) as s3, sum(z * z * z * z) as s4,
+    sum(z * v) as sxy, sum(z * z * v) as suy, sum(v * v) as syy
+  from (select x.*, mx, my, x - mx as z, y - my as v from x join mid using ({k})) group by all),
+central as (
+  select *, s4 - s2 * s2 / n as uu, (s2 * suy - s3 * sxy) / (s2 * (s4 - s2 * s2 / n) - s3 * s3) as c2,
+    ((s4 - s2 * s2 / n) * sxy - s3 * suy) / (s2 * (s4 - s2 * s2 / n) - s3 * s3) as c1 from sums),
+fits as (
+  select {k}, 'lin' as func, n, syy, my - sxy / s2 * mx as b0, sxy / s2 as b1, null::double as b2, syy - sxy * sxy / s2 as rss, 3 as k,
+    mx, s2, s3, s4 from central
   union all
-  select {k}, 'quad', n,
-    my - c2 * alpha - (c1 - c2 * beta) * mx + c2 * mx * mx,
-    c1 - c2 * beta - 2 * c2 * mx, c2, syy - lin_ss - quad_ss, syy, 4 from {n}_both),
-{n}_crit as (
+  select {k}, 'quad', n, syy, my - c1 * mx - c2 * s2 / n + c2 * mx * mx, c1 - 2 * c2 * mx, c2, syy - c1 * sxy - c2 * suy, 4,
+    mx, s2, s3, s4 from central),
+crit as (
   select *, n * (ln({a} * rss / n) + 1) + 2 * k + 2.0 * k * (k + 1) / (n - k - 1) as aicc,
     n * (ln({a} * syy / n) + 1) + 4 + 12.0 / (n - 3) as aicc0
-  from {n}_coef),
-{n} as (
-  select {k}, func, n, b0, b1, b2, rss, 1 - rss / syy as r2, aicc, aicc - aicc0 as delta_aicc,
+  from fits),
+scan as (
+  select *, 1 - rss / syy as r2, aicc - aicc0 as delta_aicc,
     exp(-(aicc - best) / 2) / sum(exp(-(aicc - best) / 2)) over (partition by {combo}, func) as weight,
     row_number() over (partition by {combo}, func order by aicc, open, close) as rank
-  from (select *, min(aicc) over (partition by {combo}, func) as best from {n}_crit))"""
+  from (select *, min(aicc) over (partition by {combo}, func) as best from crit))"""
 
 
-_SCAN = _ctes(_SERIES, _EVENTS, _WINDOWS, _LONG, _fits())
-_COLUMNS = (
-    f"variable, stat, func, open, close, n, {r('b0')} as b0, {r('b1')} as b1, {r('b2')} as b2, {r('rss')} as rss, "
-    f"{r('r2')} as r2, {r('aicc')} as aicc, {r('delta_aicc')} as delta_aicc, {r('weight')} as weight, rank"
-)
+def _ctes(*parts: str) -> str:
+    return "with " + ",".join(parts)
+
+
+_SCAN = _ctes(_SERIES, _EVENTS, _rel(), _X, _fits())
+#: Rounded so that the last bits of ill-conditioned fits don't show.
+_DIGITS = dict(b0=3, b1=2, b2=1, rss=3, r2=3, aicc=3, delta_aicc=3, weight=5)
+_COLUMNS = "variable, stat, func, open, close, n, " + ", ".join(f"{r(c, d)} as {c}" for c, d in _DIGITS.items()) + ", rank"
 
 
 def _scan_sql(stat: str, func: str) -> str:
@@ -180,44 +183,41 @@ def _scan_sql(stat: str, func: str) -> str:
 
 @query(_scan_sql("mean", "lin"))
 def scan_lin_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scan(spark, sf_dir, [scan.MEAN], [scan.LIN]))
+    return rounded(_scan(spark, sf_dir, [scan.MEAN], [scan.LIN]), **_DIGITS)
 
 
 @query(_scan_sql("slope", "lin"))
 def scan_lin_slope(spark, sf_dir):
-    return rounded(_scan(spark, sf_dir, [scan.SLOPE], [scan.LIN]))
+    return rounded(_scan(spark, sf_dir, [scan.SLOPE], [scan.LIN]), **_DIGITS)
 
 
 @query(_scan_sql("mean", "quad"))
 def scan_quad_mean(spark, sf_dir):
-    return rounded(_scan(spark, sf_dir, [scan.MEAN], [scan.QUAD]))
+    return rounded(_scan(spark, sf_dir, [scan.MEAN], [scan.QUAD]), **_DIGITS)
 
 
 @query(_scan_sql("slope", "quad"))
 def scan_quad_slope(spark, sf_dir):
-    return rounded(_scan(spark, sf_dir, [scan.SLOPE], [scan.QUAD]))
+    return rounded(_scan(spark, sf_dir, [scan.SLOPE], [scan.QUAD]), **_DIGITS)
 
 
-@query(
-    _ctes(_SERIES, _EVENTS, _WINDOWS, _LONG, _fits("period"))
-    + f" select period, {_COLUMNS} from scan where stat = 'mean'"
-)
+@query(_ctes(_SERIES, _EVENTS, _rel(), _X, _fits("period")) + f" select period, {_COLUMNS} from scan")
 def scan_by_group(spark, sf_dir):
-    return rounded(_scan(spark, sf_dir, [scan.MEAN], group=["period"]))
+    return rounded(_scan(spark, sf_dir, group=["period"]), **_DIGITS)
 
 
 @query(
     _ctes(_SERIES, _EVENTS)
     + f""" select e.event_id, e.variable, datediff('day', s.date, e.bdate) as "offset", {r('s.value')} as value
     from ev e join series s on s.variable = e.variable
-      and s.date between e.bdate - {START} and e.bdate - {STOP}"""
+      and s.date between e.bdate - ({START}) and e.bdate - ({STOP})"""
 )
 def relative_series(spark, sf_dir):
     rel = relative_series_op(order_events(spark, sf_dir), order_series(spark, sf_dir), START, STOP)
     return rounded(rel.select("event_id", "variable", "offset", "value"))
 
 
-@query(_ctes(_SERIES, _EVENTS, _WINDOWS) + """
+@query(_ctes(_SERIES, _EVENTS, _rel()) + """
     select e.variable, w.open, w.close, w.open - w.close + 1 as days, count(*) as n_events
     from ev e, windows w group by all""")
 def enumerate_windows(spark, sf_dir):
@@ -227,30 +227,38 @@ def enumerate_windows(spark, sf_dir):
     return rounded(windows.withColumn("days", F.col("open") - F.col("close") + 1))
 
 
-@query(_ctes(_SERIES, _EVENTS, _WINDOWS) + f"""
-    select event_id, variable, open, close, {r('mean')} as mean from x0""")
+def _per_window(spark, sf_dir, stat: str) -> DataFrame:
+    """What the values of all events are in each window."""
+    values = scan.window_stats(order_events(spark, sf_dir), order_series(spark, sf_dir), START, STOP, [stat], EXCLUDE)
+    return rounded(values.where(F.col(stat).isNotNull()).groupBy("variable", "open", "close").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(stat).alias("mean"), F.min(stat).alias("low"), F.max(stat).alias("high"),
+        F.sum(F.col(stat) * F.col("event_id")).alias("by_event"),
+    ), by_event=1)
+
+
+def _per_window_sql(stat: str) -> str:
+    return _ctes(_SERIES, _EVENTS, _rel(), _X) + f""" select variable, open, close, count(*) as n, {r('avg(x)')} as mean, {r('min(x)')} as low,
+      {r('max(x)')} as high, {r('sum(x * event_id)', 1)} as by_event from x where stat = '{stat}' group by all"""
+
+
+@query(_per_window_sql("mean"))
 def window_mean(spark, sf_dir):
-    stats = scan.window_stats(
-        order_events(spark, sf_dir), order_series(spark, sf_dir), START, STOP, [scan.MEAN], EXCLUDE
-    )
-    return rounded(stats.select("event_id", "variable", "open", "close", "mean"))
+    return _per_window(spark, sf_dir, scan.MEAN)
 
 
-@query(_ctes(_SERIES, _EVENTS, _WINDOWS) + f"""
-    select event_id, variable, open, close, {r('slope')} as slope from x0""")
+@query(_per_window_sql("slope"))
 def window_slope(spark, sf_dir):
-    stats = scan.window_stats(
-        order_events(spark, sf_dir), order_series(spark, sf_dir), START, STOP, [scan.SLOPE], EXCLUDE
-    )
-    return rounded(stats.select("event_id", "variable", "open", "close", "slope"))
+    return _per_window(spark, sf_dir, scan.SLOPE)
 
 
-@query("with" + _SERIES + "," + _EVENTS + f"""
-    select period, count(*) as n, {r('avg(y)')} as mean_y, {r('regr_syy(y, 1)')} as rss,
+@query(_ctes(_SERIES, _EVENTS) + f"""
+    select variable, period, count(*) as n, {r('avg(y)')} as mean_y, {r('regr_syy(y, 1)')} as rss,
       {r(f"count(*) * (ln({2 * math.pi} * regr_syy(y, 1) / count(*)) + 1) + 4 + 12.0 / (count(*) - 3)")} as aicc
-    from events0 group by 1""")
+    from ev group by 1, 2""")
 def baseline_fit(spark, sf_dir):
-    return rounded(scan.fit_baseline(order_events(spark, sf_dir), ["period"]))
+    """Of the events that the scan fits, those with their whole range in a series."""
+    slices = scan.event_slices(order_events(spark, sf_dir), order_series(spark, sf_dir), START, STOP, parts=())
+    return rounded(scan.fit_baseline(slices, ["variable", "period"]))
 
 
 _SET = _SCAN + f""",
@@ -267,11 +275,11 @@ def confidence_set(spark, sf_dir):
 
 
 @query(_SET + f""" select variable, stat, func, count(*) as n_windows,
-    {r('sum(b0 * weight) / sum(weight)')} as b0, {r('sum(b1 * weight) / sum(weight)')} as b1,
-    {r('sum(b2 * weight) / sum(weight)')} as b2,
+    {r('sum(b0 * weight) / sum(weight)', 3)} as b0, {r('sum(b1 * weight) / sum(weight)', 3)} as b1,
+    {r('sum(b2 * weight) / sum(weight)', 1)} as b2,
     median(open) as median_open, median(close) as median_close from best_set group by all""")
 def average_models(spark, sf_dir):
-    return rounded(scan.average_models(scan.confidence_set(_scan(spark, sf_dir), LEVEL)))
+    return rounded(scan.average_models(scan.confidence_set(_scan(spark, sf_dir), LEVEL)), b0=3, b1=3, b2=1)
 
 
 @query(_SET + f""" , ends_ as (
@@ -308,14 +316,22 @@ def cumulative_weight(spark, sf_dir):
     return rounded(total.select(*scan.COMBO, "open", "close", "cum_weight"))
 
 
-@query(_SCAN + f"""
-    select s.variable, s.stat, s.func, x.event_id, s.open, s.close, {r('x.x')} as climate, {r('x.y')} as yvar,
-      {r('s.b0 + s.b1 * x.x + coalesce(s.b2, 0) * x.x * x.x')} as pred
+_LEVERAGE = """(1.0 / n + z * z / s2 + case when func = 'quad' then
+      (z * z - s2 / n - s3 / s2 * z) * (z * z - s2 / n - s3 / s2 * z) / (s4 - s2 * s2 / n - s3 * s3 / s2) else 0 end)"""
+_INTERVAL = f"sqrt(rss / (n - case when func = 'quad' then 3 else 2 end) * {_LEVERAGE})"
+
+
+@query(_SCAN + f""", p as (
+    select s.variable, s.stat, s.func, x.event_id, s.open, s.close, x.x as climate, x.y as yvar, n, s2, s3, s4, rss, x.x - mx as z,
+      s.b0 + s.b1 * x.x + coalesce(s.b2, 0) * x.x * x.x as pred
     from scan s join x on x.variable = s.variable and x.stat = s.stat and x.open = s.open and x.close = s.close
-    where s.rank = 1""")
+    where s.rank = 1),
+  e as (select *, {_INTERVAL} as se from p)
+  select variable, stat, func, event_id, open, close, {r('climate')} as climate, {r('yvar')} as yvar, {r('pred')} as pred, {r('se')} as se,
+    {r('pred - 1.96 * se')} as "LCI", {r('pred + 1.96 * se')} as "UCI" from e""")
 def best_model_data(spark, sf_dir):
     _, data = _best(spark, sf_dir)
-    return rounded(data.drop("se", "LCI", "UCI"))
+    return rounded(data)
 
 
 def _best(spark, sf_dir, stats=(scan.MEAN, scan.SLOPE), funcs=(scan.LIN, scan.QUAD)):
@@ -328,67 +344,80 @@ def _best(spark, sf_dir, stats=(scan.MEAN, scan.SLOPE), funcs=(scan.LIN, scan.QU
 _CURVE_STEP = 0.01
 
 
-@query(_SCAN + f""", bestx as (
-    select s.*, x.x, x.y from scan s join x on x.variable = s.variable and x.stat = s.stat and x.open = s.open
-      and x.close = s.close where s.rank = 1 and s.func = 'lin' and s.stat = 'mean'),
-  fit as (select variable, any_value(b0) as b0, any_value(b1) as b1, any_value(rss) as rss, count(*) as n,
-    min(x) as lo, max(x) as hi, avg(x) as mx, regr_sxx(y, x) as sxx from bestx group by 1),
-  grid as (select *, lo + i * {_CURVE_STEP} as climate from (
-    select *, unnest(range(0, cast(floor((hi - lo) / {_CURVE_STEP} + 1e-9) as bigint) + 1)) as i from fit)),
-  line as (select *, b0 + b1 * climate as pred,
-    sqrt(rss / (n - 2) * (1.0 / n + (climate - mx) * (climate - mx) / sxx)) as se from grid)
-  select variable, 'mean' as stat, 'lin' as func, {r('climate')} as climate, {r('pred')} as pred, {r('se')} as se,
+@query(_SCAN + f""", best as (
+    select s.*, lo, hi from scan s join (select variable, stat, open, close, min(x) as lo, max(x) as hi from x group by all) using (variable, stat, open, close)
+    where s.rank = 1 and s.stat = 'mean'),
+  grid as (select *, lo + i * {_CURVE_STEP} as climate, lo + i * {_CURVE_STEP} - mx as z from (
+    select *, unnest(range(0, cast(floor((hi - lo) / {_CURVE_STEP} + 1e-9) as bigint) + 1)) as i from best)),
+  line as (select *, b0 + b1 * climate + coalesce(b2, 0) * climate * climate as pred, {_INTERVAL} as se from grid)
+  select variable, stat, func, {r('climate')} as climate, {r('pred')} as pred, {r('se')} as se,
     {r('pred - 1.96 * se')} as "LCI", {r('pred + 1.96 * se')} as "UCI" from line""")
 def predict_curve(spark, sf_dir):
-    fits, data = _best(spark, sf_dir, [scan.MEAN], [scan.LIN])
+    fits, data = _best(spark, sf_dir, [scan.MEAN])
     return rounded(scan.predict_curve(pin(data, "best"), fits, _CURVE_STEP))
 
 
-_RANDOM = _ctes(_SERIES, _EVENTS, _WINDOWS) + f""",
+#: Linear fits of shuffled responses: a window's product with a repeat's responses is the same
+#: difference of running sums, taken of the products of the days.
+_RANDOM = f"""{_SCAN},
 orders_ as (
-  select e.variable, e.event_id, e.y, rp.r,
+  select e.variable, e.event_id, e.y - avg(e.y) over (partition by e.variable, rp.r) as y, rp.r,
     row_number() over (partition by e.variable, rp.r
       order by md5('{SEED}-' || cast(rp.r as varchar) || '-' || cast(e.event_id as varchar)), e.event_id) as pos
   from (select distinct variable, event_id, y from ev) e, (select unnest(range(0, {REPEATS} + 1)) as r) rp),
 drawn as (
-  select h.variable, h.event_id, d.r as "repeat", d.y as y
+  select h.variable, h.event_id, d.r as rep, d.y as y
   from orders_ h join orders_ d on d.variable = h.variable and d.pos = h.pos and h.r = 0 and d.r > 0),
-xr as (
-  select d."repeat", x.variable, 'mean' as stat, x.open, x.close, d.y, x.mean as x
-  from x0 x join drawn d on d.variable = x.variable and d.event_id = x.event_id), """ \
-    + _fits('"repeat"', "xr").lstrip() + """,
-best as (select variable, stat, func, "repeat", open, close, delta_aicc from scan where rank = 1)"""
+days as (
+  select d.variable, d.rep, rel.o, sum(d.y * rel.cs) as cs, sum(d.y * rel.ct) as ct, sum(d.y * rel.value) as value
+  from drawn d join rel on rel.variable = d.variable and rel.event_id = d.event_id group by all),
+d0 as (
+  select a.variable, a.rep, w.open, w.close, w.days, {_TOTAL}
+  from windows w join days a on a.o = w.open join days b on b.variable = a.variable and b.rep = a.rep and b.o = w.close),
+products as (
+  select variable, rep, 'mean' as stat, open, close, total / days as sxy from d0
+  union all select variable, rep, 'slope', open, close, {_SLOPE} from d0 where days > 1),
+shuffled as (
+  select p.variable, p.stat, p.rep, p.open, p.close, n, syy, syy - p.sxy * p.sxy / s2 as rss
+  from products p join sums s using (variable, stat, open, close)),
+best as (
+  select variable, stat, 'lin' as func, rep as "repeat", open, close,
+    n * ln(rss / syy) + 6 + 24.0 / (n - 4) - 4 - 12.0 / (n - 3) as delta_aicc
+  from shuffled qualify row_number() over (partition by variable, stat, rep order by rss, open, close) = 1)"""
 
 
 def _randomised(events: DataFrame, series: DataFrame) -> DataFrame:
-    return randomise.randomise_scan(events, series, REPEATS, SEED, START, STOP, EXCLUDE, [scan.MEAN])
+    return randomise.randomise_scan(events, series, REPEATS, SEED, START, STOP, EXCLUDE, funcs=[scan.LIN])
 
 
-@query(_RANDOM + f'select variable, stat, func, "repeat", open, close, {r("delta_aicc")} as delta_aicc from best')
+@query(_RANDOM + f' select variable, stat, func, "repeat", open, close, {r("delta_aicc", 4)} as delta_aicc from best')
 def randomise_scan(spark, sf_dir):
-    return rounded(_randomised(order_events(spark, sf_dir), order_series(spark, sf_dir)))
+    return rounded(_randomised(order_events(spark, sf_dir), order_series(spark, sf_dir)), 4)
 
 
 @query(_RANDOM + f""",
-  x1 as (select event_id, variable, open, close, y, 'mean' as stat, mean as x from x0), {_fits(x="x1", scan="seen")},
   p as (select b.variable, b.stat, b.func, count(*) as repeats, min(o.delta_aicc) as observed,
     count(*) filter (b.delta_aicc <= o.delta_aicc) / count(*) as p
-    from best b join seen o on o.variable = b.variable and o.func = b.func and o.rank = 1 group by 1, 2, 3)
-  select variable, stat, func, repeats, {r('observed')} as observed, {r('p')} as p from p""")
+    from best b join scan o on o.variable = b.variable and o.stat = b.stat and o.func = b.func and o.rank = 1 group by 1, 2, 3)
+  select variable, stat, func, repeats, {r('observed', 4)} as observed, {r('p')} as p,
+    case when p < 0.001 then '<0.001' else cast(round(p, 3) as varchar) end as p_text from p""")
 def permutation_p(spark, sf_dir):
     events, series = pin(order_events(spark, sf_dir), "events"), order_series(spark, sf_dir)
-    fits = scan.scan_windows(events, series, START, STOP, EXCLUDE, [scan.MEAN])
-    p = randomise.permutation_p(fits, _randomised(events, series))
-    return rounded(p.drop("p_text"))
+    fits = scan.scan_windows(events, series, START, STOP, EXCLUDE, funcs=[scan.LIN])
+    return rounded(randomise.permutation_p(fits, _randomised(events, series)), observed=4)
 
 
-@query(_RANDOM + f""", b as (
-    select variable, stat, func, least(floor((delta_aicc + 20.0) / 2.5), 9) as bin from best
-    where delta_aicc between -20 and 5)
-  select variable, stat, func, cast(bin as bigint) as bin, count(*) as n, {r('-20 + bin * 2.5')} as low,
-    {r('-20 + (bin + 1) * 2.5')} as high from b group by all""")
+@query(_RANDOM + f""", edges as (select floor(min(delta_aicc)) as lo, ceil(max(delta_aicc)) as hi from best),
+  b as (
+    select b.*, lo, (hi - lo) / 10 as width, least(floor((delta_aicc - lo) / ((hi - lo) / 10)), 9) as bin from best b, edges),
+  seen as (select variable, stat, func, delta_aicc as observed from scan where rank = 1)
+  select variable, stat, func, cast(bin as bigint) as bin, count(*) as n, {r('any_value(lo + bin * width)')} as low,
+    {r('any_value(lo + (bin + 1) * width)')} as high, {r('any_value(observed)', 4)} as observed
+  from b join seen using (variable, stat, func) group by variable, stat, func, bin""")
 def null_histogram(spark, sf_dir):
-    return rounded(scan.null_histogram(_randomised(order_events(spark, sf_dir), order_series(spark, sf_dir)), -20.0, 5.0, 10))
+    events, series = pin(order_events(spark, sf_dir), "events"), order_series(spark, sf_dir)
+    fits = scan.scan_windows(events, series, START, STOP, EXCLUDE, funcs=[scan.LIN])
+    return rounded(scan.null_histogram(_randomised(events, series), 10, fits), observed=4)
 
 
 @query(_ctes(_SERIES) + """
@@ -399,9 +428,6 @@ def expand_grid_combos(spark, sf_dir):
     return expand_grid(days, stat=[scan.MEAN, scan.SLOPE], func=[scan.LIN, scan.QUAD])
 
 
-_FULL = dict(start=120, stop=-150, exclude=(10, -150))
-
-
 def _yearly_sites(spark, sf_dir):
     """A driver series and yearly events per priority, so that events share a site's series."""
     orders = table(spark, sf_dir, "orders").select(
@@ -418,67 +444,16 @@ def _yearly_sites(spark, sf_dir):
     return events, pin(complete, "site-series")
 
 
-def _prefix_scan(start: int, stop: int, exclude: tuple[int, int]) -> str:
-    """The scan from running sums: a window's sums are differences of two days' running sums."""
-    a = 2 * math.pi
-    return f"""
-rel as (
-  select e.variable, e.event_id, e.y, datediff('day', s.date, e.bdate) as o, s.value,
-    sum(s.value) over past as cs, sum(s.value * datediff('day', s.date, e.bdate)) over past as ct
-  from ev e join series s on s.variable = e.variable and s.date between e.bdate - {start} and e.bdate - ({stop})
-  window past as (partition by e.variable, e.event_id order by s.date desc)),
-offsets as (select cast(unnest(range({stop}, {start} + 1)) as int) as o),
-windows as (
-  select a.o as open, b.o as close, a.o - b.o + 1.0::double as days from offsets a, offsets b
-  where a.o >= b.o and not (a.o - b.o + 1 <= {exclude[0]} and b.o >= {exclude[1]})),
-w0 as (
-  select a.variable, a.y, w.open, w.close, w.days, a.cs - b.cs + b.value as total,
-    a.ct - b.ct + b.value * w.close as moment
-  from windows w join rel a on a.o = w.open
-  join rel b on b.variable = a.variable and b.event_id = a.event_id and b.o = w.close),
-x as (
-  select variable, 'mean' as stat, open, close, y, total / days as x from w0
-  union all
-  select variable, 'slope', open, close, y,
-    ((open + close) / 2.0::double * total - moment) / (days * (days * days - 1) / 12) from w0 where days > 1),
-mid as (select variable, stat, open, close, avg(x) as mx, avg(y) as my from x group by all),
-sums as (
-  select variable, stat, open, close, count(*) as n, sum(z * z) as s2, sum(z * z * z) as s3, sum(z * z * z * z) as s4,
-    sum(z * v) as sxy, sum(z * z * v) as suy, sum(v * v) as syy
-  from (select x.*, x - mx as z, y - my as v from x join mid using (variable, stat, open, close)) group by all),
-explained as (
-  select *, s4 - s2 * s2 / n as uu, sxy * sxy / s2 as lin_ss from sums),
-fits as (
-  select variable, stat, 'lin' as func, open, close, n, syy, syy - lin_ss as rss, 3 as k from explained
-  union all
-  select variable, stat, 'quad', open, close, n, syy,
-    syy - (uu * sxy * sxy - 2 * s3 * sxy * suy + s2 * suy * suy) / (s2 * uu - s3 * s3), 4 from explained),
-crit as (
-  select *, n * (ln({a} * rss / n) + 1) + 2 * k + 2.0 * k * (k + 1) / (n - k - 1) as aicc,
-    n * (ln({a} * syy / n) + 1) + 4 + 12.0 / (n - 3) as aicc0
-  from fits),
-scan as (
-  select *, exp(-(aicc - best) / 2) / sum(exp(-(aicc - best) / 2)) over (partition by variable, stat, func) as weight
-  from (select *, min(aicc) over (partition by variable, stat, func) as best from crit))"""
-
-
-@query(
-    _ctes(_SERIES, _events(120, -150), _prefix_scan(120, -150, (10, -150)))
-    + f""" select variable, stat, func, open, close, n, {r('1 - rss / syy', 3)} as r2, {r('aicc - aicc0', 3)} as delta_aicc,
-    {r('weight', 5)} as weight from scan"""
-)
+@query(f"{_SCAN} select variable, stat, func, open, close, n, {r('r2', 3)} as r2, {r('delta_aicc', 3)} as delta_aicc, {r('weight', 5)} as weight from scan")
 def scan_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 34,191 windows from 120 days before to 150 after, all eight combinations."""
-    fits = scan.scan_windows(order_events(spark, sf_dir), order_series(spark, sf_dir), **_FULL)
-    return rounded(fits.select(*scan.COMBO, "open", "close", "n", "r2", "delta_aicc", "weight"), 3, weight=5)
+    return rounded(_scan(spark, sf_dir).select(*scan.COMBO, "open", "close", "n", "r2", "delta_aicc", "weight"), 3, weight=5)
 
 
 @query()
 def randomise_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 shuffles of the full scan of all eight combinations."""
-    return rounded(randomise.randomise_scan(
-        order_events(spark, sf_dir), order_series(spark, sf_dir), 100, SEED, **_FULL
-    ))
+    """100 shuffles of the scan of all eight combinations; the tests compare smaller ones with a fit of every window and repeat."""
+    return rounded(randomise.randomise_scan(order_events(spark, sf_dir), order_series(spark, sf_dir), REPEATS, SEED, START, STOP, EXCLUDE))
 
 
 _SITE_SERIES = """
@@ -515,14 +490,11 @@ ev as (
   select site || '-' || cast(bdate as varchar) as event_id, '' as period, 'price' as variable, bdate, site,
     ln(f / o) as y
   from monthly join ends using (site)
-  where f > 0 and o > 0 and bdate - {start} >= d0 and bdate - {stop} <= d1)""".format(start=START, stop=STOP)
+  where f > 0 and o > 0 and bdate - ({start}) >= d0 and bdate - ({stop}) <= d1)""".format(start=START, stop=STOP)
 
 
-@query(
-    _ctes(_SITE_SERIES, _WINDOWS.replace("where s.variable = e.variable", "where s.site = e.site"), _LONG, _fits())
-    + f" select {_COLUMNS} from scan where stat = 'mean'"
-)
+@query(_ctes(_SITE_SERIES, _rel("s.site = e.site"), _X, _fits()) + f" select {_COLUMNS} from scan")
 def scan_shared_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model over the events of all sites, each looking at its own site's series."""
     events, series = _yearly_sites(spark, sf_dir)
-    return rounded(scan.scan_windows(events, series, START, STOP, EXCLUDE, [scan.MEAN], on=["site"]))
+    return rounded(scan.scan_windows(events, series, START, STOP, EXCLUDE, on=["site"]), **_DIGITS)

@@ -416,10 +416,10 @@ def five_number_summary(spark, sf_dir):
     return rounded(aggregate.five_numbers(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice"), 3)
 
 
-@query(f"""select o_orderpriority, cast(b as bigint) as bin, count(*) as n, {r('b * 25000.0')} as low,
-      {r('(b + 1) * 25000.0')} as high from (
-    select o_orderpriority, least(floor(o_totalprice / 25000.0), 19) as b from orders
-    where o_totalprice between 0 and 500000) group by o_orderpriority, b""")
+@query(f"""select o_orderpriority, cast(b as bigint) as bin, count(*) as n, case when b >= 0 then {r('b * 25000.0')} end as low,
+      case when b < 20 then {r('(b + 1) * 25000.0')} end as high from (
+    select o_orderpriority, case when o_totalprice < 0 then -1 when o_totalprice > 500000 then 20
+      else least(floor(o_totalprice / 25000.0), 19) end as b from orders) group by o_orderpriority, b""")
 def histogram_bins(spark, sf_dir):
     bins = aggregate.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 0.0, 500000.0, 20, ["o_orderpriority"])
     return rounded(bins)

@@ -116,10 +116,10 @@ def test_five_numbers_without_keys(spark):
     assert got == {"min": 1.0, "q1": 2.0, "median": 3.0, "q3": 4.0, "mean": 4.0, "max": 10.0}
 
 
-def test_histogram_includes_the_upper_end(spark):
-    df = spark.createDataFrame([(v,) for v in (0.0, 0.5, 1.0, 2.0, 2.1, None)], "v double")
-    got = {r["bin"]: r["n"] for r in aggregate.histogram(df, "v", 0.0, 2.0, 2).collect()}
-    assert got == {0: 2, 1: 2}
+def test_histogram_includes_the_upper_end_and_what_lies_outside(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 0.5, 1.0, 2.0, 2.1, -7.0, -8.0, None)], "v double")
+    got = {r["bin"]: (r["n"], r["low"], r["high"]) for r in aggregate.histogram(df, "v", 0.0, 2.0, 2).collect()}
+    assert got == {-1: (2, None, 0.0), 0: (2, 0.0, 1.0), 1: (2, 1.0, 2.0), 2: (1, 2.0, None)}
 
 
 def test_daily_means_and_counts(spark):
