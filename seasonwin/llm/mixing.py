@@ -4,7 +4,7 @@ Each source's documents are shuffled and queue behind each other, pass after
 pass. A document's virtual finish time is the number of its source's words up
 to its end, divided by the source's target: sources are served in proportion to
 their targets, and at time 1 each has been given its target. All items are
-sorted by that time over all sources and cut at the total budget.
+sorted by that time over all sources; the last word of the budget is that at time 1.
 
 The shuffle is the order of a hash. Running sums go by ranges of that hash
 within a source, then over the ranges, so that a source of any size is as many
@@ -35,7 +35,7 @@ def shuffle_hash(doc_id: Column, seed: int) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most_passes: int = 3, share: float = 1.0) -> DataFrame:
-    """Targets of sources from ``source, source_size``: adds ``target``.
+    """Targets of sources from ``source, source_size``: adds ``target``, and ``goal``, the target in whole words.
 
     Sources in order of their code points, null last, weigh ``weights`` in
     turn and share ``share`` of all words. No target is above ``most_passes``
@@ -60,9 +60,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most_
     open_at = F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_capped"))).over(whole)
     level = F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.struct("_capped", "_level"))).over(whole)["_level"]
     target = F.when(open_at.isNull() | (F.col("_level") * F.col("_weight") > F.col("_cap")), F.col("_cap").cast("double"))
-    return rows.withColumn("target", F.least(target.otherwise(level * F.col("_weight")), F.col("_cap").cast("double"))).drop(
-        "_weight", "_cap", "_capped", "_weights", "_budget", "_level"
-    )
+    rows = rows.withColumn("target", F.least(target.otherwise(level * F.col("_weight")), F.col("_cap").cast("double")))
+    # Largest remainders: the sources that rounding down costs most get a word each until the goals add up to the targets.
+    down = F.floor("target")
+    left = F.round(F.sum("target").over(whole)).cast("long") - F.sum(down).over(whole)
+    by_rest = Window.orderBy((F.col("target") - down).desc(), F.col("source").asc_nulls_last())
+    goal = down + F.when(F.row_number().over(by_rest) <= left, 1).otherwise(0)
+    return rows.withColumn("goal", goal).drop("_weight", "_cap", "_capped", "_weights", "_budget", "_level")
 
 
 def queue(
@@ -71,7 +75,7 @@ def queue(
 ) -> DataFrame:
     """One row per document with its place in its source's queue.
 
-    ``doc_id, source, size, source_size, target, row_key`` and ``before``, the
+    ``doc_id, source, size, source_size, target, goal, row_key`` and ``before``, the
     words that its source's queue holds before it in the first pass. Rows that
     repeat an id queue one after the other; null sources are one source; null
     texts have no words. ``row_key`` is unique.
@@ -96,14 +100,14 @@ def queue(
     targets = source_targets(in_ranges.select("source", "source_size").distinct(), weights, most_passes, share)
     in_ranges = in_ranges.join(targets.withColumnRenamed("source", "_s").drop("source_size"), F.col("source").eqNullSafe(F.col("_s")))
     in_ranges = in_ranges.select(
-        F.col("source").alias("_s"), F.col("_range").alias("_r"), "_ahead", "source_size", "target"
+        F.col("source").alias("_s"), F.col("_range").alias("_r"), "_ahead", "source_size", "target", "goal"
     )
     queued = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size")
     before = F.sum("size").over(queued.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = rows.withColumn("_before", before).withColumn("_number", F.row_number().over(queued))
     joined = placed.join(in_ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_ahead") + F.col("_before")).alias("before"),
+        "doc_id", "source", "size", "source_size", "target", "goal", (F.col("_ahead") + F.col("_before")).alias("before"),
         F.struct("_range", "_number").alias("row_key"),
     )
 
@@ -116,12 +120,11 @@ def serve(queued: DataFrame, most_passes: int = 3, ranges: int = 64) -> DataFram
     its target is cut there), ``finish`` and ``position`` (words before it in
     the whole mix). Equal times are ordered by source, then by place.
     """
-    goal = F.round("target").cast("long")
     start = F.col("before") + F.col("pass") * F.col("source_size")
     items = (
         queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most_passes - 1))))
         .withColumn("_start", start)
-        .withColumn("served", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("_start"))))
+        .withColumn("served", F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("_start"))))
         .where(F.col("served") > 0)
         .withColumn("finish", F.least(F.lit(1.0), (F.col("_start") + F.col("served")) / F.col("target")))
         .withColumn("_slot", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges).cast("int")))
@@ -133,13 +136,7 @@ def serve(queued: DataFrame, most_passes: int = 3, ranges: int = 64) -> DataFram
     order = Window.partitionBy("_slot").orderBy("finish", F.col("source").asc_nulls_last(), "_start")
     within = F.sum("served").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("served")
     placed = items.withColumn("_within", within).join(F.broadcast(slots), "_slot")
-    placed = placed.withColumn("position", F.col("_ahead") + F.col("_within"))
-    # The targets add up to the budget, but their rounding may be some words over it.
-    budget = queued.select("source", "target").distinct().agg(F.coalesce(F.round(F.sum("target")), F.lit(0.0)).cast("long").alias("_budget"))
-    placed = placed.join(F.broadcast(budget)).withColumn(
-        "served", F.least(F.col("served"), F.greatest(F.lit(0), F.col("_budget") - F.col("position")))
-    )
-    return placed.where(F.col("served") > 0).drop("_slot", "_within", "_ahead", "_budget", "_start")
+    return placed.withColumn("position", F.col("_ahead") + F.col("_within")).drop("_slot", "_within", "_ahead", "_start")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

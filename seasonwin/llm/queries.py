@@ -97,12 +97,15 @@ t as (
   select source, source_size,
     least(case when (select min(capped) from l where lvl * w <= cap) is null or lvl * w > cap then cap::double
       else (select lvl from l where lvl * w <= cap order by capped, lvl limit 1) * w end, cap::double) target from l),
+g as (
+  select *, floor(target)::bigint + case when row_number() over (order by target - floor(target) desc, source nulls last)
+    <= round(sum(target) over ())::bigint - (sum(floor(target)) over ())::bigint then 1 else 0 end as goal from t),
 q as (
-  select doc_id, size, t.source_size, t.target,
+  select doc_id, size, t.source_size, t.target, t.goal,
     sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and current row) - size as a
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, sum(greatest(0, least(size, round(target)::bigint - (a + p * source_size))))::bigint as taken
-from q, (values (0), (1), (2)) passes(p) group by doc_id, size, source_size, target, a
+  from d join g t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, sum(greatest(0, least(size, goal - (a + p * source_size))))::bigint as taken
+from q, (values (0), (1), (2)) passes(p) group by doc_id, size, source_size, target, goal, a
 """)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, share=1.0)
@@ -204,7 +207,8 @@ def op12_html_extraction(spark, sf_dir):
 
 @query(rf"""
 with recursive t as (
-  select conv_id c, coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31) || (len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')))::varchar m, turn,
+  select conv_id c, coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31) || (len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')))::varchar m, turn,
     coalesce(role, '') role, sha256(coalesce(text, '')) d from conversations where conv_id is not null),
 o as (select c, list(m order by turn nulls first, role, d) l from t group by c),
 r as (
