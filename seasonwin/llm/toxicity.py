@@ -2,19 +2,20 @@
 
 Two words are as alike as they have subsequences of three letters in common,
 with gaps at a discount for each letter they span, so that an insult with signs
-put in or letters drawn out stays near the plain one. Landmarks are the words
+put in or letters drawn out stays near the plain one. Landmarks are the words, beginnings of words
 and pairs of neighbouring words that toxic training documents hold more often
-than others; pairs are alike only if they are equal. A sentence's kernel with a landmark is
+than others; pairs are alike only if they are equal. A word much longer than a landmark is compared by its beginning,
+so that a stem is near all its words. A sentence's kernel with a landmark is
 that of its nearest word; Nystroem features of the sentences feed a linear
 support vector machine. Labels are given for documents, so in toxic ones the
 sentence that scores highest counts as the labelled one, found again after each fit. A
-document scores as its worst sentence, calibrated by a logistic curve.
+document scores as its worst sentence, calibrated by rising steps on documents that were not learned from.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwin.llm.common import held_out, matching, mixed, pieces_of, texts_of
+from seasonwin.llm.common import held_out, kept_in_worker, matching, mixed, pieces_of, texts_of
 from seasonwin.llm.quality import training_rows
 from seasonwin.session import pin
 
@@ -35,6 +36,10 @@ _ORDER = 3
 _LONGEST = 24
 _ACTIVE = 0.25
 _ACCENTS = 27
+#: Lengths of the beginnings of words that may be landmarks, and letters of a word beyond a landmark's that are compared with it.
+_STEMS, _OVER = (4, 5, 6, 7), 2
+#: Words whose kernel values a worker keeps.
+_KEPT_WORDS = 400_000
 #: Words that account for a toxic training document before it counts no more.
 _BLAMED = 3
 #: Landmarks that are always taken if there are as many; more only if held-out recall rises.
@@ -67,7 +72,7 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """The words of all texts as rows of letter codes, with their lengths, sentences and texts.
 
     Signs that aren't letters are left out, so a word with dots between its
-    letters is that word; a mark behind a word is no letter even if it can stand for one.
+    letters is that word, and so are letters that repeat the one before them; a mark behind a word is no letter even if it can stand for one.
     Letters standing alone, three or more in a row, are read as one more
     word. Long words are read through overlapping windows.
     """
@@ -94,6 +99,13 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         code = code.copy()
         code[where[~inside]] = 0
     letters = np.flatnonzero(code)
+    # A letter that follows itself in a word is one letter, however often.
+    of = np.searchsorted(first, letters, "right")
+    again = letters[1:][(code[letters[1:]] == code[letters[:-1]]) & (of[1:] == of[:-1])]
+    if len(again):
+        code = code.copy()
+        code[again] = 0
+        letters = np.flatnonzero(code)
     ends = np.cumsum(np.concatenate([[0], code > 0]))
     low, high = ends[first], ends[last]
     length = high - low
@@ -195,45 +207,70 @@ def _wide(codes: list[np.ndarray]) -> np.ndarray:
     return wide
 
 
-def nearness(texts: pa.Array, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each sentence that holds a word like a landmark, and its kernel values, one column per landmark.
+def _cut(words: np.ndarray, length: int) -> np.ndarray:
+    """The beginnings of words that count beside a landmark of some length."""
+    out = words.copy()
+    out[:, length + _OVER:] = 0
+    return out
 
-    Kernel values below 0.25 count as 0. A word with less than three fifths of a
-    landmark's letters is unlike it.
+
+def word_kernels(words: np.ndarray, landmarks: list[str]) -> np.ndarray:
+    """Kernel values of distinct words with single-word landmarks, one column per landmark, those of pairs 0.
+
+    Values below 0.25 count as 0. A word with less than three fifths of a landmark's letters is unlike it.
     """
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    marks = [(k, as_codes(m)) for k, m in enumerate(landmarks) if " " not in m]
+    for n in sorted({len(m) for _, m in marks}):
+        cut = _cut(words, n)
+        bits, lengths = _letters(cut), (cut > 0).sum(axis=1)
+        of_length = [(k, m, _letters(m[None, :])[0]) for k, m in marks if len(m) == n]
+        near = [_bits(bits & letters) * 5 >= _bits(letters) * 3 for _, _, letters in of_length]
+        some = np.flatnonzero(np.any(near, axis=0))
+        own = np.zeros(len(words), np.float32)
+        own[some] = self_kernel(cut[some])
+        for (k, mark, _), may in zip(of_length, near, strict=True):
+            mark_own = float(self_kernel(mark[None, :])[0])
+            for low, high in ((0, 10), (10, _LONGEST)):
+                of = np.flatnonzero(may & (lengths > low) & (lengths <= high))
+                for part in np.array_split(of, max(1, len(of) >> 14)):
+                    if len(part):
+                        v = kernel(cut[part], own[part], mark, mark_own)
+                        out[part, k] = np.where(v >= _ACTIVE, v, 0)
+    return out
+
+
+def _known_kernels(hashes: np.ndarray, words: np.ndarray, landmarks: list[str]) -> list[np.ndarray | None]:
+    """The kernel values of distinct words, None for those unlike every landmark; a worker remembers the words it has seen."""
+    kept = kept_in_worker(f"toxicity {hash(tuple(landmarks))}", dict)
+    keys = hashes.tolist()
+    missing = [i for i, h in enumerate(keys) if h not in kept]
+    if missing:
+        if len(kept) + len(missing) > _KEPT_WORDS:
+            kept.clear()
+            missing = list(range(len(keys)))
+        values = word_kernels(words[missing], landmarks)
+        alike = values.any(axis=1)
+        for i, v, some in zip(missing, values, alike, strict=True):
+            kept[keys[i]] = v.copy() if some else None
+    return [kept[h] for h in keys]
+
+
+def nearness(texts: pa.Array, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each sentence that holds a word like a landmark, and its kernel values, one column per landmark."""
     words, _, sentence, text = words_in(texts)
     if not len(words) or not landmarks:
         return np.zeros(0, np.int64), np.zeros((0, len(landmarks)), np.float32)
     hashes = _hashes(words)
-    _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-    distinct = words[at]
-    bits = _letters(distinct)
-    values = {}
-    single = [k for k, m in enumerate(landmarks) if " " not in m]
-    double = [k for k, m in enumerate(landmarks) if " " in m]
-    marks = [as_codes(landmarks[k]) for k in single]
-    near = [_bits(bits & _letters(m[None, :])[0]) * 5 >= _bits(_letters(m[None, :]))[0] * 3 for m in marks]
-    some = np.flatnonzero(np.any(near, axis=0)) if near else np.zeros(0, np.int64)
-    own = np.zeros(len(distinct), np.float32)
-    own[some] = self_kernel(distinct[some])
-    lengths = (distinct > 0).sum(axis=1)
-    rows = np.full(len(distinct), -1)
-    table = []
-    for k, mark, may in zip(single, marks, near, strict=True):
-        mark_own = float(self_kernel(mark[None, :])[0])
-        for low, high in ((0, 10), (10, _LONGEST)):
-            of = np.flatnonzero(may & (lengths > low) & (lengths <= high))
-            for part in np.array_split(of, max(1, len(of) >> 14)):
-                if len(part):
-                    v = kernel(distinct[part], own[part], mark, mark_own)
-                    for i in np.flatnonzero(v >= _ACTIVE):
-                        values[part[i], k] = v[i]
-    for word, k in values:
-        if rows[word] < 0:
-            rows[word] = len(table)
-            table.append(np.zeros(len(landmarks), np.float32))
-        table[rows[word]][k] = values[word, k]
+    unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+    found = _known_kernels(unique, words[at], landmarks)
+    rows = np.full(len(unique), -1)
+    some = [i for i, v in enumerate(found) if v is not None]
+    rows[some] = np.arange(len(some))
+    # Words unlike any landmark have the last row, of zeros.
+    table = np.stack([*(found[i] for i in some), np.zeros(len(landmarks), np.float32)])
     column = np.full(len(words), -1)
+    double = [k for k, m in enumerate(landmarks) if " " in m]
     if double:
         follows, both = _pairs(hashes, sentence)
         wanted = np.array([_pairs(_hashes(_wide([as_codes(w) for w in landmarks[k].split(" ")])), np.zeros(2))[1][0] for k in double])
@@ -241,14 +278,12 @@ def nearness(texts: pa.Array, landmarks: list[str]) -> tuple[np.ndarray, np.ndar
         place = np.minimum(np.searchsorted(wanted[order], both), len(double) - 1)
         equal = wanted[order][place] == both
         column[follows[equal]] = np.array(double)[order][place[equal]]
-    # Words unlike any landmark have the last row, of zeros.
-    table.append(np.zeros(len(landmarks), np.float32))
     hit = np.flatnonzero((rows[back] >= 0) | (column >= 0))
     if not len(hit):
         return np.zeros(0, np.int64), np.zeros((0, len(landmarks)), np.float32)
     hit = hit[np.argsort(sentence[hit], kind="stable")]
     start = np.flatnonzero(np.concatenate([[True], np.diff(sentence[hit]) > 0]))
-    alike = np.stack(table)[rows[back[hit]]]
+    alike = table[rows[back[hit]]]
     paired = np.flatnonzero(column[hit] >= 0)
     alike[paired, column[hit][paired]] = 1
     return text[hit][start], np.maximum.reduceat(alike, start, axis=0)
@@ -265,8 +300,7 @@ class Model:
     nystroem: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    steps: tuple[np.ndarray, np.ndarray]
 
     def margins(self, near: np.ndarray) -> np.ndarray:
         return near @ self.nystroem @ self.weights + self.bias
@@ -276,30 +310,85 @@ class Model:
         worst = np.full(len(texts), self.bias)
         text, near = nearness(texts, self.landmarks)
         np.maximum.at(worst, text, self.margins(near))
-        return 1 / (1 + np.exp(-(self.slope * worst + self.offset)))
+        return np.interp(worst, *self.steps)
 
 
-def _words(sample: DataFrame, text: str) -> DataFrame:
-    """The distinct words and pairs of words of each document: ``doc_id, y, tuning, word``."""
+def _candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+    """Texts and hashes of their words, beginnings of words and pairs of words, each once a text; and what spells out rows of these."""
+    words, length, sentence, owner = words_in(texts)
+    hashes = _hashes(words)
+    first, both = _pairs(hashes, sentence)
+    at, sizes, owners, names = [np.arange(len(words))], [length], [owner], [hashes]
+    for n in _STEMS:
+        longer = np.flatnonzero(length >= n + _OVER)
+        stems = words[longer].copy()
+        stems[:, n:] = 0
+        at.append(longer)
+        sizes.append(np.full(len(longer), n))
+        owners.append(owner[longer])
+        names.append(_hashes(stems))
+    single = sum(map(len, at))
+    at, sizes = np.concatenate([*at, first]), np.concatenate([*sizes, length[first]])
+    owners, names = np.concatenate([*owners, owner[first]]).astype(np.int64), np.concatenate([*names, both])
+    _, keep = np.unique(mixed(names + _POWER[1] * owners.astype(np.uint64)), return_index=True)
+
+    def spelled(rows: np.ndarray) -> list[str]:
+        out = []
+        for i in keep[rows].tolist():
+            w = at[i]
+            text = "".join(chr(96 + c) for c in words[w, :sizes[i]].tolist())
+            out.append(text if i < single else f"{text} {''.join(chr(96 + c) for c in words[w + 1, :length[w + 1]].tolist())}")
+        return out
+
+    return owners[keep], names[keep], spelled
+
+
+def _counted(sample: DataFrame, text: str) -> DataFrame:
+    """In how many documents each word, beginning or pair is: ``hash, tuning, toxic, all, word``, summed per task's slab of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, slab in pieces_of(batch, text, 1 << 21):
-                words, length, sentence, owner = words_in(texts_of(slab, text))
-                names = ["".join(chr(96 + c) for c in w[:n]) for w, n in zip(words.tolist(), length, strict=True)]
-                found = set(zip(owner.tolist(), names, strict=True))
-                found |= {(int(owner[i]), f"{names[i]} {names[i + 1]}") for i in np.flatnonzero(sentence[1:] == sentence[:-1])}
-                at = pa.array([d for d, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(slab.column(c).take(at) for c in ("doc_id", "y", "tuning")), pa.array([w for _, w in found], pa.string())],
-                    ["doc_id", "y", "tuning", "word"],
-                )
+                owner, names, spelled = _candidates(texts_of(slab, text))
+                if not len(names):
+                    continue
+                toxic = np.asarray(slab.column("y"), float)[owner] > 0
+                tuning = slab.column("tuning").to_numpy(zero_copy_only=False)[owner]
+                key = names * np.uint64(2) + tuning.astype(np.uint64)
+                _, first, back, every = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                bad = np.bincount(back, toxic, len(first))
+                # What no toxic document of the slab holds needs no name here.
+                words = np.full(len(first), None, object)
+                some = np.flatnonzero(bad > 0)
+                words[some] = spelled(first[some])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(names[first].view(np.int64)), pa.array(tuning[first]), pa.array(bad.astype(np.int64)), pa.array(every.astype(np.int64)),
+                    pa.array(words, pa.string()),
+                ], ["hash", "tuning", "toxic", "all", "word"])
+
+    counts = sample.select(text, "y", "tuning").mapInArrow(run, "hash long, tuning boolean, toxic long, all long, word string")
+    sums = counts.groupBy("hash", "tuning").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"), F.max("word").alias("word"))
+    return pin(sums, "words")
+
+
+def _held(sample: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
+    """Which toxic documents hold which of some words: ``number, doc_id``."""
+    wanted = np.sort(hashes)
+    order = np.argsort(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, slab in pieces_of(batch, text, 1 << 21):
+                owner, names, _ = _candidates(texts_of(slab, text))
+                place = np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[place] == names)
+                yield pa.RecordBatch.from_arrays([pa.array(order[place[hit]]), slab.column("doc_id").take(pa.array(owner[hit]))], ["number", "doc_id"])
 
-    return pin(sample.select("doc_id", text, "y", "tuning").mapInArrow(run, "doc_id long, y double, tuning boolean, word string"), "words")
+    return sample.where("y > 0").select("doc_id", text).mapInArrow(run, "number long, doc_id long")
 
 
-def _landmarks(words: DataFrame, toxic: int, clean: int, most: int, candidates: int = 2000) -> list[tuple[str, float]]:
-    """Words and pairs that together account for most toxic documents, and the share of its toxic documents each accounts for.
+def _landmarks(words: DataFrame, sample: DataFrame, toxic: int, clean: int, most: int, candidates: int = 2000) -> list[tuple[str, float]]:
+    """Words, beginnings and pairs that together account for most toxic documents, and the share of its toxic documents each accounts for.
 
     A word accounts for the toxic documents it is in beyond those expected from
     its clean ones. The word that accounts for most comes first, then the one
@@ -309,7 +398,7 @@ def _landmarks(words: DataFrame, toxic: int, clean: int, most: int, candidates:
     if not toxic or not clean:
         return []
     odds, p = toxic / clean, toxic / (toxic + clean)
-    counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("all"))
+    counts = words.groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"), F.max("word").alias("word"))
     excess = F.col("toxic") - (F.col("all") - F.col("toxic")) * odds
     beyond = F.col("toxic") - F.col("all") * p > F.sqrt(F.col("all") * (p * (1 - p))) * _BEYOND
     pure = F.col("toxic") >= 0.9 * F.col("all")
@@ -317,20 +406,19 @@ def _landmarks(words: DataFrame, toxic: int, clean: int, most: int, candidates:
     chosen = chosen.orderBy(F.col("excess").desc(), F.length("word") - F.length(F.replace("word", F.lit(" "))), "word").limit(candidates).toPandas()
     if not len(chosen):
         return []
-    number = words.sparkSession.createDataFrame([(w, i) for i, w in enumerate(chosen["word"])], "word string, number int")
-    held = words.where("y > 0").join(F.broadcast(number), "word").select("number", "doc_id").toPandas()
+    held = _held(sample, "text", chosen["hash"].to_numpy(np.int64).view(np.uint64)).toPandas()
     documents, at = np.unique(held["doc_id"], return_inverse=True)
     inside = np.zeros((len(chosen), len(documents)), bool)
     inside[held["number"], at] = True
     share = (chosen["excess"] / chosen["toxic"]).to_numpy()
     other = ((chosen["all"] - chosen["toxic"]) * odds).to_numpy()
-    plain = np.array([" " not in w for w in chosen["word"]])
+    plain, sizes = np.array([" " not in w for w in chosen["word"]]), np.array([len(w) for w in chosen["word"]])
     left, blamed = inside.sum(axis=1), np.zeros(len(documents))
     marks: list[tuple[str, float]] = []
     while len(marks) < most:
         gain = left - other
-        # Of equal ones a word comes before a pair, whose kernel doesn't see through signs.
-        best = int(np.lexsort((np.arange(len(gain)), ~plain, -gain))[0])
+        # Of equal ones a word comes before a pair, whose kernel doesn't see through signs, and a longer one before its beginning.
+        best = int(np.lexsort((np.arange(len(gain)), -sizes, ~plain, -gain))[0])
         if left[best] < 3 or gain[best] <= 0:
             break
         marks.append((chosen["word"][best], float(share[best])))
@@ -338,8 +426,11 @@ def _landmarks(words: DataFrame, toxic: int, clean: int, most: int, candidates:
         blamed[inside[best]] += share[best]
         done = open_before & (blamed >= _BLAMED - 1e-9)
         left = left - inside[:, done].sum(axis=1)
-        left[best] = 0
-        inside[best] = False
+        # What begins like it, or is its beginning, is near it already.
+        mark = chosen["word"][best]
+        alike = np.array([w == mark or " " not in w + mark and (w.startswith(mark) or mark.startswith(w)) for w in chosen["word"]])
+        left[alike] = 0
+        inside[alike] = False
     return marks
 
 
@@ -361,15 +452,19 @@ def _separate(x: np.ndarray, y: np.ndarray, cost: float = 30.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    z = np.stack([x, np.ones(len(x))], axis=1)
-    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - goal) + 1e-6 * w)
-        w = w - np.clip(step, -5, 5)
-    return max(float(w[0]), 1e-3), float(w[1])
+def _steps(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps that fit ``y`` best, by pooling neighbours: both edges of each step and its level; a straight line joins two steps."""
+    blocks: list[list[float]] = []
+    for r in np.unique(raw):
+        at = raw == r
+        blocks.append([float(y[at].sum()), float(at.sum()), float(r), float(r)])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            v, n, _, high = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + v, blocks[-1][1] + n, blocks[-1][2], high]
+    # A little of the overall rate in each step keeps small ones off 0 and 1.
+    rate = float(np.mean(y))
+    levels = [(v + rate) / (n + 1) for v, n, _, _ in blocks]
+    return np.array([e for _, _, low, high in blocks for e in (low, high)]), np.maximum.accumulate(np.repeat(levels, 2))
 
 
 def _among(marks: list[str]) -> np.ndarray:
@@ -384,8 +479,8 @@ def _among(marks: list[str]) -> np.ndarray:
     return (among + among.T) / 2
 
 
-def _learn(sample: DataFrame, chosen: list[tuple[str, float]], tune: bool) -> tuple[Model | None, float]:
-    """A model with these landmarks; with ``tune`` it learns from the documents not kept for tuning, and its recall on those is told."""
+def _learn(sample: DataFrame, chosen: list[tuple[str, float]], tune: bool, sentences: int, steps=None) -> tuple[Model | None, float]:
+    """A model with these landmarks. With ``tune`` it learns from the documents not kept for tuning; these give its steps, and its recall on them is told."""
     marks, share = [m for m, _ in chosen], np.array([s for _, s in chosen], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +490,7 @@ def _learn(sample: DataFrame, chosen: list[tuple[str, float]], tune: bool) -> tu
                 order = np.lexsort((-(near * share).sum(axis=1), -(near * share).max(axis=1, initial=0), text_at))
                 text_at, near = text_at[order], near[order]
                 rank = np.arange(len(text_at)) - np.searchsorted(text_at, text_at)
-                text_at, near = text_at[rank < 8], near[rank < 8]
+                text_at, near = text_at[rank < sentences], near[rank < sentences]
                 none = np.setdiff1d(np.arange(slab.num_rows), text_at)
                 text_at, near = np.concatenate([text_at, none]), np.concatenate([near, np.zeros((len(none), near.shape[1]), np.float32)])
                 take = pa.array(text_at)
@@ -431,50 +526,52 @@ def _learn(sample: DataFrame, chosen: list[tuple[str, float]], tune: bool) -> tu
             return None, 0.0
         weights, bias = _separate(features[use], np.where(toxic[use], 1.0, -1.0))
         margin = features @ weights + bias
-    worst = np.full(owner.max() + 1, -np.inf)
-    np.maximum.at(worst, owner, np.maximum(margin, bias))
-    y = np.zeros(len(worst))
-    y[owner] = toxic
-    slope, offset = _logistic(worst, y)
-    model = Model(marks, nystroem, weights, bias, slope, offset)
-    told = kept & every_toxic
-    if not told.any():
-        return model, 0.0
-    of = np.unique(every_owner[told], return_inverse=True)[1]
-    worst = np.full(of.max() + 1, bias)
-    np.maximum.at(worst, of, model.margins(every_near[told]))
-    return model, float(np.mean(slope * worst + offset >= 0))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, landmarks: int = 512, doc_id: str = "doc_id", text: str = "text") -> Model | None:
-    """Learn from a bounded sample of labelled documents, of which at most 8 sentences each reach the driver,
-    and the toxic ones in which each of 2,000 words and pairs occurs.
-
-    64 landmarks are doubled as long as recall rises on an eighth of the sample that isn't learned from; then
-    all of it is learned from. None if there is no toxic or no other document, or no word sets them apart.
+    at, near_at, toxic_at = every_owner[kept], every_near[kept], every_toxic[kept]
+    if not tune or not len(at):
+        at, near_at, toxic_at = every_owner[~kept], near, toxic
+    of = np.unique(at, return_inverse=True)[1]
+    model = Model(marks, nystroem, weights, bias, (np.zeros(1), np.zeros(1)))
+    worst, y = np.full(of.max() + 1, bias), np.zeros(of.max() + 1)
+    np.maximum.at(worst, of, model.margins(near_at))
+    y[of] = toxic_at
+    model.steps = steps if steps is not None else _steps(worst, y)
+    told = np.interp(worst[y > 0], *model.steps) >= 0.5
+    return model, float(told.mean()) if len(told) else 0.0
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, landmarks: int = 512, sentences: int = 8,
+    doc_id: str = "doc_id", text: str = "text",
+) -> Model | None:
+    """Learn from a bounded sample of labelled documents, of which at most ``sentences`` sentences each reach the driver,
+    those most like a landmark, and the toxic ones in which each of 2,000 words and pairs occurs.
+
+    64 landmarks are doubled as long as recall rises on a quarter of the sample that isn't learned from. That quarter also
+    calibrates; then all of it is learned from. None if there is no toxic or no other document, or no word sets them apart.
     """
     rows = pin(training_rows(labels, label, most, doc_id), "training")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = matching(own, rows.select("doc_id"), "doc_id", most).dropDuplicates(["doc_id"])
-    sample = own.join(F.broadcast(rows), "doc_id").withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0)
+    sample = own.join(F.broadcast(rows), "doc_id").withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0)
     sample = pin(sample, "sample")
-    words = _words(sample, "text")
+    words = _counted(sample, "text")
     parts = sample.groupBy("tuning").agg(F.sum((F.col("y") > 0).cast("long")), F.sum((F.col("y") <= 0).cast("long"))).collect()
     toxic, clean = (sum(p[i] or 0 for p in parts) for i in (1, 2))
-    chosen = _landmarks(words, toxic, clean, landmarks)
+    chosen = _landmarks(words, sample, toxic, clean, landmarks)
     if not chosen:
         return None
-    size = min(len(chosen), _FIRST)
+    size, steps = min(len(chosen), _FIRST), None
     learned = [p for p in parts if not p[0]]
-    if len(chosen) > _FIRST and learned:
-        trial = _landmarks(words.where("not tuning"), *(learned[0][i] or 0 for i in (1, 2)), landmarks)
-        recall = _learn(sample, trial[:size], True)[1] if trial else 1.0
+    trial = _landmarks(words.where("not tuning"), sample.where("not tuning"), *(learned[0][i] or 0 for i in (1, 2)), landmarks) if learned else []
+    if trial:
+        tried, recall = _learn(sample, trial[:size], True, sentences)
         while size < min(len(chosen), len(trial)):
-            larger = _learn(sample, trial[: 2 * size], True)[1]
-            if larger <= recall:
+            larger, better = _learn(sample, trial[: 2 * size], True, sentences)
+            if better <= recall:
                 break
-            size, recall = min(2 * size, len(chosen)), larger
-    return _learn(sample, chosen[:size], False)[0]
+            tried, size, recall = larger, min(2 * size, len(chosen)), better
+        steps = tried.steps if tried is not None else None
+    return _learn(sample, chosen[:size], False, sentences, steps)[0]
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -138,3 +138,19 @@ def test_words_are_read_through_signs():
     words, length, _, _ = toxicity.words_in(pa.array(["a.b-c d e f gh1j! x"]))
     read = {"".join(chr(96 + c) for c in w[:n]) for w, n in zip(words, length)}
     assert read == {"abc", "def", "ghij"}
+
+
+def test_each_learned_insult_is_toxic_alone_doubled_or_with_a_sign(spark, documents):
+    rows, labels = toxic_corpus(5, 900)
+    words = ["zquivak", "muclopf", "bygwick"]
+    alone = [f"you {v}" for w in words for v in (w, w[:3] + w[2] + w[3:], w[:4] + "-" + w[4:], w.upper(), w[:2] + w[1] * 4 + w[2:])]
+    extra = [(5000 + i, t) for i, t in enumerate(alone)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(documents(rows + extra), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [t for i, t in extra if not got[i]] == []
+
+
+def test_steps_rise_and_fit_best():
+    raw, y = np.array([0.0, 0.0, 1.0, 2.0, 3.0, 3.0]), np.array([0.0, 0.0, 1.0, 0.0, 1.0, 1.0])
+    edges, levels = toxicity._steps(raw, y)
+    assert edges.tolist() == [0, 0, 1, 2, 3, 3] and np.allclose(levels, [0.5 / 3, 0.5 / 3, 0.5, 0.5, 2.5 / 3, 2.5 / 3])
+    assert np.interp(2.5, edges, levels) == (0.5 + 2.5 / 3) / 2
