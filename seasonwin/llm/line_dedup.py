@@ -64,31 +64,24 @@ def _prefix_length(n: Column) -> Column:
 
 
 def _bits(hashes: Column) -> Column:
-    """128 bits of which each element sets one, as two numbers."""
-    place = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(127).cast("int")
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h) % 64)
-    zero = F.lit(0).cast("long")
-    return F.aggregate(
-        hashes, F.struct(zero.alias("low"), zero.alias("high")),
-        lambda b, h: F.struct(
-            b["low"].bitwiseOR(F.when(place(h) < 64, one(h)).otherwise(zero)).alias("low"),
-            b["high"].bitwiseOR(F.when(place(h) >= 64, one(h)).otherwise(zero)).alias("high"),
-        ),
-    )
+    """64 bits of which each element sets one."""
+    place = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int")
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(one(h)))
 
 
 def _may_be_alike() -> Column:
     """Order, length, positional and bit filters of a pair that shares a word: b the later one."""
     n, m = F.col("a_n"), F.col("b_n")
     common = 1 + F.least(n - F.col("a_pos") - 1, m - F.col("b_pos") - 1)
-    differ = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
+    differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     later = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
     fits = (F.least(n, m) * _DEN >= F.greatest(n, m) * _NUM) & (common * (_NUM + _DEN) >= (n + m) * _NUM)
     # Alike sets differ by at most (n + m) * (1 - s) / (1 + s) words.
     return later & fits & (differ * (_NUM + _DEN) <= (n + m) * (_DEN - _NUM))
 
 
-_OF_LINE = ("doc", "line", "n", "pos", "low", "high")
+_OF_LINE = ("doc", "line", "n", "pos", "bits")
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -96,6 +89,7 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Both sides lie by key already, so the join shuffles neither."""
     found = _side(later, "b").join(_side(earlier, "a"), "key").where(_may_be_alike())
     return found.select("a_doc", "a_line", "b_doc", "b_line").distinct()
 
@@ -137,10 +131,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.shiftrightunsigned(h, 7)
     )
     sets = _lines(docs, doc_id, text).select("doc", "line", _hashes().alias("_h"))
-    sets = sets.select("doc", "line", F.size("_h").alias("n"), _bits(F.col("_h")).alias("_b"), F.sort_array(F.transform("_h", key)).alias("_k"))
+    sets = sets.select("doc", "line", F.size("_h").alias("n"), _bits(F.col("_h")).alias("bits"), F.sort_array(F.transform("_h", key)).alias("_k"))
     lines = pin(
         sets.select(
-            "doc", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"), "_b.low", "_b.high",
+            "doc", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"), "bits",
             F.slice("_k", 1, _prefix_length(F.col("n"))).alias("prefix"),
         ),
         "lines",
@@ -154,13 +148,14 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     firsts = lines.where("n > 3").join(F.broadcast(known) if copies.count() <= SMALL_ROWS else known, ["doc", "line"], "left_anti")
 
     # Sets of up to three words are alike only if equal.
-    keyed = firsts.select("doc", "line", "n", "low", "high", F.posexplode("prefix").alias("pos", "key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("key")
-    keyed = pin(keyed.join(shared.hint("shuffle_hash"), "key"), "prefixes")
-    earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f")).select("key", "f.*")
-    first_pairs = pin(_pairs(earliest, keyed), "line_pairs")
+    # Each of two rounds deals the prefixes by key once: what it counts and joins stays in that place.
+    keyed = firsts.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    first_pairs = pin(_pairs(earliest.select("key", "f.*"), keyed), "line_pairs")
     decided = pin(_verified(first_pairs, _sets(docs, first_pairs, doc_id, text)), "decided")
-    undecided = keyed.join(decided, ["doc", "line"], "left_anti")
+    # An outer join, as the planner would move an anti join below the dealing and deal both sides.
+    known = decided.withColumn("_decided", F.lit(True))
+    undecided = keyed.join(F.broadcast(known) if decided.count() <= SMALL_ROWS else known, ["doc", "line"], "left").where("_decided is null")
     pairs = pin(_pairs(keyed, undecided).join(first_pairs, first_pairs.columns, "left_anti"), "line_pairs")
     rest = _verified(pairs, _sets(docs, pairs, doc_id, text))
 
