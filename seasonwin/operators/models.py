@@ -38,6 +38,8 @@ MAX_UPDATES = 50
 # Share of a ridge in the penalty of curves by group: it shrinks what the differences leave free.
 SHRINK = 0.01
 _RIDGE = 1e-8
+# Knots lie at quantiles of a sketch; anywhere near them serves.
+_KNOT_ACCURACY = 10_000
 _MAX_HALVINGS = 20
 _MAX_LOG_MEAN = 30.0
 
@@ -110,6 +112,50 @@ class Smooth:
         return [d.T @ d]
 
 
+@dataclass(frozen=True)
+class Natural:
+    """A natural cubic spline by its values at ``k`` quantiles of the variable, or at given knots.
+
+    Its penalty is the exact curvature; ``shrink`` adds that share for what curvature leaves free, straight
+    lines, so that a term that isn't needed shrinks to nothing.
+    """
+
+    x: str
+    k: int = 10
+    knots: tuple = ()
+    shrink: float = 0.1
+
+    @property
+    def name(self):
+        return f"s({self.x})"
+
+    @property
+    def columns(self):
+        return [self.x]
+
+    @property
+    def size(self):
+        return len(self.knots) or self.k
+
+    def prepare(self, stats, levels):
+        if self.knots:
+            return self
+        knots = tuple(sorted(set(stats[self.x, self.k])))
+        if len(knots) < 3:
+            raise ValueError(f"{self.x} has too few values for a natural spline")
+        return replace(self, knots=knots)
+
+    def array(self) -> Column:
+        return B.natural_basis(self.x, self.knots)
+
+    def penalties(self):
+        _, curvature = B.natural_curvature(self.knots)
+        values, vectors = np.linalg.eigh(curvature)
+        free = values < values.max() * 1e-9
+        # The free directions get a share of the least curvature that is penalised.
+        return [curvature + self.shrink * values[~free].min() * vectors[:, free] @ vectors[:, free].T]
+
+
 @dataclass(frozen=True)
 class RandomIntercept:
     """A group effect shrunk towards zero."""
@@ -210,7 +256,7 @@ class Tensor:
         return [np.kron(a, np.eye(self.right.k)), np.kron(np.eye(self.left.k), b)]
 
 
-Term = Linear | Smooth | RandomIntercept | BySmooth | Tensor
+Term = Linear | Smooth | Natural | RandomIntercept | BySmooth | Tensor
 
 
 # ------------------------------------------------------------------- model
@@ -286,13 +332,21 @@ def describe(df: DataFrame, terms: Sequence[Term]):
         elif isinstance(t, RandomIntercept):
             groups.add(t.group)
     stats = {}
+    for t in terms:
+        if isinstance(t, Natural) and not t.knots:
+            value = F.col(t.x).cast("double")
+            inner = F.percentile_approx(value, [i / (t.k - 1) for i in range(1, t.k - 1)], _KNOT_ACCURACY)
+            row = df.agg(F.min(value), inner, F.max(value)).first()
+            if row[0] is None:
+                raise ValueError("no row has all inputs")
+            stats[t.x, t.k] = [row[0], *row[1], row[2]]
     if smooth:
         names = sorted(smooth)
         row = df.agg(*[f(F.col(c).cast("double")).alias(f"{i}{f.__name__}") for i, c in enumerate(names)
                        for f in (F.min, F.max)]).first()
         if any(v is None for v in row):
             raise ValueError("no row has all inputs")
-        stats = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names)}
+        stats |= {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names)}
     levels = {}
     for g in sorted(groups):
         found = [x[0] for x in df.select(g).distinct().limit(MAX_COEFFICIENTS + 1).collect()]

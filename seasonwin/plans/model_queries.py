@@ -72,6 +72,30 @@ def spline_basis_rows(spark, sf_dir):
     return rounded(elements.select("doy", "n", "i", F.col("b.spline").alias("spline"), F.col("b.cyclic").alias("cyclic")))
 
 
+#: Second derivatives at the inner two of four knots, from the two equations of continuous slopes.
+_BEND = """b as (select 50.0::double as h0, 150.0::double as h1, 100.0::double as h2),
+    m as (select *, (h0 + h1) / 3 as p, h1 / 6 as q, (h1 + h2) / 3 as r from b),
+    g as (select i, case i when 0 then 1 / h0 when 1 then -1 / h0 - 1 / h1 when 2 then 1 / h1 else 0 end as d1,
+      case i when 1 then 1 / h1 when 2 then -1 / h1 - 1 / h2 when 3 then 1 / h2 else 0 end as d2, p, q, r
+      from m, (select unnest(range(0, 4)) as i)),
+    s as (select i, (r * d1 - q * d2) / (p * r - q * q) as s1, (p * d2 - q * d1) / (p * r - q * q) as s2 from g)"""
+
+
+@query(f"""with {_BEND},
+    d as (select dayofyear(o_orderdate)::double as doy, count(*) as n from orders group by 1),
+    x as (select *, greatest(20, least(320, doy)) as x from d),
+    j as (select *, case when x >= 220 then 2 when x >= 70 then 1 else 0 end as j from x),
+    k as (select *, [20, 70, 220, 320][j + 1]::double as low, [20, 70, 220, 320][j + 2]::double as high from j),
+    w as (select k.*, s.i, high - low as h, high - x as l, x - low as r, [0, s1, s2, 0] as s from k, s)
+    select doy, n, i, {r("case when i = j then l / h when i = j + 1 then r / h else 0 end + (l * l * l / h - h * l) / 6 * s[j + 1] "
+      "+ (r * r * r / h - h * r) / 6 * s[j + 2]")} as value from w""")
+def natural_basis_rows(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(day_of_year(to_date("o_orderdate")).cast("double").alias("doy"))
+    per_day = days.groupBy("doy").agg(F.count(F.lit(1)).alias("n"))
+    values = F.posexplode(basis.natural_basis("doy", [20, 70, 220, 320])).alias("i", "value")
+    return rounded(per_day.select("doy", "n", values))
+
+
 def daily_catch(spark, sf_dir):
     """Finished orders per day with the year, day of year and day length."""
     date = to_date("o_orderdate")

@@ -37,6 +37,33 @@ def test_bases_sum_to_one_and_wrap(spark):
         assert r["c"] == pytest.approx(r["w"])
 
 
+def test_natural_spline_interpolates_and_is_penalised_by_its_curvature(spark):
+    knots = [0.0, 1.0, 2.5, 3.0, 6.0]
+    second, penalty = B.natural_curvature(knots)
+    grid = [i / 1000 for i in range(6001)]
+    df = spark.createDataFrame([(v,) for v in [*knots, -1.0, 7.0, None, *grid]], "x double")
+    rows = [r[0] for r in df.select(B.natural_basis("x", knots)).collect()]
+    assert np.allclose(rows[:5], np.eye(5)) and np.allclose(rows[5:7], [np.eye(5)[0], np.eye(5)[4]]) and rows[7] is None
+    values = np.array([0.3, -1.0, 2.0, 0.5, 1.0])
+    curve = np.array(rows[8:]) @ values
+    bend = np.diff(curve, 2) / 1e-6
+    assert (bend ** 2).sum() * 1e-3 == pytest.approx(values @ penalty @ values, rel=5e-3)
+    assert abs(bend[0]) < 0.05 and abs(bend[-1]) < 0.05 and np.abs(np.diff(bend)).max() < 0.1
+    assert bend[999] == pytest.approx((second @ values)[1], abs=0.05)
+
+
+def test_natural_term_at_quantiles_finds_the_curve_and_shrinks(data):
+    model = m.fit_additive(data, "y", [m.Natural("x", 9), m.Linear("z")])
+    assert len(model.terms[0].knots) == 9 and model.converged
+    low = data.agg(F.expr("percentile(x, array(0.25, 0.5))")).first()[0]
+    assert model.terms[0].knots[2] == pytest.approx(low[0], abs=0.1) and model.terms[0].knots[4] == pytest.approx(low[1], abs=0.1)
+    effect = m.partial_effect(data, model, "s(x)", 30).collect()
+    assert np.corrcoef([r["effect"] for r in effect], np.sin([r["x"] for r in effect]))[0, 1] > 0.97
+    noise = m.fit_additive(data.withColumn("u", F.rand(5)), "z", [m.Natural("u", 9)])
+    a, b = noise.slices["s(u)"]
+    assert noise.edf[a:b].sum() < 1.5
+
+
 def test_gaussian_fit_equals_a_dense_solve(data):
     terms = [m.Smooth("x", 8), m.Linear("z"), m.RandomIntercept("g")]
     model = m.fit_additive(data, "y", terms, lambdas=[0.3, 0.7])
