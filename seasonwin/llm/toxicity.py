@@ -39,7 +39,9 @@ _ACCENTS = 27
 #: Lengths of the beginnings of words that may be landmarks, and letters of a word beyond a landmark's that are compared with it.
 _STEMS, _OVER = (4, 5, 6, 7), 2
 #: Words whose kernel values a worker keeps.
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 100_000
+#: Words that are compared with the landmarks at a time.
+_AT_ONCE = 1 << 14
 #: Words that account for a toxic training document before it counts no more.
 _BLAMED = 3
 #: Landmarks that are always taken if there are as many; more only if held-out recall rises.
@@ -242,17 +244,19 @@ def word_kernels(words: np.ndarray, landmarks: list[str]) -> np.ndarray:
 
 def _known_kernels(hashes: np.ndarray, words: np.ndarray, landmarks: list[str]) -> list[np.ndarray | None]:
     """The kernel values of distinct words, None for those unlike every landmark; a worker remembers the words it has seen."""
-    kept = kept_in_worker(f"toxicity {hash(tuple(landmarks))}", dict)
-    keys = hashes.tolist()
+    held = kept_in_worker("toxicity", dict)
+    if held.get("landmarks") != landmarks:
+        held |= {"landmarks": landmarks, "words": {}}
+    kept, keys = held["words"], hashes.tolist()
     missing = [i for i, h in enumerate(keys) if h not in kept]
     if missing:
         if len(kept) + len(missing) > _KEPT_WORDS:
             kept.clear()
             missing = list(range(len(keys)))
-        values = word_kernels(words[missing], landmarks)
-        alike = values.any(axis=1)
-        for i, v, some in zip(missing, values, alike, strict=True):
-            kept[keys[i]] = v.copy() if some else None
+        for part in np.array_split(np.array(missing), -(-len(missing) // _AT_ONCE)):
+            values = word_kernels(words[part], landmarks)
+            for i, v, some in zip(part.tolist(), values, values.any(axis=1), strict=True):
+                kept[keys[i]] = v.copy() if some else None
     return [kept[h] for h in keys]
 
 
@@ -348,7 +352,7 @@ def _counted(sample: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, slab in pieces_of(batch, text, 1 << 21):
+            for _, slab in pieces_of(batch, text, 1 << 20):
                 owner, names, spelled = _candidates(texts_of(slab, text))
                 if not len(names):
                     continue
@@ -378,7 +382,7 @@ def _held(sample: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, slab in pieces_of(batch, text, 1 << 21):
+            for _, slab in pieces_of(batch, text, 1 << 20):
                 owner, names, _ = _candidates(texts_of(slab, text))
                 place = np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[place] == names)
