@@ -14,6 +14,8 @@ from seasonwin.session import pin
 
 _SKETCH_ACCURACY = 10_000
 _BRACKET_CHUNKS = 1024
+# How far around a wanted rank a bracket reaches at first, as a share of the rows.
+_FIRST_SLACK = 2.0 / _SKETCH_ACCURACY
 
 
 def group_counts(df: DataFrame, keys: Sequence[str], condition: Column, total: str = "Total",
@@ -111,10 +113,27 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
     Spark's exact percentile keeps every distinct value of a group in one task.
     Here a mergeable sketch brackets each wanted rank, values below the bracket
     are only counted, and those inside are ranked exactly by (value, count), in
-    chunks of the bracket's width.
+    chunks of the bracket's width. The counts tell whether a rank is inside; if one
+    isn't, all brackets are made ten times as wide, up to the whole range.
     """
     known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-    edges = F.array(*[F.struct(F.lit(float(p)).alias("prob"), *_bracket(p)) for p in probs])
+    slack = _FIRST_SLACK
+    while True:
+        counted = _counted(known, keys, probs, slack)
+        group = [*keys, "prob", "rank"]
+        found = counted.groupBy(*group).agg(
+            F.sum(F.when(F.col("_v").isNull(), F.col("_m")).otherwise(0)).alias("_low"), F.sum("_m").alias("_high")
+        )
+        outside = (F.col("_low") > F.floor("rank")) | (F.col("_high") <= F.ceil("rank"))
+        if slack >= 1 or found.where(outside).isEmpty():
+            break
+        slack *= 10
+    return _interpolated(counted, keys)
+
+
+def _counted(known: DataFrame, keys: Sequence[str], probs: Sequence[float], slack: float) -> DataFrame:
+    """How often each value inside a bracket occurs, and, under the missing value, how many lie below it."""
+    edges = F.array(*[F.struct(F.lit(float(p)).alias("prob"), *_bracket(p, slack)) for p in probs])
     brackets = (
         known.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
@@ -130,8 +149,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
     inside = F.when(F.col("_v") >= F.col("below"), F.col("_v"))
     group = [*keys, "prob", "rank", "below", "above"]
     counted = tagged.groupBy(*group, inside.alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
-    # Few rows next to the table's; the running sum reads them twice.
-    counted = pin(counted, "counted")
+    # Few rows next to the table's; they are checked, then the running sum reads them twice.
+    return pin(counted, "counted")
+
+
+def _interpolated(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    group = [*keys, "prob", "rank", "below", "above"]
     share = F.try_divide(F.col("_v") - F.col("below"), F.col("above") - F.col("below"))
     chunk = F.coalesce(F.floor(share * _BRACKET_CHUNKS), F.when(F.col("_v").isNull(), -1).otherwise(0)).cast("long")
     ranked = running(counted, group, ["_v"], {"_upto": (F.col("_m"), F.sum)}, chunk=chunk)
@@ -145,13 +168,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float]
     return ends.select(*keys, "prob", between.alias("quantile"))
 
 
-def _bracket(prob: float) -> list[Column]:
-    """Two values that surely enclose the wanted rank.
+def _bracket(prob: float, slack: float) -> list[Column]:
+    """Two values that should enclose the wanted rank.
 
     The sketch's rank error is at most 1/accuracy. Twice that either way covers
     it once a group is large; a small group is its own bracket.
     """
-    slack = 2.0 / _SKETCH_ACCURACY
     small = F.count(F.lit(1)) < 5 * _SKETCH_ACCURACY
     low, high = F.min("_v"), F.max("_v")
     below = F.percentile_approx("_v", prob - slack, _SKETCH_ACCURACY) if prob > slack else low

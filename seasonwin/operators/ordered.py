@@ -184,16 +184,27 @@ def center(df: DataFrame, c: str, keys: Sequence[str], out: str) -> DataFrame:
 
 def value_before_peak(df: DataFrame, c: str, peak: str, keys: Sequence[str], order: Sequence[str], out: str,
                       span: float | None = None) -> DataFrame:
-    """The value on the row before the first maximum of ``peak``, on all rows of the group."""
-    numbered = count_up(df, keys, order, "_rn", span)
-    at_peak = F.max_by("_rn", F.when(F.col(peak).isNotNull(), F.struct(F.col(peak), -F.col("_rn"))))
-    tops = numbered.groupBy(*keys).agg(at_peak.alias("_top"))
-    before = (
-        attach(numbered, tops, keys, measured=True)
-        .where(F.col("_rn") == F.col("_top") - 1)
-        .select(*keys, F.col(c).alias(out))
+    """The value on the row before the first maximum of ``peak``, on all rows of the group.
+
+    Each chunk of a group leaves one row: its first maximum, the value before that, and its last value,
+    which is what stands before the next chunk's first row.
+    """
+    chunk = _chunk(df, order, span)
+    part = [*keys, "_chunk"]
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(
+        *keys, (F.lit(0) if chunk is None else chunk).alias("_chunk"), *[F.col(o).alias(n) for o, n in zip(order, names)],
+        F.col(peak).alias("_peak"), F.col(c).alias("_value"),
     )
-    return attach(df, before, keys, measured=True)
+    within = Window.partitionBy(*part).orderBy(*names)
+    rows = rows.withColumns({"_before": F.lag("_value").over(within), "_first": F.row_number().over(within) == 1})
+    top = F.min(F.when(F.col("_peak").isNotNull(), F.struct((-F.col("_peak")).alias("peak"), *names, "_first", "_before")))
+    chunks = rows.groupBy(*part).agg(top.alias("_top"), F.max(F.struct(*names, "_value")).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = chunks.withColumn("_carry", F.lag("_last._value").over(along)).where("_top is not null")
+    value = F.when(F.col("_top._first"), F.col("_carry")).otherwise(F.col("_top._before"))
+    best = chunks.groupBy(*keys).agg(F.min(F.struct("_top.peak", *[f"_top.{n}" for n in names], value.alias("value"))).alias("_best"))
+    return attach(df, best.select(*keys, F.col("_best.value").alias(out)), keys, measured=True)
 
 
 def argmax_rows(df: DataFrame, c: str, keys: Sequence[str], ties: Sequence[Column]) -> DataFrame:

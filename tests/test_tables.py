@@ -116,6 +116,23 @@ def test_five_numbers_without_keys(spark):
     assert got == {"min": 1.0, "q1": 2.0, "median": 3.0, "q3": 4.0, "mean": 4.0, "max": 10.0}
 
 
+def test_quantiles_with_a_false_bracket_are_exact(spark, monkeypatch):
+    """The first bracket lies beside the wanted ranks; counting shows that."""
+    df = spark.range(60_000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 60_013).cast("double").alias("v"))
+    real = aggregate._bracket
+    tried = []
+
+    def false(prob, slack):
+        tried.append(slack)
+        return real(min(prob + 0.2, 1.0), slack) if slack < 0.01 else real(prob, slack)
+
+    monkeypatch.setattr(aggregate, "_bracket", false)
+    monkeypatch.setattr(aggregate, "_SKETCH_ACCURACY", 1000)
+    got = {(r["k"], r["prob"]): r["quantile"] for r in aggregate.quantiles(df, ["k"], "v", [0.25, 0.5]).collect()}
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", [0.25, 0.5]).alias("q")).collect()}
+    assert len(set(tried)) > 1 and all(got[k, p] == pytest.approx(q[i]) for k, q in want.items() for i, p in enumerate((0.25, 0.5)))
+
+
 def test_histogram_includes_the_upper_end_and_what_lies_outside(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 0.5, 1.0, 2.0, 2.1, -7.0, -8.0, None)], "v double")
     got = {r["bin"]: (r["n"], r["low"], r["high"]) for r in aggregate.histogram(df, "v", 0.0, 2.0, 2).collect()}
