@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from seasonwin.functions import basis as B
 from seasonwin.functions.columns import normal_interval
+from seasonwin.functions.tails import chi_squared_tail, f_tail
 from seasonwin.operators.joins import attach
 from seasonwin.operators.partials import SUMS, added_up, lists_of, matrix_of, packed, triangle_size, unpacked
 
@@ -259,6 +260,16 @@ class Tensor:
 Term = Linear | Smooth | Natural | RandomIntercept | BySmooth | Tensor
 
 
+def _seen(term) -> np.ndarray:
+    """Projects coefficients of a term on the directions that its centred basis depends on."""
+    def inner(k: int) -> np.ndarray:
+        return np.eye(k) - 1 / k
+
+    if isinstance(term, Tensor):
+        return np.kron(inner(term.left.k), inner(term.right.k))
+    return inner(term.size) if isinstance(term, Smooth | Natural) else np.eye(term.size)
+
+
 # ------------------------------------------------------------------- model
 
 
@@ -288,6 +299,11 @@ class AdditiveModel:
     def log_link(self) -> bool:
         return self.family != GAUSSIAN
 
+    @property
+    def resid_df(self) -> float:
+        """Degrees of freedom that the fit leaves."""
+        return float(self.n - (self.edf.sum() if self.total_edf is None else self.total_edf))
+
     def row(self) -> Column:
         """The model matrix row: 1, then all centred term bases."""
         parts = [F.array(F.lit(1.0))]
@@ -309,13 +325,25 @@ class AdditiveModel:
         return spark.createDataFrame(out, "term string, i int, estimate double, se double")
 
     def term_table(self, spark: SparkSession) -> DataFrame:
-        """Effective degrees of freedom and a Wald statistic per term."""
+        """Effective degrees of freedom, a Wald statistic and its p value per term.
+
+        The statistic has as many degrees of freedom as the term effectively has; where the scale is
+        estimated, its share per degree is compared with the F distribution.
+        """
         out = []
-        for name, (a, b) in self.slices.items():
-            beta, cov = self.beta[a:b], self.cov[a:b, a:b]
+        for t in self.terms:
+            a, b = self.slices[t.name]
+            # A centred basis doesn't tell coefficients from these plus a constant; only the ridge does.
+            seen, name = _seen(t), t.name
+            beta, cov = seen @ self.beta[a:b], seen @ self.cov[a:b, a:b] @ seen
             wald = float(beta @ np.linalg.pinv(cov, rcond=1e-8, hermitian=True) @ beta)
-            out.append((name, b - a, float(self.edf[a:b].sum()), wald))
-        return spark.createDataFrame(out, "term string, size int, edf double, wald double")
+            edf = float(self.edf[a:b].sum())
+            if self.family == POISSON:
+                p = chi_squared_tail(wald, edf)
+            else:
+                p = f_tail(wald / max(edf, 1e-9), edf, self.resid_df)
+            out.append((name, b - a, edf, wald, p))
+        return spark.createDataFrame(out, "term string, size int, edf double, wald double, p double")
 
 
 def describe(df: DataFrame, terms: Sequence[Term]):
@@ -736,6 +764,30 @@ def compare_models(spark: SparkSession, models: dict[str, AdditiveModel]) -> Dat
     return spark.createDataFrame(out, schema).orderBy(F.col("aic").asc_nulls_last(), "deviance")
 
 
+def nested_tests(spark: SparkSession, models: Sequence[tuple[str, AdditiveModel]]) -> DataFrame:
+    """Each model against the one before it, whose terms it must hold: ``model, resid_df, deviance, df, difference, statistic, p``.
+
+    The first row has no test. Differences of deviance are compared with the chi-squared distribution for
+    Poisson responses, else, per degree of freedom and scale of the larger model, with the F distribution.
+    """
+    out, before = [], None
+    for name, m in models:
+        test = (None, None, None, None)
+        if before is not None:
+            if (m.y, m.family, m.n) != (before.y, before.family, before.n):
+                raise ValueError(f"{name} is not fitted to the rows of the model before it")
+            df, difference = before.resid_df - m.resid_df, before.deviance - m.deviance
+            if m.family == POISSON:
+                statistic, p = difference, chi_squared_tail(difference, df)
+            else:
+                statistic = difference / df / m.scale if df > 0 else None
+                p = None if statistic is None else f_tail(statistic, df, m.resid_df)
+            test = tuple(None if v is None else float(v) for v in (df, difference, statistic, p))
+        out.append((name, m.resid_df, float(m.deviance), *test))
+        before = m
+    return spark.createDataFrame(out, "model string, resid_df double, deviance double, df double, difference double, statistic double, p double")
+
+
 def residual_check(df: DataFrame, model: AdditiveModel, keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Mean and variance of residuals by tenth of the fitted values.
 

@@ -173,6 +173,28 @@ def compare_models(spark, sf_dir):
     )
 
 
+@query(f"""with d as (select year(o_orderdate) as year, ln(avg(o_totalprice)) as y from orders group by o_orderdate, 1),
+    g as (select sum(w) as rss, count(*) as k, sum(n) as n from (select regr_syy(y, 1) as w, count(*) as n from d group by year)),
+    t as (select rss, k, n, flat - rss as diff, (flat - rss) / (k - 1) / (rss / (n - k)) as f, flat from g, (select regr_syy(y, 1) as flat from d)),
+    x as (select *, (n - k) / 2.0::double as b, (n - k) / ((n - k) + (k - 1) * f) as x from t),
+    -- With an even number of degrees of freedom the tail is a finite sum.
+    p as (select sum(exp(b * ln(x) + lgamma(b + j) - lgamma(b) - lgamma(j + 1) + j * ln(1 - x))) as p
+      from (select *, unnest(range(0, (k - 1) // 2)) as j from x))
+    select 'flat' as model, (n - 1)::double as resid_df, {r('flat')} as deviance, null::double as df, null::double as difference,
+      null::double as statistic, null::double as p from t
+    union all select 'years', n - k, {r('rss')}, k - 1, {r('diff')}, {r('f')}, {r('p')} from t, p""")
+def nested_models(spark, sf_dir):
+    """Does the mean log price differ between years?"""
+    date = to_date("o_orderdate")
+    daily = pin(table(spark, sf_dir, "orders").groupBy(date.alias("date"), F.year(date).alias("year")).agg(
+        F.log(F.avg("o_totalprice")).alias("y")
+    ), "daily")
+    flat = models.fit_additive(daily, "y", [])
+    years = models.fit_additive(daily, "y", [models.RandomIntercept("year")], lambdas=[0.0])
+    tests = models.nested_tests(spark, [("flat", flat), ("years", years)])
+    return rounded(tests).withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("resid_df", "df")})
+
+
 @query(f"""with d as (select year(o_orderdate) as year, dayofyear(o_orderdate) as doy, sum(ln(o_totalprice)) as fit
       from orders group by 1, 2),
     c as (select *, sum(fit) over (partition by year order by doy) / sum(fit) over (partition by year) as share,

@@ -5,6 +5,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from seasonwin.functions import basis as B
+from seasonwin.functions.tails import chi_squared_tail, f_tail
 from seasonwin.operators import models as m
 
 
@@ -175,6 +176,30 @@ def test_too_many_levels_are_refused(spark):
         m.fit_additive(df, "y", [m.RandomIntercept("g")])
 
 
+def test_tails_equal_closed_forms():
+    assert chi_squared_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12)
+    for x in (0.1, 1.0, 7.0, 90.0):
+        assert chi_squared_tail(x, 2) == pytest.approx(np.exp(-x / 2), rel=1e-10)
+        assert chi_squared_tail(x, 4) == pytest.approx(np.exp(-x / 2) * (1 + x / 2), rel=1e-10)
+        assert f_tail(x, 2, 30) == pytest.approx((1 + x / 15) ** -15, rel=1e-9)
+        assert f_tail(x, 1, 1) == pytest.approx(1 - 2 / np.pi * np.arctan(np.sqrt(x)), abs=1e-10)
+        assert f_tail(x, 7, 3) == pytest.approx(1 - f_tail(1 / x, 3, 7), abs=1e-12)
+    assert chi_squared_tail(0.0, 3) == f_tail(0.0, 2, 3) == 1.0
+
+
+def test_terms_and_nested_models_are_tested(data):
+    flat = m.fit_additive(data, "c", [], m.POISSON)
+    wave = m.fit_additive(data, "c", [m.Smooth("x", 6)], m.POISSON)
+    noise = m.fit_additive(data.withColumn("u", F.rand(3)), "c", [m.Smooth("x", 6), m.Linear("u")], m.POISSON)
+    rows = m.nested_tests(data.sparkSession, [("flat", flat), ("wave", wave), ("noise", noise)]).collect()
+    assert rows[0]["p"] is None and rows[1]["p"] < 1e-6 and rows[2]["p"] > 0.01
+    assert rows[1]["difference"] == pytest.approx(flat.deviance - wave.deviance) and rows[2]["df"] == pytest.approx(1.0, abs=0.3)
+    terms = {r["term"]: r["p"] for r in noise.term_table(data.sparkSession).collect()}
+    assert terms["s(x)"] < 1e-6 and terms["u"] > 0.01
+    with pytest.raises(ValueError, match="rows"):
+        m.nested_tests(data.sparkSession, [("flat", flat), ("less", m.fit_additive(data.limit(300), "c", [], m.POISSON))])
+
+
 def test_line_and_peak(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 7.0), ("b", 1.0, 1.0)], "k string, x double, y double")
     fits = {r["k"]: r for r in m.fit_linear(df, "y", "x", ["k"]).collect()}
