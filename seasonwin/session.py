@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", app: str = "seasonwin") -> SparkSession:
@@ -54,9 +55,15 @@ def pin(df: DataFrame, name: str) -> DataFrame:
 
     For daily series, event tables and scans that several operators read: their
     source tables are then scanned once, a lost executor costs no recomputation,
-    and the planner knows the true size.
+    and the planner knows the true size. The shuffle files behind it go as soon
+    as it is written, so that disks hold those of one step at a time.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
