@@ -5,9 +5,9 @@ their sets is at least 0.8. Lines with the same set are put together first.
 The words of each are ordered by rarity, rarest first. Two alike lines must
 share a word among the first few of both (prefix filter), at places that leave
 enough words behind (positional filter), and differ little in size (length
-filter). Each line also carries 64 bits, one set for each word by a hash: more
-differing bits than words may differ rule a pair out before its words are
-fetched. What passes is verified on the words' 64-bit hashes.
+filter). Each line also carries 64 bits, of which each word flips one by a hash:
+common words cancel, so more differing bits than words may differ rule a pair
+out before its words are fetched, however many words the lines have. What passes is verified on the words' 64-bit hashes.
 
 Rarity is the count of a word's hash in a table of fixed size, in classes of
 its logarithm; any order that all lines share makes the filters exact.
@@ -66,9 +66,9 @@ def _prefix_length(n: Column) -> Column:
 
 
 def _bits(hashes: Column) -> Column:
-    """64 bits of which each element sets one."""
+    """64 bits of which each element flips one, so that sets differ by at least as many elements as bits."""
     one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(one(h)))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(one(h)))
 
 
 def _may_be_alike() -> Column:
@@ -111,6 +111,11 @@ def _sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFram
     ids = pin(ids.distinct(), "line_ids")
     if ids.count() <= SMALL_ROWS:
         ids = F.broadcast(ids)
+        # Only the documents that hold such lines are taken apart.
+        own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        holders = F.broadcast(ids.select("doc").distinct())
+        docs = docs.select(_id(docs, doc_id, own).alias("doc"), own.alias("own")).join(holders, "doc", "left_semi")
+        doc_id, text = "doc", "own"
     found = _lines(docs, doc_id, text).join(ids, ["doc", "line"], "left_semi")
     return pin(found.select("doc", "line", _hashes().alias("set")), "line_words")
 
