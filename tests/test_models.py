@@ -151,6 +151,27 @@ def test_group_curves_and_interaction(data):
     assert order == ["full", "flat"]
 
 
+def test_largest_penalties_leave_a_positive_inverse():
+    """A centred basis has no data along its constant; a penalty of 1e8 swallows the ridge there."""
+    rng = np.random.default_rng(6)
+    k, n = 6, 300
+    b = rng.uniform(0.1, 1.0, (n, k))
+    b /= b.sum(axis=1)[:, None]
+    x = np.hstack([np.ones((n, 1)), b - b.mean(axis=0)])
+    y = b @ np.arange(k) + rng.normal(scale=0.1, size=n)
+    pen = np.zeros((k + 1, k + 1))
+    pen[1:, 1:] = n * np.diff(np.eye(k), 2, axis=0).T @ np.diff(np.eye(k), 2, axis=0)
+    s = m.Sums(x.T @ x, x.T @ y, y @ y, n, 0.0, 0.0, y.sum(), 0.0)
+    for lam in (1e-8, 1.0, 1e4, 1e8):
+        beta, inverse, hat = m._solve(s, [pen], [lam])
+        # The same fit without the constant: the last coefficient is minus the sum of the others.
+        z = np.vstack([np.eye(k), np.r_[0.0, -np.ones(k - 1)][None, :]])
+        free = np.linalg.inv(z.T @ (s.xwx + lam * pen) @ z)
+        assert x @ beta == pytest.approx(x @ z @ free @ z.T @ s.xwz, abs=1e-4)
+        assert np.linalg.eigvalsh(inverse)[0] >= -1e-12 * np.abs(inverse).max()
+        assert np.trace(hat) == pytest.approx(np.trace(free @ z.T @ s.xwx @ z), abs=1e-4)
+
+
 def test_scores_and_residuals(data):
     model = m.fit_additive(data, "c", [m.Smooth("x", 6)], m.POISSON, lambdas=[0.1])
     x, _ = design(data, model)
