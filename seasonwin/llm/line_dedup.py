@@ -7,7 +7,9 @@ share a word among the first few of both (prefix filter), at places that leave
 enough words behind (positional filter), and differ little in size (length
 filter). Each line also carries 64 bits, of which each word flips one by a hash:
 common words cancel, so more differing bits than words may differ rule a pair
-out before its words are fetched, however many words the lines have. What passes is verified on the words' 64-bit hashes.
+out before its words are fetched. Lines of more than 64 words carry 128 bits, as those of two unlike long lines differ
+in half of 64 bits only, which is as many as words may differ; folded, they compare with the 64 of a shorter line.
+What passes is verified on the words' 64-bit hashes.
 
 Rarity is the count of a word's hash in a table of fixed size, in classes of
 its logarithm; any order that all lines share makes the filters exact.
@@ -30,6 +32,8 @@ from seasonwin.session import pin
 
 _BUCKETS = 1 << 18
 _BLANK = " \t\x0b\f\r"
+#: Lines of more words carry twice as many bits.
+_LONG = 64
 #: Similarity as a fraction: 4 / 5. Sets of a and b words are alike from 4 / 9 of a + b common words on.
 _NUM, _DEN = 4, 5
 
@@ -52,7 +56,10 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _rarity(docs: DataFrame, text: str) -> Column:
     """A table from hash bucket to class of frequency, of fixed size, as a constant."""
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), "[\\x20\\x09-\\x0D]+")).alias("w"))
+    spaced = F.col(f"`{text}`")
+    for sign in _BLANK[1:] + "\n":
+        spaced = F.replace(spaced, F.lit(sign), F.lit(" "))
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     classes = [0] * _BUCKETS
     for row in counts.collect():
@@ -71,18 +78,25 @@ def _bits(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(one(h)))
 
 
+def _all_bits(hashes: Column) -> tuple[Column, Column]:
+    """``bits`` and ``more``: of a long line's elements each half has bits of its own, else ``more`` is 0."""
+    long, half = F.size(hashes) > _LONG, lambda k: _bits(F.filter(hashes, lambda h: h.bitwiseAND(64) == k))
+    return F.when(long, half(0)).otherwise(_bits(hashes)).alias("bits"), F.when(long, half(64)).otherwise(F.lit(0).cast("long")).alias("more")
+
+
 def _may_be_alike() -> Column:
     """Order, length, positional and bit filters of a pair that shares a word: b the later one."""
     n, m = F.col("a_n"), F.col("b_n")
     common = 1 + F.least(n - F.col("a_pos") - 1, m - F.col("b_pos") - 1)
-    differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    bits, more = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("bits", "more"))
+    differ = F.when(F.least(n, m) > _LONG, F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
     later = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
     fits = (F.least(n, m) * _DEN >= F.greatest(n, m) * _NUM) & (common * (_NUM + _DEN) >= (n + m) * _NUM)
     # Alike sets differ by at most (n + m) * (1 - s) / (1 + s) words.
     return later & fits & (differ * (_NUM + _DEN) <= (n + m) * (_DEN - _NUM))
 
 
-_OF_LINE = ("doc", "line", "n", "pos", "bits")
+_OF_LINE = ("doc", "line", "n", "pos", "bits", "more")
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -139,10 +153,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.shiftrightunsigned(h, 7)
     )
     sets = _lines(docs, doc_id, text).select("doc", "line", _hashes().alias("_h"))
-    sets = sets.select("doc", "line", F.size("_h").alias("n"), _bits(F.col("_h")).alias("bits"), F.sort_array(F.transform("_h", key)).alias("_k"))
+    sets = sets.select("doc", "line", F.size("_h").alias("n"), *_all_bits(F.col("_h")), F.sort_array(F.transform("_h", key)).alias("_k"))
     lines = pin(
         sets.select(
-            "doc", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"), "bits",
+            "doc", "line", "n", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(5), "_k").alias("h2"), "bits", "more",
             F.slice("_k", 1, _prefix_length(F.col("n"))).alias("prefix"),
         ),
         "lines",
@@ -157,7 +171,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # Sets of up to three words are alike only if equal.
     # Each of two rounds deals prefixes by key once: what it counts and joins stays in that place.
-    deal = lambda keys: firsts.select("doc", "line", "n", "bits", F.posexplode(keys).alias("pos", "key")).repartition("key")
+    # Said beforehand, what a join infers of nulls doesn't make the dealing of its two sides differ, so that one serves both.
+    there = " and ".join(f"{c} is not null" for c in ("key", *_OF_LINE))
+    deal = lambda keys: firsts.select("doc", "line", "n", "bits", "more", F.posexplode(keys).alias("pos", "key")).where(there).repartition("key")
     keyed = deal(F.slice("prefix", 1, F.ceil(F.size("prefix") / 2).cast("int")))
     earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     first_pairs = pin(_pairs(earliest.select("key", "f.*"), keyed), "line_pairs")

@@ -58,6 +58,37 @@ def test_many_small_changes_of_one_line(documents):
     check(documents, [(i, " ".join([*base[: i % 30], f"x{i}", *base[i % 30 + 1 :]])) for i in range(150)])
 
 
+def long_lines(n):
+    """Lines of about n words that share some rare ones, and copies that change a few words or make them short."""
+    drawn = random.Random(n)
+    rows = []
+    for i in range(40):
+        words = [f"rare{j}" for j in range(n // 6)] + [f"c{drawn.randrange(9999)}" for _ in range(n - n // 6)]
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:
+            rows.append((100 + i, " ".join(words[: n - n // 12] + [f"new{i}"])))
+    return rows
+
+
+def test_long_lines_and_those_about_as_long_as_bits_double(documents):
+    for n in (60, 66, 72, 150):
+        check(documents, long_lines(n))
+
+
+def test_unlike_long_lines_are_not_fetched(documents, monkeypatch):
+    pairs, pin = [], line_dedup.pin
+
+    def counted(df, name):
+        found = pin(df, name)
+        if name == "line_pairs":
+            pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "pin", counted)
+    line_dedup.repeated_lines(documents([r for r in long_lines(150) if r[0] < 100])).collect()
+    assert pairs == [0, 0]
+
+
 def test_documents_keep_what_is_new(documents):
     docs = documents([(1, "first line here\nsecond"), (2, "new\n\nfirst line here\nlast"), (3, "second"), (4, None), (None, "nameless"), (5, "")])
     left = line_dedup.without_repeated_lines(docs)
