@@ -38,6 +38,8 @@ _MAGIC = b"SWTOKEF1"
 # magic, bytes an id, documents, documents without id, ids, bytes of ids, bytes of boundaries
 _HEAD = "<8sHxxIIxxxxQQQ"
 _EVERY = 256
+#: Bytes of text that are encoded at once; the arrays made on the way take some ten times as much.
+_SLAB = 1 << 23
 
 
 class EliasFano:
@@ -99,10 +101,11 @@ class EliasFano:
 def pack_shard(ids: np.ndarray, bounds: np.ndarray, doc_ids: list[int | None], width: int) -> bytes:
     """The bytes of a shard; documents without an id come first."""
     missing = sum(d is None for d in doc_ids)
-    body = ids.astype(f"<u{width}").tobytes()
+    body = np.ascontiguousarray(ids, f"<u{width}").data
     where = EliasFano.encode(bounds)
     names = EliasFano.encode(np.array(doc_ids[missing:], np.int64))
-    return struct.pack(_HEAD, _MAGIC, width, len(doc_ids), missing, len(ids), len(body), len(where)) + body + where + names
+    head = struct.pack(_HEAD, _MAGIC, width, len(doc_ids), missing, len(ids), body.nbytes, len(where))
+    return b"".join([head, body, where, names])
 
 
 class Shard:
@@ -172,9 +175,9 @@ def write_shards(
             return pa.RecordBatch.from_pydict(row, _SHARD_ROW)
 
         for batch in batches:
-            for _, slab in pieces_of(batch, text):
+            for _, slab in pieces_of(batch, text, _SLAB):
                 flat, bounds = encode.encode(texts_of(slab, text), end)
-                ids.append(flat)
+                ids.append(flat.astype(f"<u{width}"))
                 sizes.append(np.diff(bounds))
                 names += slab.column(doc_id).to_pylist()
                 held += len(flat)

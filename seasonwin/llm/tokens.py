@@ -27,7 +27,8 @@ from seasonwin.llm.common import kept_in_worker, ragged
 # Functions that run in tasks travel with their code, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CACHED = 1_000_000
+#: A stretch takes about 200 bytes, in every worker and over all its tasks.
+_CACHED = 500_000
 # White space of any tokenizer's rules; what only one of them counts does no harm, as it only leaves longer stretches.
 _SPACE = r"[\s\x{85}\p{Z}\x1c-\x1f]"
 _ODD = rf"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -143,3 +144,14 @@ def test_the_fullest_sum_is_found():
         best = max(s for s in (int(np.dot(lengths, c)) for c in product(*(range(k + 1) for k in counts))) if s <= 40)
         taken = packing.fullest(lengths, counts, 40)
         assert sum(taken) == best and all(taken.count(n) <= k for n, k in zip(lengths.tolist(), counts.tolist()))
+
+
+def test_packing_a_shard_copies_its_ids_once():
+    ids = np.arange(1 << 20, dtype=np.uint16)
+    tracemalloc.start()
+    data = token_files.pack_shard(ids, np.array([0, len(ids)]), [7], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * ids.nbytes
+    [(name, start, found)] = token_files.Shard(data).documents()
+    assert (name, start) == (7, 0) and np.array_equal(found, ids)
