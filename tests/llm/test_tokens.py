@@ -32,6 +32,29 @@ def test_stretches_give_the_tokenizers_ids():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain(t, 7) for t in ODD]
 
 
+def test_new_words_reach_the_tokenizer_together():
+    encode, given_texts = ColumnEncoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given_texts.extend(texts)
+            return PLAIN.encode_batch_fast(texts, **how)
+
+        model = property(lambda self: self)
+
+        def tokenize(self, text):
+            given_texts.append(text)
+            return PLAIN.model.tokenize(text)
+
+    encode.tokenizer = Counted()
+    texts = [" ".join(f"w{i}x{j} é{i}, \"{j}\" don't" for j in range(40)) for i in range(100)]
+    for _ in range(2):
+        ids, bounds = encode.encode(pa.array([*texts, *ODD]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain(t, 0)[:-1] for t in [*texts, *ODD]]
+    # More than 4,000 different words; those that begin an odd text or a document, and marks, go alone.
+    assert len(given_texts) < 100 + 150
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(" \t\n \x1c\x85'.,%<|>aé9sZ日endoftx")), max_size=6))
 def test_any_text(texts):
