@@ -55,6 +55,16 @@ def test_new_words_reach_the_tokenizer_together():
     assert len(given_texts) < 100 + 150
 
 
+def test_cached_words_take_little_memory():
+    encode, arrow = ColumnEncoder(PATH), pa.total_allocated_bytes()
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}w{i}x{j}," for j in range(300)) for i in range(200)])
+    tracemalloc.start()
+    encode.encode(texts)
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow - texts.nbytes
+    tracemalloc.stop()
+    assert kept < 100 * 60_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(" \t\n \x1c\x85'.,%<|>aé9sZ日endoftx")), max_size=6))
 def test_any_text(texts):
