@@ -15,14 +15,15 @@ Rarity is the count of a word's hash in a table of fixed size, in classes of
 its logarithm; any order that all lines share makes the filters exact.
 
 A line that is alike an earlier one goes. So each line is first compared with
-the earliest line under each word in the first half of its prefix; only lines
-that are still undecided then meet all earlier ones, under all prefix words. A line that thousands repeat with small
-changes costs thousands of comparisons that way, not millions.
+the earliest line under those words in the first half of its prefix that many prefixes hold; then
+lines meet all others under all prefix words, unless the later one is decided. A line that thousands repeat with small
+changes costs thousands of comparisons that way, not millions. Of the shorter line of a pair, a prefix half as long will do.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,10 @@ _BLANK = " \t\x0b\f\r"
 _LONG = 64
 #: Similarity as a fraction: 4 / 5. Sets of a and b words are alike from 4 / 9 of a + b common words on.
 _NUM, _DEN = 4, 5
+#: Words in the first halves of more prefixes are met by the earliest of these lines first.
+_MANY = 512
+#: Lines of a document, at most.
+_PLACES = Decimal(1 << 31)
 
 
 def _id(docs: DataFrame, doc_id: str, own: Column) -> Column:
@@ -44,27 +49,38 @@ def _id(docs: DataFrame, doc_id: str, own: Column) -> Column:
     return F.coalesce(F.col(f"`{doc_id}`").cast("long"), nameless)
 
 
+def _spaced(text: Column, signs: str) -> Column:
+    """The text with spaces in place of rarer blanks; to look for all of them at once is cheaper where there are none."""
+    spaced = text
+    for sign in signs:
+        spaced = F.replace(spaced, F.lit(sign), F.lit(" "))
+    return F.when(F.rlike(text, F.lit(f"[{signs}]")), spaced).otherwise(text)
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """All lines with words: ``doc, line`` (from 0) and the trimmed ``words``, with spaces between them only."""
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    spaced = own
-    for sign in _BLANK[1:]:
-        spaced = F.replace(spaced, F.lit(sign), F.lit(" "))
-    rows = docs.select(_id(docs, doc_id, own).alias("doc"), F.posexplode(F.split(spaced, "\n")).alias("line", "words"))
+    rows = docs.select(_id(docs, doc_id, own).alias("doc"), F.posexplode(F.split(_spaced(own, _BLANK[1:]), "\n")).alias("line", "words"))
     return rows.withColumn("words", F.btrim("words")).where("words <> ''")
 
 
 def _rarity(docs: DataFrame, text: str) -> Column:
     """A table from hash bucket to class of frequency, of fixed size, as a constant."""
-    spaced = F.col(f"`{text}`")
-    for sign in _BLANK[1:] + "\n":
-        spaced = F.replace(spaced, F.lit(sign), F.lit(" "))
-    words = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    spaced = F.replace(_spaced(F.col(f"`{text}`"), _BLANK[1:]), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
+    # Four buckets a row: 65,536 rows are what a task's quickest hash table holds.
+    rows = _BUCKETS // 4
+    part = F.shiftright("h", rows.bit_length() - 1).bitwiseAND(3)
+    counts = words.groupBy(F.col("h").bitwiseAND(rows - 1).cast("int").alias("b")).agg(*(F.count_if(part == i).alias(f"n{i}") for i in range(4)))
     classes = [0] * _BUCKETS
-    for row in counts.collect():
-        classes[row.b] = min(63, int(1.5 * math.log2(row.n + 1)))
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    for b, *ns in counts.collect():
+        for i, n in enumerate(ns):
+            classes[i * rows + b] = _class(n)
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+
+
+def _class(count: int) -> int:
+    return min(63, int(1.5 * math.log2(count + 1)))
 
 
 def _prefix_length(n: Column) -> Column:
@@ -72,43 +88,67 @@ def _prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * _NUM / _DEN) + 1).cast("int")
 
 
+def _short_prefix_length(n: Column) -> Column:
+    """The same for alike lines that are at least as long, with which the overlap is larger."""
+    return (n - F.ceil(n * (2 * _NUM) / (_NUM + _DEN)) + 1).cast("int")
+
+
 def _bits(hashes: Column) -> Column:
     """64 bits of which each element flips one, so that sets differ by at least as many elements as bits."""
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(one(h)))
+    ones = F.array(*(F.lit((1 << i) - (i == 63) * (1 << 64)).cast("long") for i in range(64)))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.get(ones, h.bitwiseAND(63))))
 
 
 def _all_bits(hashes: Column) -> tuple[Column, Column]:
     """``bits`` and ``more``: of a long line's elements each half has bits of its own, else ``more`` is 0."""
-    long, half = F.size(hashes) > _LONG, lambda k: _bits(F.filter(hashes, lambda h: h.bitwiseAND(64) == k))
-    return F.when(long, half(0)).otherwise(_bits(hashes)).alias("bits"), F.when(long, half(64)).otherwise(F.lit(0).cast("long")).alias("more")
+    half = _bits(F.filter(hashes, lambda h: h.bitwiseAND(64) == 64))
+    more = F.when(F.size(hashes) > _LONG, half).otherwise(F.lit(0).cast("long"))
+    # What one half flips in the bits of all leaves those of the other.
+    return _bits(hashes).bitwiseXOR(more).alias("bits"), more.alias("more")
 
 
 def _may_be_alike() -> Column:
-    """Order, length, positional and bit filters of a pair that shares a word: b the later one."""
+    """Length, positional and bit filters of a pair that shares a word."""
     n, m = F.col("a_n"), F.col("b_n")
     common = 1 + F.least(n - F.col("a_pos") - 1, m - F.col("b_pos") - 1)
     bits, more = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("bits", "more"))
     differ = F.when(F.least(n, m) > _LONG, F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
-    later = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
     fits = (F.least(n, m) * _DEN >= F.greatest(n, m) * _NUM) & (common * (_NUM + _DEN) >= (n + m) * _NUM)
     # Alike sets differ by at most (n + m) * (1 - s) / (1 + s) words.
-    return later & fits & (differ * (_NUM + _DEN) <= (n + m) * (_DEN - _NUM))
+    return fits & (differ * (_NUM + _DEN) <= (n + m) * (_DEN - _NUM))
 
 
 _OF_LINE = ("doc", "line", "n", "pos", "bits", "more")
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in _OF_LINE))
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in (*_OF_LINE, *more)))
+
+
+def _earlier() -> Column:
+    """Whether a is the earlier line of a pair."""
+    return (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
 
 
 def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Both sides lie by key already, so the join shuffles neither."""
-    found = _side(later, "b").join(_side(earlier, "a"), "key").where(_may_be_alike())
+    found = _side(later, "b").join(_side(earlier, "a"), "key").where(_earlier() & _may_be_alike())
     return found.select("a_doc", "a_line", "b_doc", "b_line").distinct()
 
 
+def _undecided_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs of lines whose later one isn't ``decided``, the earlier one first. Both sides lie by key already."""
+    # The planner moves no filter below a column of the place, so that one dealing serves both sides.
+    short = keyed.withColumn("place", F.spark_partition_id()).where((F.col("place") >= 0) & (F.col("pos") < _short_prefix_length(F.col("n"))))
+    a = _side(short, "a", "decided")
+    found = _side(keyed, "b", "decided").join(a, "key")
+    shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & _earlier())
+    undecided = ~F.when(_earlier(), F.col("b_decided")).otherwise(F.col("a_decided"))
+    found = found.where(shorter & undecided & _may_be_alike())
+    ends = [F.when(_earlier() == (s == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in ("doc", "line")]
+    return found.select(*ends).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The later lines of the pairs that are alike."""
     for s in ("a", "b"):
@@ -149,9 +189,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are one document. A null id is shown as a number made from the text.
     """
     rarity = _rarity(docs, text)
-    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(_BUCKETS - 1).cast("int")).cast("long"), 57).bitwiseOR(
-        F.shiftrightunsigned(h, 7)
-    )
+    # Arrays that can't hold nulls are sorted as plain numbers.
+    of = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(_BUCKETS - 1)), F.lit(0).cast("long"))
+    key = lambda h: F.shiftleft(of(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     sets = _lines(docs, doc_id, text).select("doc", "line", _hashes().alias("_h"))
     sets = sets.select("doc", "line", F.size("_h").alias("n"), *_all_bits(F.col("_h")), F.sort_array(F.transform("_h", key)).alias("_k"))
     lines = pin(
@@ -161,32 +201,44 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         "lines",
     )
-    groups = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    groups = pin(groups.select("h1", "h2", "n", "first.*", "rows"), "line_sets")
-    several = groups.where("rows > 1").withColumnsRenamed({"doc": "_doc", "line": "_line"})
+    # As one number, the place of a line is aggregated by hash; a struct would have all lines sorted.
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(_PLACES) + F.col("line").cast("decimal(10,0)")
+    several = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    line = F.pmod("first", F.lit(_PLACES))
+    doc = ((F.col("first") - line) / F.lit(_PLACES)).cast("long")
+    several = pin(several.select("h1", "h2", "n", doc.alias("_doc"), line.cast("int").alias("_line"), "rows"), "line_sets")
     copies = with_groups(lines.select("doc", "line", "n", "h1", "h2"), several, ["h1", "h2", "n"], "rows")
     copies = pin(copies.where("doc <> _doc or line <> _line").select("doc", "line", "n"), "copies")
     known = copies.select("doc", "line")
     firsts = lines.where("n > 3").join(F.broadcast(known) if copies.count() <= SMALL_ROWS else known, ["doc", "line"], "left_anti")
 
     # Sets of up to three words are alike only if equal.
-    # Each of two rounds deals prefixes by key once: what it counts and joins stays in that place.
+    # Each of two rounds deals prefixes by key once: what it joins stays in that place.
     # Said beforehand, what a join infers of nulls doesn't make the dealing of its two sides differ, so that one serves both.
     there = " and ".join(f"{c} is not null" for c in ("key", *_OF_LINE))
-    deal = lambda keys: firsts.select("doc", "line", "n", "bits", "more", F.posexplode(keys).alias("pos", "key")).where(there).repartition("key")
-    keyed = deal(F.slice("prefix", 1, F.ceil(F.size("prefix") / 2).cast("int")))
-    earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    under = lambda rows, keys, *more: rows.select("doc", "line", "n", "bits", "more", *more, F.posexplode(keys).alias("pos", "key")).where(there)
+    # A word that is in many prefixes is in a frequent class.
+    half = F.slice("prefix", 1, F.ceil(F.size("prefix") / 2).cast("int"))
+    frequent = under(firsts, half).where(F.col("key") >= _class(_MANY + 1) << 57)
+    many = pin(frequent.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > _MANY).select("key"), "many")
+    keyed = frequent.join(F.broadcast(many) if many.count() <= SMALL_ROWS else many, "key", "left_semi").repartition("key")
+    earliest = keyed.groupBy("key").agg(F.min(F.struct(*_OF_LINE)).alias("f"))
     first_pairs = pin(_pairs(earliest.select("key", "f.*"), keyed), "line_pairs")
     decided = pin(_verified(first_pairs, _sets(docs, first_pairs, doc_id, text)), "decided")
-    # An outer join, as the planner would move an anti join below the dealing and deal both sides.
-    keyed = deal(F.col("prefix"))
     known = decided.withColumn("_decided", F.lit(True))
-    undecided = keyed.join(F.broadcast(known) if decided.count() <= SMALL_ROWS else known, ["doc", "line"], "left").where("_decided is null")
-    pairs = pin(_pairs(keyed, undecided).join(first_pairs, first_pairs.columns, "left_anti"), "line_pairs")
-    rest = _verified(pairs, _sets(docs, pairs, doc_id, text))
+    firsts = firsts.join(F.broadcast(known) if decided.count() <= SMALL_ROWS else known, ["doc", "line"], "left")
+    firsts = firsts.withColumn("decided", F.col("_decided").isNotNull())
+    pairs = _undecided_pairs(under(firsts, F.col("prefix"), "decided").repartition("key"))
+    pairs = pin(pairs.join(first_pairs, first_pairs.columns, "left_anti"), "line_pairs")
+    # One alike line is enough: first the last that a line may be alike, which is another for each line, then the rest.
+    sets = _sets(docs, pairs, doc_id, text)
+    one = pairs.groupBy("b_doc", "b_line").agg(F.max("a_doc").alias("a_doc"), F.max_by("a_line", "a_doc").alias("a_line"))
+    found = pin(_verified(one, sets), "decided")
+    rest = _verified(pairs.join(found.withColumnsRenamed({"doc": "b_doc", "line": "b_line"}), ["b_doc", "b_line"], "left_anti"), sets)
 
     # The first line of a set goes if it is alike an earlier one; the others of its set go in any case.
-    alike = groups.join(decided.unionByName(rest).distinct(), ["doc", "line"], "left_semi").select("doc", "line", "n")
+    gone = decided.unionByName(found).unionByName(rest).distinct()
+    alike = lines.select("doc", "line", "n").join(gone, ["doc", "line"], "left_semi").distinct()
     return copies.unionByName(alike).select("doc", "line", F.col("n").cast("long").alias("n_words"))
 
 

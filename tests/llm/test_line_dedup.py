@@ -89,6 +89,40 @@ def test_unlike_long_lines_are_not_fetched(documents, monkeypatch):
     assert pairs == [0, 0]
 
 
+def test_first_round_is_of_words_in_many_lines(documents, monkeypatch):
+    base = [f"b{i}" for i in range(30)]
+    near = [(i, " ".join([*base[: i % 30], f"x{i}", *base[i % 30 + 1 :]])) for i in range(60)]
+    pairs, pin = [], line_dedup.pin
+
+    def counted(df, name):
+        found = pin(df, name)
+        if name == "line_pairs":
+            pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "pin", counted)
+    check(documents, near)
+    assert pairs[0] == 0 and pairs[1] > 60
+    del pairs[:]
+    monkeypatch.setattr(line_dedup, "_MANY", 5)
+    check(documents, near)
+    assert 0 < pairs[0] and pairs[1] == 0
+
+
+def test_both_rounds_equal_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_MANY", 3)
+    check(documents, varied(2))
+    for n in (60, 66):
+        check(documents, long_lines(n))
+
+
+def test_copies_in_one_document_and_under_large_and_missing_ids(documents):
+    edge = (1 << 63) - 1
+    check(documents, [(edge, "a b c\nc b a\nd e f g h"), (-edge - 1, "d e f g h\nx"), (0, "x\ny\nx\na b c"), (-5, "y")])
+    nameless = line_dedup.repeated_lines(documents([(None, "p q\nr s\nq p"), (3, "r s\np q")])).collect()
+    assert sorted((r.doc < 0, r.line, r.n_words) for r in nameless) == [(False, 0, 2), (False, 1, 2), (True, 2, 2)]
+
+
 def test_documents_keep_what_is_new(documents):
     docs = documents([(1, "first line here\nsecond"), (2, "new\n\nfirst line here\nlast"), (3, "second"), (4, None), (None, "nameless"), (5, "")])
     left = line_dedup.without_repeated_lines(docs)
