@@ -21,9 +21,7 @@ from seasonwin.operators.joins import attach, attach_group
 
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 _SO_FAR = (Window.unboundedPreceding, 0)
-_FROM_HERE = (0, Window.unboundedFollowing)
 _BEFORE = (Window.unboundedPreceding, -1)
-_AFTER = (1, Window.unboundedFollowing)
 
 
 def chunk_of(df: DataFrame, order: str, span: float) -> Column:
@@ -56,32 +54,53 @@ def running(
     ``F.max``; it ignores missing values. All of them share one shuffle of the
     rows; with ``chunk`` a summary row per chunk carries the rest.
     """
-    ways = {n: (c, fn, _SO_FAR, _BEFORE) for n, (c, fn) in (forward or {}).items()}
-    ways |= {n: (c, fn, _FROM_HERE, _AFTER) for n, (c, fn) in (backward or {}).items()}
+    ways = {n: (c, fn, False) for n, (c, fn) in (forward or {}).items()}
+    ways |= {n: (c, fn, True) for n, (c, fn) in (backward or {}).items()}
     inputs = {f"_in_{n}": way[0] for n, way in ways.items()}
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        out = {n: fn(F.col(f"_in_{n}")).over(w.rowsBetween(*frame)) for n, (_, fn, frame, _) in ways.items()}
-        return df.withColumns(inputs).withColumns(out).drop(*inputs)
+        return _both_ways(df.withColumns(inputs), keys, order, ways, "").drop(*inputs)
 
     # The struct is the one partitioning key of the window and of the join.
     part = F.struct(*[F.col(k) for k in keys], chunk.alias("_chunk"))
     rows = df.withColumns({**inputs, "_part": part})
-    totals = rows.groupBy("_part").agg(*[fn(F.col(f"_in_{n}")).alias(f"_sum_{n}") for n, (_, fn, _, _) in ways.items()])
-    along = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._chunk")
+    totals = rows.groupBy("_part").agg(*[fn(F.col(f"_in_{n}")).alias(f"_sum_{n}") for n, (_, fn, _) in ways.items()])
+    along = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys])
+    at = F.col("_part._chunk")
     carry = totals.select("_part", *[
-        fn(F.col(f"_sum_{n}")).over(along.rowsBetween(*carried)).alias(f"_carry_{n}")
-        for n, (_, fn, _, carried) in ways.items()
+        fn(F.col(f"_sum_{n}")).over(along.orderBy(at.desc() if back else at).rowsBetween(*_BEFORE)).alias(f"_carry_{n}")
+        for n, (_, fn, back) in ways.items()
     ])
-    w = Window.partitionBy("_part").orderBy(*order)
-    local = rows.withColumns({
-        f"_local_{n}": fn(F.col(f"_in_{n}")).over(w.rowsBetween(*frame)) for n, (_, fn, frame, _) in ways.items()
-    })
-    out = {n: _merge(fn, F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (_, fn, _, _) in ways.items()}
+    local = _both_ways(rows, ["_part"], order, ways, "_local_")
+    out = {n: _merge(fn, F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (_, fn, _) in ways.items()}
     helpers = [f"{p}{n}" for n in ways for p in ("_in_", "_carry_", "_local_")]
     return local.join(carry, "_part").withColumns(out).drop("_part", *helpers)
 
 
+def _both_ways(rows: DataFrame, part: Sequence[str], order: Sequence[str], ways: Mapping, prefix: str) -> DataFrame:
+    """Running aggregates of the inputs ``_in_*`` within a window partition.
+
+    A frame that ends with the partition is added up anew for every row, which takes the square of the partition's
+    rows. From the end, sums of whole numbers are thus the total less what comes before; other aggregates run over
+    the rows in reverse, by row number, so that equal ones are reversed, too.
+    """
+    up = Window.partitionBy(*part).orderBy(*order)
+    down = Window.partitionBy(*part).orderBy(F.col("_row").desc())
+    out, reverse = {}, {}
+    for n, (_, fn, back) in ways.items():
+        field = rows.schema[f"_in_{n}"]
+        c = F.col(f"_in_{n}")
+        so_far = fn(c).over(up.rowsBetween(*_SO_FAR))
+        if not back:
+            out[f"{prefix}{n}"] = so_far
+        elif fn is F.sum and isinstance(field.dataType, T.LongType) and not field.nullable:
+            out[f"{prefix}{n}"] = fn(c).over(up.rowsBetween(*_ALL)) - so_far + c
+        else:
+            reverse[f"{prefix}{n}"] = fn(c).over(down.rowsBetween(*_SO_FAR))
+    if not reverse:
+        return rows.withColumns(out)
+    return rows.withColumns({**out, "_row": F.row_number().over(up)}).withColumns(reverse).drop("_row")
+
+
 def _merge(fn: Callable, a: Column, b: Column) -> Column:
     if fn is F.sum:
         both = a + b

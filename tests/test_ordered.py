@@ -41,6 +41,54 @@ def test_counters_agree_with_and_without_span(skewed):
     assert all(r["n_up"] + r["n_down"] == sizes[r["k"]] + 1 for r in plain.collect())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("span", [None, 7])
+def test_no_frame_is_added_up_anew_for_every_row(skewed, span):
+    # Frames that begin at a row and end with the partition take the square of its rows.
+    order = ["d", "id"]
+    for df in (
+        ordered.count_both(skewed, ["k"], order, span=span),
+        ordered.count_down(skewed, ["k"], order, span=span),
+        ordered.interpolate_linear(skewed, ["v"], ["k"], order, span=span),
+    ):
+        plan = plan_of(df)
+        assert "specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())" in plan
+        assert "currentrow$(), unboundedfollowing$()" not in plan and "1, unboundedfollowing$()" not in plan
+
+
+@pytest.mark.parametrize("span", [None, 7])
+def test_backward_aggregates_mirror_the_forward_order(spark, span):
+    days = [None, None, 1, 1, 1, 9, 9, 20, 20, 40]
+    data = [(k, d, None if i % 4 == 1 else (i * 7) % 10) for k in ("a", None) for i, d in enumerate(days)]
+    df = spark.createDataFrame(data, "k string, d int, v bigint")
+    one = (F.lit(1).cast("long"), F.sum)
+    got = ordered.running(
+        df, ["k"], ["d", "v"], {"up": one, "low": (F.col("v"), F.min)},
+        {"down": one, "rest": (F.col("v"), F.sum), "real": (F.col("v").cast("double"), F.sum), "top": (F.col("v"), F.max)},
+        ordered._chunk(df, ["d"], span),
+    ).collect()
+    for k in ("a", None):
+        rows = sorted((r for r in got if r["k"] == k), key=lambda r: r["up"])
+        want = sorted((x[1:] for x in data if x[0] == k), key=lambda x: [(y is not None, y or 0) for y in x])
+        assert [(r["d"], r["v"]) for r in rows] == want
+        assert [(r["up"], r["down"]) for r in rows] == [(i + 1, len(want) - i) for i in range(len(want))]
+        for i, r in enumerate(rows):
+            before, after = ([v for _, v in part if v is not None] for part in (want[: i + 1], want[i:]))
+            assert r["low"] == min(before, default=None) and r["top"] == max(after, default=None)
+            assert r["rest"] == r["real"] == (sum(after) if after else None)
+
+
+@pytest.mark.parametrize("span", [None, 7])
+def test_counters_of_equal_rows_add_up(spark, span):
+    df = spark.createDataFrame([("a", 3)] * 40 + [("a", 1)] * 30 + [("a", 30), ("b", 3)], "k string, d int").repartition(5)
+    got = ordered.count_both(df, ["k"], ["d"], span=span).collect()
+    assert sorted(r["n_up"] for r in got if r["k"] == "a") == list(range(1, 72))
+    assert all(r["n_up"] + r["n_down"] == (72 if r["k"] == "a" else 2) for r in got)
+
+
 @pytest.mark.parametrize("sticky", [True, False])
 def test_running_sum(skewed, sticky):
     args = ("v", ["k"], ["d", "id"], "s", sticky)
